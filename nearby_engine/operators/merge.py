@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nearby_engine.functions.classify import job_state, lookup, remote_scopes
 from nearby_engine.functions.text import casefold, nul_digest, strip
@@ -63,15 +62,18 @@ SIGHTING_LAST = [
 ]
 
 
+def with_metadata(metadata: Column, extra: dict[str, Column]) -> Column:
+    """Metadata JSON with text fields added or replaced where the new value is set."""
+    given = F.coalesce(F.from_json(metadata, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    pairs = [x for name, value in extra.items() for x in (F.lit(name), _nonblank(value).cast("variant"))]
+    added = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    kept = F.map_filter(given, lambda k, _: ~F.map_contains_key(added, k))
+    return F.to_json(F.map_concat(kept, added))
+
+
 def sighting_metadata(metadata: Column, domain: Column, phone: Column) -> Column:
     """Evidence metadata with domain and phone added when they are set."""
-    given = F.coalesce(F.from_json(metadata, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    extra = F.create_map(
-        F.lit("domain"), _nonblank(domain).cast("variant"), F.lit("phone"), _nonblank(phone).cast("variant")
-    )
-    extra = F.map_filter(extra, lambda _, v: v.isNotNull())
-    kept = F.map_filter(given, lambda k, _: ~F.map_contains_key(extra, k))
-    return F.to_json(F.map_concat(kept, extra))
+    return with_metadata(metadata, {"domain": domain, "phone": phone})
 
 
 def sighting_digest() -> Column:
@@ -344,6 +346,3 @@ def merge_links(existing: DataFrame, rows: DataFrame, entity: str) -> DataFrame:
         )
     )
 
-
-def table_schema(fields: dict[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.DataType.fromDDL(k), True) for n, k in fields.items()])

@@ -38,61 +38,48 @@ def fold_source_runs(events: DataFrame) -> DataFrame:
 def fold_runs(events: DataFrame) -> DataFrame:
     """State of every run from its events (run_id, seq, at, kind, status, error, counts).
 
-    Kinds are ``create``, ``claim``, ``cancel`` and ``finish``. A cancel before the end sticks; the
-    first finish after a claim or a cancel ends the run; later ones only count for a cancelled run.
-    Errors clear on completion, counts keep their last value that is not null.
+    Kinds are ``create``, ``claim``, ``cancel`` and ``finish``. A cancel of an open run sticks. A
+    finish counts for a running or cancelled run: the first one ends a running run, later ones only
+    update a cancelled one. Completion clears the error; counts keep their last value that is set.
     """
-    claim, cancel, finish = (F.col("kind") == k for k in ("claim", "cancel", "finish"))
-    claimed_by = events.groupBy("run_id").agg(
-        F.min(F.when(claim, F.col("seq"))).alias("claim_seq"),
-        F.min(F.when(cancel, F.col("seq"))).alias("cancel_seq"),
-        F.min(F.when(claim, F.col("at"))).alias("started_at"),
+    claim, stop = F.col("kind") == "claim", F.col("kind") == "cancel"
+    marks = events.groupBy("run_id").agg(
+        F.min(F.when(claim, F.struct("seq", "at"))).alias("claimed"),
+        F.min(F.when(stop, F.col("seq"))).alias("cancel_seq"),
         F.min(F.when(F.col("kind") == "create", F.col("at"))).alias("created_at"),
-        F.min_by(
-            F.when(finish, F.col("seq")), F.when(finish, F.col("seq"))
-        ).alias("any_finish"),
     )
-    timed = events.join(claimed_by, "run_id")
-    # A finish changes a run that is running or cancelled.
-    opened = F.least("claim_seq", "cancel_seq")
-    valid = (F.col("kind") == "finish") & (F.col("seq") > opened)
-    ends = (
-        timed.filter(valid)
-        .groupBy("run_id")
-        .agg(
-            F.min(F.struct("seq", "status", "at")).alias("end"),
-            F.min("cancel_seq").alias("cancel_seq"),
-        )
-        .withColumn("was_cancelled", F.coalesce(F.col("cancel_seq") < F.col("end.seq"), F.lit(False)))
+    opened = F.least("claimed.seq", "cancel_seq")
+    finishes = events.filter(F.col("kind") == "finish").join(marks, "run_id").filter(F.col("seq") > opened)
+    ends = finishes.groupBy("run_id").agg(
+        F.min(F.struct("seq", "status")).alias("end"),
+        F.coalesce(F.min("cancel_seq") < F.min("seq"), F.lit(False)).alias("was_cancelled"),
     )
-    counted = timed.filter(valid).join(ends.select("run_id", "end", "was_cancelled"), "run_id")
-    effective = counted.filter(F.col("was_cancelled") | (F.col("seq") == F.col("end.seq")))
-    last_set = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("seq")))
-    completed_at = F.max(F.when(F.col("status") == "completed", F.col("seq")))
-    error_at = F.max(F.when((F.col("status") != "completed") & F.col("error").isNotNull(), F.col("seq")))
-    totals = effective.groupBy("run_id").agg(
+    counted = finishes.join(ends, "run_id").filter(F.col("was_cancelled") | (F.col("seq") == F.col("end.seq")))
+
+    def last_set(column: str, wanted: Column) -> Column:
+        return F.max_by(F.when(wanted, F.col(column)), F.when(wanted, F.col("seq")))
+
+    completed = F.col("status") == "completed"
+    wrong = ~completed & F.col("error").isNotNull()
+    completed_seq, error_seq = F.max(F.when(completed, F.col("seq"))), F.max(F.when(wrong, F.col("seq")))
+    totals = counted.groupBy("run_id").agg(
         F.max("at").alias("finished_at"),
-        F.when(
-            completed_at.isNull() | (error_at > completed_at),
-            F.max_by(
-                F.when((F.col("status") != "completed"), F.col("error")),
-                F.when((F.col("status") != "completed") & F.col("error").isNotNull(), F.col("seq")),
-            ),
-        ).alias("error"),
-        *[F.coalesce(last_set(c), F.lit(0)).alias(c) for c in COUNTS],
-    )
-    joined = claimed_by.join(ends, "run_id", "left").join(totals, "run_id", "left")
-    cancelled = claimed_by["cancel_seq"].isNotNull() & (
-        F.col("end").isNull() | F.col("was_cancelled")
+        F.when(completed_seq.isNull() | (error_seq > completed_seq), last_set("error", wrong)).alias("error"),
+        *[last_set(c, F.col(c).isNotNull()).alias(c) for c in COUNTS],
     )
+    joined = marks.join(ends, "run_id", "left").join(totals, "run_id", "left")
+    cancelled = F.col("cancel_seq").isNotNull() & (F.col("end").isNull() | F.col("was_cancelled"))
     status = (
         F.when(cancelled, "cancelled")
         .when(F.col("end").isNotNull(), F.col("end.status"))
-        .when(F.col("claim_seq").isNotNull(), "running")
+        .when(F.col("claimed").isNotNull(), "running")
         .otherwise("pending")
     )
+    started = F.when(
+        F.col("cancel_seq").isNull() | (F.col("claimed.seq") < F.col("cancel_seq")), F.col("claimed.at")
+    )
     return joined.select(
-        "run_id", status.alias("status"), "created_at", "started_at", "finished_at", "error",
+        "run_id", status.alias("status"), "created_at", started.alias("started_at"), "finished_at", "error",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS],
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearby_engine.functions import markup as M
 from nearby_engine.functions.text import page_company_hash, title_head
 from nearby_engine.functions.urls import bare_domain
+from nearby_engine.operators.ranking import keep_first
 from nearby_engine.sources.structured import page_entities, structured_companies
 
 
@@ -29,11 +30,17 @@ def homepage_companies(homepages: DataFrame, structured: DataFrame) -> DataFrame
 
 
 def site_companies(pages: DataFrame) -> DataFrame:
-    """``pages`` has (url, html, depth): structured companies everywhere, homepages as fallback."""
+    """``pages`` has (url, html, depth, visit): structured companies everywhere, homepages as fallback.
+
+    A company found on several pages is kept from the page visited first.
+    """
     structured = structured_companies(page_entities(pages.select("url", "html")))
     homepages = pages.filter("depth = 0").select("url", "html")
-    found = structured.drop("position").unionByName(homepage_companies(homepages, structured))
-    return found.dropDuplicates(["content_hash"])
+    fallback = homepage_companies(homepages, structured).withColumn("position", F.lit(0))
+    found = structured.unionByName(fallback).join(
+        pages.select(F.col("url").alias("page"), "visit"), "page"
+    )
+    return keep_first(found, ["content_hash"], ["visit", "page", "position"]).drop("visit", "position")
 
 
 def sitemap_links(sitemaps: DataFrame) -> DataFrame:
