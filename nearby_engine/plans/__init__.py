@@ -1,0 +1,11 @@
+"""Plans over landed tables and evidence."""
+
+import importlib
+
+GROUPS = ["catalog_search"]
+
+
+def load_catalog() -> None:
+    """Register every query."""
+    for group in GROUPS:
+        importlib.import_module(f"nearby_engine.plans.{group}")
