@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearby_engine.functions.text import strip
+from nearby_engine.functions.text import SPACE, strip
 
 RULE_VERSION = "technical-title-v1"
 
@@ -56,28 +56,36 @@ CLIENT_STATUS = {"pending": "queued", "running": "in_progress", "partial": "comp
 ARRANGEMENT_ALIASES = {"onsite": "in_office"}
 ARRANGEMENT_LABELS = {"in_office": "In-Office", "hybrid": "Hybrid", "remote": "Remote"}
 
-# Unicode word boundaries, ignoring case.
-FLAGS = "(?iU)"
+def _on_lower(pattern: str) -> str:
+    """The pattern for text already in lower case: no case flag, Unicode blanks and digits."""
+    return pattern.replace(r"\s", SPACE).replace(r"\d", r"\p{Nd}")
 
 
 def _hit(text: Column, pattern: str) -> Column:
-    """The matched text in lower case, null without a match."""
-    return F.nullif(F.lower(F.regexp_extract(text, FLAGS + pattern, 0)), F.lit(""))
+    """The matched text, null without a match."""
+    regex = _on_lower(pattern)
+    return F.when(text.rlike(regex), F.regexp_extract(text, regex, 0))
 
 
-def role_reason(title: Column, categories: Column) -> Column:
-    """The first rule that decides about a title, as a reason string.
+def role_title(title: Column) -> Column:
+    """A title as the role rules read it."""
+    return F.lower(F.coalesce(strip(title), F.lit("")))
+
+
+def role_categories(categories: Column) -> Column:
+    """Categories as the role rules read them."""
+    given = F.coalesce(categories, F.array().cast("array<string>"))
+    return F.transform(F.filter(given, lambda c: c.isNotNull() & (c != "")), lambda c: F.lower(strip(c)))
+
+
+def role_reason(name: Column, cleaned: Column) -> Column:
+    """The first rule that decides about a prepared title, as a reason string.
 
     ``coalesce`` stops at the first hit, so later patterns are not evaluated.
     """
-    name = F.coalesce(strip(title), F.lit(""))
-    present = F.filter(
-        F.coalesce(categories, F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != "")
-    )
-    cleaned = F.transform(present, strip)
     joined = F.array_join(cleaned, " ")
     together = F.concat(name, F.lit(" "), joined)
-    category_counts = ~name.rlike(FLAGS + TITLE_OVERRIDES_CATEGORY)
+    category_counts = (F.size(cleaned) > 0) & ~name.rlike(_on_lower(TITLE_OVERRIDES_CATEGORY))
 
     def tagged(prefix: str, rule: str, hit: Column) -> Column:
         return F.concat(F.lit(f"{prefix}:{rule}:"), hit)
@@ -88,8 +96,8 @@ def role_reason(title: Column, categories: Column) -> Column:
         steps.append(F.when(category_counts, tagged("negative_rule_category", rule, _hit(joined, pattern))))
     steps += [tagged("title_match", rule, _hit(name, p)) for rule, p in POSITIVE_RULES.items()]
     steps += [tagged("combined_match", rule, _hit(together, p)) for rule, p in POSITIVE_RULES.items()]
-    general = name.rlike(FLAGS + GENERAL_TITLE) & F.exists(
-        cleaned, lambda c: c.rlike(FLAGS + TECHNICAL_CATEGORY)
+    general = name.rlike(_on_lower(GENERAL_TITLE)) & F.exists(
+        cleaned, lambda c: c.rlike(_on_lower(TECHNICAL_CATEGORY))
     )
     steps.append(F.when(general, F.lit("category_and_title_engineer")))
     return F.coalesce(*steps, F.lit("no_technical_rules_matched"))
@@ -109,9 +117,26 @@ def role_of_reason(reason: Column) -> Column:
     )
 
 
-def with_role(df, title: str, categories: str, into: str = "role"):
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    The optimizer copies projected expressions into later filters and projections, which is wrong
+    for expressions as costly as a rule table. It does not move anything through a generator.
+    """
+    made = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
+def with_role_reason(df: DataFrame, title: Column, categories: Column, into: str = "reason") -> DataFrame:
+    """Add the deciding reason. Title and categories are prepared first, because every rule reads them."""
+    prepared = once(df, {"_title": role_title(title), "_categories": role_categories(categories)})
+    reasoned = once(prepared, {into: role_reason(F.col("_title"), F.col("_categories"))})
+    return reasoned.drop("_title", "_categories")
+
+
+def with_role(df: DataFrame, title: str, categories: str, into: str = "role") -> DataFrame:
     """Add the role struct for a title column and a category-array column."""
-    reasoned = df.withColumn("_reason", role_reason(F.col(title), F.col(categories)))
+    reasoned = with_role_reason(df, F.col(title), F.col(categories), "_reason")
     return reasoned.withColumn(into, role_of_reason(F.col("_reason"))).drop("_reason")
 
 
@@ -132,7 +157,7 @@ def arrangement(
     office = kind.isin(OFFICE_WORDS)
     telecommute = (place == "TELECOMMUTE") | flagged
     hybrid_said, remote_said, onsite_said = (
-        body.rlike(FLAGS + p) for p in (HYBRID_TEXT, REMOTE_TEXT, ONSITE_TEXT)
+        body.rlike(_on_lower(p)) for p in (HYBRID_TEXT, REMOTE_TEXT, ONSITE_TEXT)
     )
     return (
         F.when(office & telecommute, "unknown")

@@ -41,17 +41,21 @@ def _fold_exceptions() -> dict[str, str]:
 
 
 FOLDS = _fold_exceptions()
+COMMON_FOLDS = ["ß", "ς"]
 
 
 def casefold(text: Column) -> Column:
-    """Full case folding. Only strings with one of the rare characters leave the fast path."""
+    """Full case folding: lower() and two replacements, character by character only for rare scripts."""
     lowered = F.lower(text)
-    rare = "[" + "".join(FOLDS) + "]"
+    for char in COMMON_FOLDS:
+        lowered = F.replace(lowered, F.lit(char), F.lit(char.casefold()))
+    rare = {char: fold for char, fold in FOLDS.items() if char not in COMMON_FOLDS}
     table = F.create_map(*[F.lit(x) for pair in FOLDS.items() for x in pair])
     folded = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c))), ""
     )
-    return F.when(text.rlike(rare) | lowered.contains("ς"), F.lower(folded)).otherwise(lowered)
+    is_rare = F.length(F.translate(text, "".join(rare), "")) < F.length(text)
+    return F.when(is_rare, F.lower(folded)).otherwise(lowered)
 
 
 def normalized_name(name: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["catalog_search"]
+GROUPS = ["catalog_search", "catalog_functions"]
 
 
 def load_catalog() -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearby_engine import schemas as S
-from nearby_engine.functions.classify import arrangement, publication_state, role_of_reason, role_reason
+from nearby_engine.functions.classify import arrangement, publication_state, role_of_reason, with_role_reason
 from nearby_engine.functions.dates import epoch_or_iso, iso_timestamp, iso_z
 from nearby_engine.functions.text import clean_excerpt, company_hash, job_hash, strip
 from nearby_engine.operators.ranking import keep_first
@@ -77,7 +77,7 @@ def _board_companies(boards: DataFrame, provider: str, address: str, token_key:
 def _board_jobs(items: DataFrame, boards: DataFrame, provider: str, as_of: Column) -> DataFrame:
     """``items`` has title, categories, workplace, place, posted_at, url, body, metadata per posting."""
     technical = (
-        items.withColumn("reason", role_reason(F.col("title"), F.col("categories")))
+        with_role_reason(items, F.col("title"), F.col("categories"))
         .withColumn("role", role_of_reason(F.col("reason")))
         .filter("role.is_technical")
     )
