@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearby_engine.functions.text import SPACE, strip
+from nearby_engine.operators.ranking import once
 
 RULE_VERSION = "technical-title-v1"
 
@@ -117,16 +118,6 @@ def role_of_reason(reason: Column) -> Column:
     )
 
 
-def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are evaluated exactly once per row.
-
-    The optimizer copies projected expressions into later filters and projections, which is wrong
-    for expressions as costly as a rule table. It does not move anything through a generator.
-    """
-    made = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select("*", F.inline(F.array(made)))
-
-
 def with_role_reason(df: DataFrame, title: Column, categories: Column, into: str = "reason") -> DataFrame:
     """Add the deciding reason. Title and categories are prepared first, because every rule reads them."""
     prepared = once(df, {"_title": role_title(title), "_categories": role_categories(categories)})

@@ -1,4 +1,4 @@
-"""Ordered numbering and keep-first selection without oversized groups."""
+"""Row helpers: single evaluation, keep-first selection, ordered numbering without oversized groups."""
 
 from __future__ import annotations
 
@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    The optimizer copies projected expressions into later filters and projections, which is wrong
+    for expressions as costly as a rule table. It does not move anything through a generator.
+    """
+    made = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first by ``order``; combines before the shuffle, so hot keys stay small."""
     rest = [c for c in df.columns if c not in keys and c not in order]

@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["catalog_search", "catalog_functions"]
+GROUPS = ["catalog_search", "catalog_functions", "catalog_sources"]
 
 
 def load_catalog() -> None:

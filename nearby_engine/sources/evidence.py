@@ -22,6 +22,11 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return with_batch_id(spark.read.schema(EVIDENCE_BATCH).json(path))
 
 
+def parse_batches(lines: DataFrame) -> DataFrame:
+    """Batches held as JSON text in ``value``."""
+    return with_batch_id(lines.select(F.from_json("value", EVIDENCE_BATCH).alias("b")).select("b.*"))
+
+
 def sequence_key(kind: int, index: Column) -> Column:
     """Arrival order of a record; rows already stored sort before all of them."""
     return F.struct(

@@ -24,6 +24,11 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return extracts.select(F.inline("elements"))
 
 
+def elements_of(payloads: DataFrame) -> DataFrame:
+    """One row per element of extracts held as JSON text in ``payload``."""
+    return payloads.select(F.inline(F.from_json("payload", S.OSM_EXTRACT)["elements"]))
+
+
 def _tag(name: str) -> Column:
     return F.try_element_at(F.col("tags"), F.lit(name))
 

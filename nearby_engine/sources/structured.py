@@ -15,7 +15,7 @@ from nearby_engine.functions.classify import page_arrangement, page_publication_
 from nearby_engine.functions.dates import iso_timestamp, iso_z
 from nearby_engine.functions.text import page_company_hash, page_job_hash, plain_text, strip
 from nearby_engine.functions.urls import bare_domain, resolve_or_base
-from nearby_engine.operators.ranking import keep_first
+from nearby_engine.operators.ranking import keep_first, once
 from nearby_engine.operators.search import instant
 
 # Entity types that describe a company, and the one that describes a posting.
@@ -42,9 +42,8 @@ def page_entities(pages: DataFrame) -> DataFrame:
     # Pages without a JSON-LD script are dropped before the expressions that parse it.
     marked = pages.filter(F.lower("html").contains("application/ld+json"))
     found = F.flatten(F.transform(M.ld_blocks(F.col("html")), lambda b: M.entities(b)))
-    return marked.select("url", F.posexplode(found).alias("position", "entity")).withColumn(
-        "types", M.entity_types(F.col("entity"))
-    )
+    each = marked.select("url", F.posexplode(found).alias("position", "entity"))
+    return once(each, {"types": M.entity_types(F.col("entity"))})
 
 
 def _is_company() -> Column:
@@ -62,24 +61,32 @@ def _either(entity: Column, first: str, second: str) -> Column:
 def structured_companies(entities: DataFrame) -> DataFrame:
     """Company evidence per page, repeated entities of a page once."""
     e = F.col("entity")
-    link = resolve_or_base(M.text_at(e, "$.url"), F.col("url"))
     record = F.when(M.is_truthy(e, '$["@id"]'), M.scalar_at(e, '$["@id"]')).otherwise(M.identifier(e))
-    read = entities.filter(_is_company()).select(
-        F.col("url").alias("page"), "position", "entity", _name(e).alias("name"), record.alias("source_record_id"),
-        link.alias("evidence_url"), F.coalesce(bare_domain(link), bare_domain(F.col("url"))).alias("domain"),
-        M.postal_address(e).alias("address"), M.coordinates(e).alias("point"),
-        _either(e, "$.telephone", "$.phone").alias("phone"),
+    # Every field is read from the entity once; what follows works on plain columns.
+    read = once(
+        entities.filter(_is_company()).withColumnRenamed("url", "page"),
+        {
+            "name": _name(e), "source_record_id": record, "link": M.text_at(e, "$.url"),
+            "address": M.postal_address(e), "point": M.coordinates(e),
+            "phone": _either(e, "$.telephone", "$.phone"), "raw_type": M.node(e, '$["@type"]'),
+            "about": F.when(M.is_truthy(e, "$.description"), M.scalar_at(e, "$.description")),
+        },
     ).filter(F.col("name").isNotNull())
-    described = F.when(M.is_truthy(e, "$.description"), plain_text(M.scalar_at(e, "$.description")))
-    rows = read.select(
+    linked = once(read, {"evidence_url": resolve_or_base(F.col("link"), F.col("page"))})
+    placed = once(
+        linked,
+        {
+            "domain": F.coalesce(bare_domain(F.col("evidence_url")), bare_domain(F.col("page"))),
+            "described": F.when(F.col("about").isNotNull(), plain_text(F.col("about"))),
+        },
+    )
+    rows = placed.select(
         "page", "position", "name", "source_record_id", "evidence_url", "domain", "address",
         F.col("point.lat").alias("lat"), F.col("point.lng").alias("lng"), "phone",
         page_company_hash(F.col("name"), F.col("domain"), F.col("address"), F.col("point.lat"), F.col("point.lng")).alias(
             "content_hash"
         ),
-        F.to_json(
-            F.struct(M.node(e, '$["@type"]').alias("raw_type"), described.alias("description"))
-        ).alias("metadata"),
+        F.to_json(F.struct("raw_type", F.col("described").alias("description"))).alias("metadata"),
     )
     return keep_first(rows, ["page", "content_hash"], ["position"])
 
@@ -90,36 +97,49 @@ def structured_jobs(entities: DataFrame, as_of: datetime | str | Column) -> Data
     An entity that is also a company without a name is skipped, as for companies.
     """
     now = instant(as_of)
-    e, base = F.col("entity"), F.col("url")
+    e, hiring, place = F.col("entity"), F.col("hiring"), F.col("place")
     usable = F.array_contains("types", JOB_TYPE) & ~(_is_company() & _name(e).isNull())
-    hiring = M.node(e, "$.hiringOrganization")
-    as_object = M.is_object(e, "$.hiringOrganization")
-    employer = F.when(as_object, _either(hiring, "$.name", "$.legalName")).otherwise(
-        M.text_at(e, "$.hiringOrganization")
-    )
-    employer_url = F.when(as_object, resolve_or_base(M.text_at(hiring, "$.url"), base))
-    record = F.coalesce(M.identifier(e), M.scalar_at(e, '$["@id"]'))
-    link = F.coalesce(resolve_or_base(M.text_at(e, "$.url"), base), F.lit(""))
-    place = F.when(M.is_list(e, "$.jobLocation"), M.node(e, "$.jobLocation[0]")).otherwise(
+    located = F.when(M.is_list(e, "$.jobLocation"), M.node(e, "$.jobLocation[0]")).otherwise(
         M.node(e, "$.jobLocation")
     )
+    parts = once(
+        entities.filter(usable).withColumnRenamed("url", "page"),
+        {
+            "title": M.first_text(e, "$.title", "$.jobTitle"),
+            "hiring": M.node(e, "$.hiringOrganization"), "place": located,
+            "source_job_id": F.coalesce(M.identifier(e), M.scalar_at(e, '$["@id"]')),
+            "link": M.text_at(e, "$.url"), "about": F.coalesce(M.scalar_at(e, "$.description"), F.lit("")),
+            "location_type": M.scalar_at(e, "$.jobLocationType"), "posted_text": M.scalar_at(e, "$.datePosted"),
+            "raw_type": M.node(e, '$["@type"]'),
+            "employment_type": F.when(M.is_truthy(e, "$.employmentType"), M.node(e, "$.employmentType")),
+        },
+    ).filter(F.col("title").isNotNull())
+    as_object = M.is_object(hiring, "$")
     inside = M.is_object(place, "$")
-    location = F.when(inside, M.postal_address(place)).otherwise(
-        F.coalesce(F.when(~M.is_list(place, "$"), M.scalar_at(place, "$")), F.lit(""))
+    loose = F.coalesce(F.when(~M.is_list(place, "$"), M.scalar_at(place, "$")), F.lit(""))
+    read = once(
+        parts.drop("entity"),
+        {
+            "employer": F.when(as_object, _either(hiring, "$.name", "$.legalName")).otherwise(M.text_at(hiring, "$")),
+            "employer_link": F.when(as_object, F.coalesce(M.text_at(hiring, "$.url"), F.col("page"))),
+            "location_raw": F.when(inside, M.postal_address(place)).otherwise(loose),
+            "point": F.when(inside, M.coordinates(place)),
+            "posted": iso_timestamp(F.col("posted_text")),
+            "canonical_url": F.coalesce(resolve_or_base(F.col("link"), F.col("page")), F.lit("")),
+        },
     )
-    point = F.when(inside, M.coordinates(place))
-    read = entities.filter(usable).select(
-        F.col("url").alias("page"), "position", "entity",
-        M.first_text(e, "$.title", "$.jobTitle").alias("title"),
-        F.coalesce(strip(employer), F.lit("Unknown")).alias("company_name"),
-        record.alias("source_job_id"), link.alias("canonical_url"),
-        F.coalesce(bare_domain(employer_url), bare_domain(link), bare_domain(base)).alias("company_domain"),
-        plain_text(F.coalesce(M.scalar_at(e, "$.description"), F.lit(""))).alias("excerpt"),
-        location.alias("location_raw"), point.alias("point"),
-        M.scalar_at(e, "$.jobLocationType").alias("location_type"),
-        iso_timestamp(M.scalar_at(e, "$.datePosted")).alias("posted"),
-    ).filter(F.col("title").isNotNull())
-    rows = read.select(
+    placed = once(
+        read,
+        {
+            "company_name": F.coalesce(strip(F.col("employer")), F.lit("Unknown")),
+            "company_domain": F.coalesce(
+                bare_domain(F.when(F.col("employer_link").isNotNull(), resolve_or_base(F.col("employer_link"), F.col("page")))),
+                bare_domain(F.col("canonical_url")), bare_domain(F.col("page")),
+            ),
+            "excerpt": plain_text(F.col("about")),
+        },
+    )
+    rows = placed.select(
         "page", "position", "company_name", "title", "source_job_id", "canonical_url", "company_domain",
         F.when(F.col("excerpt") != "", F.col("excerpt")).alias("description_excerpt"),
         page_job_hash(F.col("company_name"), F.col("title"), F.col("canonical_url"), F.col("location_raw")).alias(
@@ -134,12 +154,7 @@ def structured_jobs(entities: DataFrame, as_of: datetime | str | Column) -> Data
         iso_z(now).alias("first_seen_at"), iso_z(now).alias("last_seen_at"),
         F.lit("").alias("technical_classification"), F.lit("v1").alias("rule_version"),
         F.array().cast("array<string>").alias("classification_reasons"),
-        F.to_json(
-            F.struct(
-                M.node(e, '$["@type"]').alias("raw_type"),
-                F.when(M.is_truthy(e, "$.employmentType"), M.node(e, "$.employmentType")).alias("employment_type"),
-            )
-        ).alias("metadata"),
+        F.to_json(F.struct("raw_type", "employment_type")).alias("metadata"),
         F.array().cast("array<string>").alias("remote_scopes"),
     )
     return keep_first(rows, ["page", "content_hash"], ["position"])
