@@ -190,14 +190,18 @@ def postal_address(entity: Column, at: str = "$.address") -> Column:
     )
 
 
-def coordinates(entity: Column, at: str = "$") -> Column:
-    """Struct (lat, lng) from ``geo`` or from the entity itself; both null unless both are valid."""
-    inside = is_object(entity, f"{at}.geo")
+def raw_point(entity: Column, at: str = "$") -> Column:
+    """Struct (lat, lng) as found in ``geo``, or in the entity itself without one."""
 
-    def number(name: str) -> Column:
-        nested = F.try_variant_get(entity, f"{at}.geo.{name}", "double")
-        return F.when(inside, nested).otherwise(F.try_variant_get(entity, f"{at}.{name}", "double"))
+    def read(place: str) -> Column:
+        return F.struct(
+            F.try_variant_get(entity, f"{place}.latitude", "double").alias("lat"),
+            F.try_variant_get(entity, f"{place}.longitude", "double").alias("lng"),
+        )
 
-    lat, lng = number("latitude"), number("longitude")
-    good = valid_pair(lat, lng)
-    return F.struct(F.when(good, lat).alias("lat"), F.when(good, lng).alias("lng"))
+    return F.when(is_object(entity, f"{at}.geo"), read(f"{at}.geo")).otherwise(read(at))
+
+
+def valid_point(point: Column) -> Column:
+    """The point, or null unless both numbers are present and in range."""
+    return F.when(valid_pair(point["lat"], point["lng"]), point)

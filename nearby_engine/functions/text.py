@@ -27,8 +27,9 @@ def strip(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    value = strip(text)
-    return F.when(value != "", value)
+    """Stripped text, null when nothing is left. The text is read once."""
+    filled = SPACE.replace("[", "[^", 1)
+    return F.get(F.regexp_extract_all(text, F.lit(f"(?s){filled}.*{filled}|{filled}"), F.lit(0)), F.lit(0))
 
 
 def _fold_exceptions() -> dict[str, str]:

@@ -16,6 +16,7 @@ from nearby_engine.operators.crawl import (
     discovered_sites,
     walk,
 )
+from nearby_engine.operators.ranking import once
 from nearby_engine.plans.catalog import (
     register,
     sql_distance,
@@ -295,7 +296,7 @@ def company_pages(spark: SparkSession, folder: str) -> DataFrame:
         .when(form == 2, F.concat(F.lit('{"@graph":['), entity, F.lit(',{"name":"no type"}]}')))
         .otherwise(F.concat(F.lit('[[{"@graph":{"@graph":['), entity, F.lit("]}}]]")))
     )
-    return v.select("url", _page(F.lit("{broken"), block, entity).alias("html"))
+    return once(v, {"html": _page(F.lit("{broken"), block, entity)}).select("url", "html")
 
 
 @register(
@@ -343,7 +344,8 @@ def job_pages(spark: SparkSession, folder: str) -> DataFrame:
                                  F.lit(" Pune ").alias("jobLocation")))
     as_list = F.to_json(F.struct(*common, F.array(place).alias("jobLocation")))
     entity = F.when(form == 0, as_object).when(form == 1, as_text).otherwise(as_list)
-    return v.select("url", _page(F.concat(F.lit('{"@graph":['), entity, F.lit(","), entity, F.lit("]}"))).alias("html"))
+    html = _page(F.concat(F.lit('{"@graph":['), entity, F.lit(","), entity, F.lit("]}")))
+    return once(v, {"html": html}).select("url", "html")
 
 
 @register(

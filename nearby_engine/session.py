@@ -32,6 +32,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("nearby_engine")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

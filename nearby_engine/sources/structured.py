@@ -67,7 +67,7 @@ def structured_companies(entities: DataFrame) -> DataFrame:
         entities.filter(_is_company()).withColumnRenamed("url", "page"),
         {
             "name": _name(e), "source_record_id": record, "link": M.text_at(e, "$.url"),
-            "address": M.postal_address(e), "point": M.coordinates(e),
+            "address": M.postal_address(e), "raw_point": M.raw_point(e),
             "phone": _either(e, "$.telephone", "$.phone"), "raw_type": M.node(e, '$["@type"]'),
             "about": F.when(M.is_truthy(e, "$.description"), M.scalar_at(e, "$.description")),
         },
@@ -76,6 +76,7 @@ def structured_companies(entities: DataFrame) -> DataFrame:
     placed = once(
         linked,
         {
+            "point": M.valid_point(F.col("raw_point")),
             "domain": F.coalesce(bare_domain(F.col("evidence_url")), bare_domain(F.col("page"))),
             "described": F.when(F.col("about").isNotNull(), plain_text(F.col("about"))),
         },
@@ -123,7 +124,7 @@ def structured_jobs(entities: DataFrame, as_of: datetime | str | Column) -> Data
             "employer": F.when(as_object, _either(hiring, "$.name", "$.legalName")).otherwise(M.text_at(hiring, "$")),
             "employer_link": F.when(as_object, F.coalesce(M.text_at(hiring, "$.url"), F.col("page"))),
             "location_raw": F.when(inside, M.postal_address(place)).otherwise(loose),
-            "point": F.when(inside, M.coordinates(place)),
+            "raw_point": F.when(inside, M.raw_point(place)),
             "posted": iso_timestamp(F.col("posted_text")),
             "canonical_url": F.coalesce(resolve_or_base(F.col("link"), F.col("page")), F.lit("")),
         },
@@ -131,6 +132,7 @@ def structured_jobs(entities: DataFrame, as_of: datetime | str | Column) -> Data
     placed = once(
         read,
         {
+            "point": M.valid_point(F.col("raw_point")),
             "company_name": F.coalesce(strip(F.col("employer")), F.lit("Unknown")),
             "company_domain": F.coalesce(
                 bare_domain(F.when(F.col("employer_link").isNotNull(), resolve_or_base(F.col("employer_link"), F.col("page")))),
