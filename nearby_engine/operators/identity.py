@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from nearby_engine.functions.text import normalized_name, strip
 from nearby_engine.functions.urls import clean_domain
+from nearby_engine.operators.ranking import once
+from nearby_engine.session import cut
 
 COMPANY_FIELDS = [
     "id", "name", "normalized_name", "domain", "industry", "employee_count", "description", "verified",
@@ -45,17 +47,20 @@ def mentions(company_rows: DataFrame, job_rows: DataFrame) -> DataFrame:
 
 
 def with_identity_keys(rows: DataFrame, name: str = "name", domain: str = "domain") -> DataFrame:
-    return rows.withColumns(
-        {"norm_key": normalized_name(F.col(name)), "domain_key": clean_domain(F.col(domain))}
-    )
+    return once(rows, {"norm_key": normalized_name(F.col(name)), "domain_key": clean_domain(F.col(domain))})
 
 
 def resolve(existing: DataFrame, mentioned: DataFrame) -> Identity:
-    keyed = with_identity_keys(mentioned).groupBy("norm_key", "domain_key").agg(
-        F.min("seq").alias("seq"),
-        F.min_by(strip(F.col("name")), "seq").alias("name"),
-        F.min("observed_at").alias("seen_from"),
-        F.max("observed_at").alias("seen_to"),
+    # One row per distinct (name, domain): written once, as everything below starts from it.
+    keyed = cut(
+        with_identity_keys(mentioned)
+        .groupBy("norm_key", "domain_key")
+        .agg(
+            F.min(F.struct("seq", "name")).alias("first"),
+            F.min("observed_at").alias("seen_from"),
+            F.max("observed_at").alias("seen_to"),
+        )
+        .select("norm_key", "domain_key", "first.seq", strip(F.col("first.name")).alias("name"), "seen_from", "seen_to")
     )
     domains = (
         keyed.filter(F.col("domain_key").isNotNull())
@@ -86,16 +91,18 @@ def resolve(existing: DataFrame, mentioned: DataFrame) -> Identity:
     plain_first = F.col("plain.seq").isNotNull() & (
         F.col("new_domain").isNull() | (F.col("plain.seq") < F.col("new_domain.seq"))
     )
-    names = names.select(
-        "norm_key", "plain", "new_domain", "oldest", "open_id",
-        (F.col("oldest").isNull() & plain_first).alias("opens"),
-    ).withColumn(
-        "anchor_id",
-        F.coalesce(
-            "oldest.id",
-            F.when(F.col("opens"), company_key("n", F.col("norm_key"))),
-            company_key("d", F.col("new_domain.domain_key")),
-        ),
+    names = cut(
+        names.select(
+            "norm_key", "plain", "new_domain", "oldest", "open_id",
+            (F.col("oldest").isNull() & plain_first).alias("opens"),
+        ).withColumn(
+            "anchor_id",
+            F.coalesce(
+                "oldest.id",
+                F.when(F.col("opens"), company_key("n", F.col("norm_key"))),
+                company_key("d", F.col("new_domain.domain_key")),
+            ),
+        )
     )
     # A company without a domain, stored or just opened, goes to the first new domain of its name.
     adopting = names.filter(
@@ -104,7 +111,7 @@ def resolve(existing: DataFrame, mentioned: DataFrame) -> Identity:
         F.col("new_domain.domain_key").alias("domain_key"),
         F.coalesce("open_id", "anchor_id").alias("adopted_id"),
     )
-    resolved = (
+    resolved = cut(
         placed.join(adopting, "domain_key", "left")
         .withColumn("company_id", F.coalesce("known_id", "adopted_id", company_key("d", F.col("domain_key"))))
     )
@@ -129,8 +136,7 @@ def resolve(existing: DataFrame, mentioned: DataFrame) -> Identity:
     }
     taken = adopting.select(F.col("adopted_id").alias("id"), F.col("domain_key").alias("_taken"))
     seen = (
-        by_domain.join(domains.select("domain_key", "seen_to"), "domain_key")
-        .select(F.col("company_id").alias("id"), "seen_to")
+        resolved.select(F.col("company_id").alias("id"), "seen_to")
         .unionByName(
             names.filter(F.col("plain").isNotNull()).select(
                 F.col("anchor_id").alias("id"), F.col("plain.seen_to").alias("seen_to")

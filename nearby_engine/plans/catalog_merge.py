@@ -36,6 +36,7 @@ from nearby_engine.plans.views import (
     search_tables,
     with_views,
 )
+from nearby_engine.session import cut
 from nearby_engine.sources.evidence import company_rows, job_rows, parse_batches
 from nearby_engine.sources.tables import empty_tables
 
@@ -121,7 +122,8 @@ def batch_lines(rows: DataFrame, faults: bool = False) -> DataFrame:
 
 
 def batches(spark: SparkSession, folder: str, faults: bool = False) -> DataFrame:
-    return parse_batches(batch_lines(records(spark, folder), faults))
+    """The landed batches; written out once, as files that land would be."""
+    return parse_batches(cut(batch_lines(records(spark, folder), faults)))
 
 
 R = f"r AS ({check_sql(RECORDS)})"
