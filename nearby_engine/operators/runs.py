@@ -28,15 +28,15 @@ def fold_source_runs(events: DataFrame) -> DataFrame:
         events.groupBy("discovery_job_id", "source")
         .agg(
             F.max_by(F.struct(*SOURCE_RUN_LAST), "seq").alias("_last"),
-            F.min("at").alias("created_at"),
-            F.max("at").alias("updated_at"),
+            F.min("happened_at").alias("created_at"),
+            F.max("happened_at").alias("updated_at"),
         )
         .select("discovery_job_id", "source", "_last.*", "created_at", "updated_at")
     )
 
 
 def fold_runs(events: DataFrame) -> DataFrame:
-    """State of every run from its events (run_id, seq, at, kind, status, error, counts).
+    """State of every run from its events (run_id, seq, happened_at, kind, status, error, counts).
 
     Kinds are ``create``, ``claim``, ``cancel`` and ``finish``. A cancel of an open run sticks. A
     finish counts for a running or cancelled run: the first one ends a running run, later ones only
@@ -44,9 +44,9 @@ def fold_runs(events: DataFrame) -> DataFrame:
     """
     claim, stop = F.col("kind") == "claim", F.col("kind") == "cancel"
     marks = events.groupBy("run_id").agg(
-        F.min(F.when(claim, F.struct("seq", "at"))).alias("claimed"),
+        F.min(F.when(claim, F.struct("seq", "happened_at"))).alias("claimed"),
         F.min(F.when(stop, F.col("seq"))).alias("cancel_seq"),
-        F.min(F.when(F.col("kind") == "create", F.col("at"))).alias("created_at"),
+        F.min(F.when(F.col("kind") == "create", F.col("happened_at"))).alias("created_at"),
     )
     opened = F.least("claimed.seq", "cancel_seq")
     finishes = events.filter(F.col("kind") == "finish").join(marks, "run_id").filter(F.col("seq") > opened)
@@ -63,7 +63,7 @@ def fold_runs(events: DataFrame) -> DataFrame:
     wrong = ~completed & F.col("error").isNotNull()
     completed_seq, error_seq = F.max(F.when(completed, F.col("seq"))), F.max(F.when(wrong, F.col("seq")))
     totals = counted.groupBy("run_id").agg(
-        F.max("at").alias("finished_at"),
+        F.max("happened_at").alias("finished_at"),
         F.when(completed_seq.isNull() | (error_seq > completed_seq), last_set("error", wrong)).alias("error"),
         *[last_set(c, F.col(c).isNotNull()).alias(c) for c in COUNTS],
     )
@@ -76,7 +76,7 @@ def fold_runs(events: DataFrame) -> DataFrame:
         .otherwise("pending")
     )
     started = F.when(
-        F.col("cancel_seq").isNull() | (F.col("claimed.seq") < F.col("cancel_seq")), F.col("claimed.at")
+        F.col("cancel_seq").isNull() | (F.col("claimed.seq") < F.col("cancel_seq")), F.col("claimed.happened_at")
     )
     return joined.select(
         "run_id", status.alias("status"), "created_at", started.alias("started_at"), "finished_at", "error",
