@@ -86,15 +86,15 @@ def sphere_cell(lat: Column, lng: Column, side_m: float) -> Column:
 
 def touching_cells(cell: Column) -> Column:
     """The cube itself and the 26 around it, as an array."""
-    steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
-    return F.array(
-        *[
-            F.struct(
-                (cell["x"] + x).alias("x"), (cell["y"] + y).alias("y"), (cell["z"] + z).alias("z")
-            )
-            for x, y, z in steps
-        ]
-    )
+
+    def moved(i: Column) -> Column:
+        return F.struct(
+            (cell["x"] + i % 3 - 1).alias("x"),
+            (cell["y"] + F.floor(i / 3) % 3 - 1).alias("y"),
+            (cell["z"] + F.floor(i / 9) - 1).alias("z"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.lit(26)), moved)
 
 
 def valid_pair(lat: Column, lng: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +19,11 @@ TRIGRAM_GAP = r"[^\p{L}\p{N}]+"
 TRIGRAM_THRESHOLD = 0.3
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space, ends are trimmed."""
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
@@ -51,12 +58,13 @@ def casefold(text: Column) -> Column:
     for char in COMMON_FOLDS:
         lowered = F.replace(lowered, F.lit(char), F.lit(char.casefold()))
     rare = {char: fold for char, fold in FOLDS.items() if char not in COMMON_FOLDS}
-    table = F.create_map(*[F.lit(x) for pair in FOLDS.items() for x in pair])
+    # One literal instead of a node per entry keeps plans that fold case small.
+    table = F.from_json(F.lit(json.dumps(FOLDS)), "map<string,string>")
     folded = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lower(c))), ""
     )
     is_rare = F.length(F.translate(text, "".join(rare), "")) < F.length(text)
-    return F.when(is_rare, F.lower(folded)).otherwise(lowered)
+    return F.when(is_rare, folded).otherwise(lowered)
 
 
 def normalized_name(name: Column) -> Column:

@@ -7,13 +7,14 @@ parsers give null for links that browsers and crawlers accept.
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearby_engine.functions.text import strip
+from nearby_engine.functions.text import let, strip
 
 GENERIC = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -87,15 +88,19 @@ def clean_domain(domain: Column) -> Column:
 
 def normalized_url(url: Column) -> Column:
     """Lower-case host, default port and fragment dropped, empty path becomes ``/``."""
-    value = strip(url)
-    name = host(value)
-    shown = F.when(name.contains(":"), F.concat(F.lit("["), name, F.lit("]"))).otherwise(name)
-    default = F.when(scheme(value) == "http", F.lit(80)).otherwise(F.lit(443))
-    number = F.coalesce(F.nullif(port(value), F.lit(0)), default)
-    suffix = F.when(number == default, F.lit("")).otherwise(F.concat(F.lit(":"), number.cast("string")))
-    trail = F.when(query(value) != "", F.concat(F.lit("?"), query(value))).otherwise(F.lit(""))
-    body = F.when(path(value) == "", F.lit("/")).otherwise(path(value))
-    return F.concat(scheme(value), F.lit("://"), shown, suffix, body, trail)
+
+    def build(value: Column) -> Column:
+        name, protocol = host(value), scheme(value)
+        shown = F.when(netloc(value).contains("["), F.concat(F.lit("["), name, F.lit("]"))).otherwise(name)
+        default = F.when(protocol == "http", 80).otherwise(443)
+        number = port(value)
+        plain = number.isNull() | (number == 0) | (number == default)
+        suffix = F.when(plain, "").otherwise(F.concat(F.lit(":"), number.cast("string")))
+        asked = F.regexp_extract(value, r"(?s)^[^?#]*(\?[^#]+)", 1)
+        body = F.when(path(value) == "", "/").otherwise(path(value))
+        return F.concat(protocol, F.lit("://"), shown, suffix, body, asked)
+
+    return let(strip(url), build)
 
 
 def without_fragment(url: Column) -> Column:
@@ -104,37 +109,40 @@ def without_fragment(url: Column) -> Column:
 
 def _without_dots(full_path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    parts = F.split(F.regexp_replace(full_path, "^/", ""), "/")
-    ends_open = full_path.rlike(r"(^|/)\.{1,2}$")
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda stack, part: F.when(part == ".", stack)
-        .when(part == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
-        .otherwise(F.array_append(stack, part)),
-    )
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    resolved = F.when(ends_open & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
-    return F.when(full_path.rlike(r"(^|/)\.{1,2}(/|$)"), resolved).otherwise(full_path)
+
+    def walk(given: Column) -> Column:
+        kept = F.aggregate(
+            F.split(F.regexp_replace(given, "^/", ""), "/"),
+            F.array().cast("array<string>"),
+            lambda stack, part: F.when(part == ".", stack)
+            .when(part == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
+            .otherwise(F.array_append(stack, part)),
+        )
+        joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+        # A path that ends in a dot segment ends in a slash.
+        open_end = F.when(given.rlike(r"/\.{1,2}$"), "/").otherwise("")
+        return F.regexp_replace(F.concat(joined, open_end), "//$", "/")
+
+    return F.when(full_path.rlike(r"/\.{1,2}(/|$)"), let(full_path, walk)).otherwise(full_path)
 
 
 def resolve(reference: Column, base: Column) -> Column:
     """A link resolved on the page it was found on (RFC 3986, section 5.2)."""
-    origin = F.concat(F.regexp_extract(base, GENERIC, 1), F.lit("://"), netloc(base))
-    folder = F.regexp_extract(path(base), r"^(.*/)", 1)
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*/|/)", 1)
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    ref_path = path(reference)
+    ref_path = F.regexp_extract(reference, r"^([^?#]*)", 1)
     tail = F.regexp_extract(reference, r"(?s)^[^?#]*(.*)$", 1)
-    base_query = F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise(F.lit(""))
-    hashed = F.regexp_extract(reference, r"(?s)^[^#]*(#.*)$", 1)
+    # Empty steps vanish when a relative path is merged with its page's folder.
+    merged = F.regexp_replace(F.concat(folder, ref_path), "/{2,}", "/")
     return (
-        F.when(F.regexp_extract(reference, GENERIC, 1) != "", reference)
+        F.when(reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), reference)
         .when(reference == "", base)
         .when(reference.startswith("//"), F.concat(F.regexp_extract(base, GENERIC, 1), F.lit(":"), reference))
-        .when(ref_path.startswith("/"), F.concat(origin, _without_dots(ref_path), tail))
-        .when(ref_path != "", F.concat(origin, _without_dots(F.concat(folder, ref_path)), tail))
-        .when(reference.startswith("?"), F.concat(origin, path(base), tail))
-        .otherwise(F.concat(origin, path(base), base_query, hashed))
+        .when(reference.startswith("/"), F.concat(origin, _without_dots(ref_path), tail))
+        .when(reference.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), tail))
+        .when(reference.startswith("#"), F.concat(without_fragment(base), tail))
+        .otherwise(F.concat(origin, _without_dots(merged), tail))
     )
 
 
@@ -195,63 +203,81 @@ def lever_token(url: Column) -> Column:
     return F.when((host(value) == LEVER_HOST) & first.rlike(TOKEN_FORMAT), first)
 
 
-def _public_address(address: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bool:
-    """Globally routable unicast, also for an IPv4 address carried inside an IPv6 one."""
-    if not address.is_global or address.is_multicast or address.is_reserved:
-        return False
-    if address.version == 4:
-        return not (address.is_private or address.is_loopback or address.is_link_local or address.is_unspecified)
-    carried = [address.ipv4_mapped, address.sixtofour]
-    if address in ipaddress.ip_network("64:ff9b::/96"):
-        carried.append(ipaddress.IPv4Address(int(address) & 0xFFFFFFFF))
-    return all(_public_address(inner) for inner in carried if inner is not None)
+# IPv4 blocks that are not publicly routable unicast, and the two exceptions inside them.
+NOT_PUBLIC_V4 = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
+    "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+]
+PUBLIC_V4_EXCEPTIONS = ["192.0.0.9/32", "192.0.0.10/32"]
+NAT64 = ipaddress.ip_network("64:ff9b::/96")
 
+OCTET = r"(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
+DOTTED = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 
-def _literal(name: str) -> ipaddress.IPv4Address | ipaddress.IPv6Address | None:
-    """The address behind dotted, decimal, hexadecimal or IPv6 text, else None."""
-    try:
-        if name.isdigit():
-            return ipaddress.IPv4Address(int(name))
-        if name.startswith("0x"):
-            return ipaddress.IPv4Address(int(name, 16))
-        return ipaddress.ip_address(name)
-    except ValueError:
-        return None
 
+def ipv4_number(name: Column) -> Column:
+    """A host written as dotted, decimal or hexadecimal IPv4 address as a number, else null."""
+    parts = F.split(name, r"\.")
+
+    def octet(i: int) -> Column:
+        return F.get(parts, F.lit(i)).try_cast("long")
 
-def _host_is_public(name: str) -> bool:
-    address = _literal(name)
-    if address is None:
+    dotted = octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)
+    number = (
+        F.when(name.rlike(DOTTED), dotted)
+        .when(name.rlike(r"^\d{1,18}$"), name.try_cast("long"))
+        .when(name.rlike(r"^0x[0-9a-f]{1,15}$"), F.conv(F.substr(name, F.lit(3)), 16, 10).try_cast("long"))
+    )
+    return F.when(number < 4294967296, number)
+
+
+def _within(number: Column, blocks: list[str]) -> Column:
+    hits = [
+        number.between(int(net.network_address), int(net.broadcast_address))
+        for net in map(ipaddress.ip_network, blocks)
+    ]
+    return reduce(Column.__or__, hits)
+
+
+def _is_unicast(address: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bool:
+    return address.is_global and not (address.is_reserved or address.is_multicast)
+
+
+def _v6_is_public(name: str) -> bool:
+    """Whether IPv6 text is a public address, also through an IPv4 address it carries."""
+    try:
+        address = ipaddress.IPv6Address(name)
+    except ValueError:
         return True
-    if address.version == 6 and address in ipaddress.ip_network("64:ff9b::/96"):
-        return _public_address(ipaddress.IPv4Address(int(address) & 0xFFFFFFFF))
-    return _public_address(address)
+    if address in NAT64:
+        return _is_unicast(ipaddress.IPv4Address(int(address) & 0xFFFFFFFF))
+    return _is_unicast(address) and (address.sixtofour is None or _is_unicast(address.sixtofour))
 
 
 @F.pandas_udf(T.BooleanType())
-def _public_literals(hosts: pd.Series) -> pd.Series:
-    known = {name: _host_is_public(name) for name in hosts.dropna().unique()}
+def _public_v6(hosts: pd.Series) -> pd.Series:
+    known = {name: _v6_is_public(name) for name in hosts.dropna().unique()}
     return hosts.map(known).astype("object")
 
 
-ADDRESS_LIKE = r"^(\d+|0x.*|\d+\.\d+\.\d+\.\d+|.*:.*)$"
-
-
 def is_public_url(url: Column) -> Column:
     """http(s), no credentials, no localhost, and no address literal outside the public range.
 
-    Names are not resolved. Only hosts that look like an address literal reach Python.
+    Names are not resolved. IPv4 in any notation is judged by number; only IPv6 text reaches Python.
     """
     value = strip(url)
     name = host(value)
-    literal_ok = F.coalesce(_public_literals(F.when(name.rlike(ADDRESS_LIKE), name)), F.lit(True))
+    v4_ok = let(
+        let(name, ipv4_number), lambda n: ~_within(n, NOT_PUBLIC_V4) | _within(n, PUBLIC_V4_EXCEPTIONS)
+    )
+    v6_ok = _public_v6(F.when(name.contains(":"), name))
     return F.coalesce(
         scheme(value).isin("http", "https")
         & ~netloc(value).contains("@")
         & (name != "")
         & (name != "localhost")
         & ~name.endswith(".localhost")
-        & literal_ok,
+        & F.coalesce(v4_ok, v6_ok, F.lit(True)),
         F.lit(False),
     )
 
