@@ -7,7 +7,6 @@ parsers give null for links that browsers and crawlers accept.
 from __future__ import annotations
 
 import ipaddress
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +17,9 @@ from nearby_engine.functions.text import let, strip
 
 GENERIC = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
+# Host of a URL: text in brackets, or up to port, path, query or fragment.
+HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^:/?#\[\s]*))"
+
 # Path or query words that make a link irrelevant or unsafe to follow.
 REJECT_TOKENS = [
     "logout", "signout", "login", "signin",
@@ -65,10 +67,7 @@ def query(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host without credentials, port and brackets; empty when there is none."""
-    bare = F.regexp_replace(netloc(url), r"^.*@", "")
-    return F.lower(
-        F.concat(F.regexp_extract(bare, r"^\[([^\]]*)\]", 1), F.regexp_extract(bare, r"^([^\[:]*)", 1))
-    )
+    return F.lower(F.concat(F.regexp_extract(url, HOST, 1), F.regexp_extract(url, HOST, 2)))
 
 
 def port(url: Column) -> Column:
@@ -203,40 +202,31 @@ def lever_token(url: Column) -> Column:
     return F.when((host(value) == LEVER_HOST) & first.rlike(TOKEN_FORMAT), first)
 
 
-# IPv4 blocks that are not publicly routable unicast, and the two exceptions inside them.
+# IPv4 blocks that are not publicly routable unicast, as text patterns. The last
+# numbers 9 and 10 of 192.0.0.0/24 are public.
 NOT_PUBLIC_V4 = [
-    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
-    "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+    r"0\.", r"10\.", r"100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.", r"127\.", r"169\.254\.",
+    r"172\.(?:1[6-9]|2\d|3[01])\.", r"192\.0\.0\.(?!(?:9|10)$)", r"192\.0\.2\.", r"192\.168\.",
+    r"198\.1[89]\.", r"198\.51\.100\.", r"203\.0\.113\.", r"22[4-9]\.", r"2[345]\d\.",
 ]
-PUBLIC_V4_EXCEPTIONS = ["192.0.0.9/32", "192.0.0.10/32"]
 NAT64 = ipaddress.ip_network("64:ff9b::/96")
 
 OCTET = r"(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
 DOTTED = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
+NUMERIC = r"^(?:\d{1,18}|0x[0-9a-f]{1,15})$"
 
 
-def ipv4_number(name: Column) -> Column:
-    """A host written as dotted, decimal or hexadecimal IPv4 address as a number, else null."""
-    parts = F.split(name, r"\.")
+def dotted_ipv4(name: Column) -> Column:
+    """A host in decimal or hexadecimal notation as dotted text; any other host as it is."""
+    number = F.when(
+        name.startswith("0x"), F.conv(F.substr(name, F.lit(3)), 16, 10).try_cast("long")
+    ).otherwise(name.try_cast("long"))
 
-    def octet(i: int) -> Column:
-        return F.get(parts, F.lit(i)).try_cast("long")
-
-    dotted = octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)
-    number = (
-        F.when(name.rlike(DOTTED), dotted)
-        .when(name.rlike(r"^\d{1,18}$"), name.try_cast("long"))
-        .when(name.rlike(r"^0x[0-9a-f]{1,15}$"), F.conv(F.substr(name, F.lit(3)), 16, 10).try_cast("long"))
-    )
-    return F.when(number < 4294967296, number)
+    def dotted(n: Column) -> Column:
+        octets = [F.shiftright(n, bits).bitwiseAND(F.lit(255)).cast("string") for bits in (24, 16, 8, 0)]
+        return F.when(n < 4294967296, F.concat_ws(".", *octets))
 
-
-def _within(number: Column, blocks: list[str]) -> Column:
-    hits = [
-        number.between(int(net.network_address), int(net.broadcast_address))
-        for net in map(ipaddress.ip_network, blocks)
-    ]
-    return reduce(Column.__or__, hits)
+    return F.when(name.rlike(NUMERIC), F.coalesce(let(number, dotted), name)).otherwise(name)
 
 
 def _is_unicast(address: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bool:
@@ -265,18 +255,15 @@ def is_public_url(url: Column) -> Column:
 
     Names are not resolved. IPv4 in any notation is judged by number; only IPv6 text reaches Python.
     """
-    value = strip(url)
-    name = host(value)
-    v4_ok = let(
-        let(name, ipv4_number), lambda n: ~_within(n, NOT_PUBLIC_V4) | _within(n, PUBLIC_V4_EXCEPTIONS)
-    )
+    name = host(url)
+    address = dotted_ipv4(name)
+    v4_ok = F.when(address.rlike(DOTTED), ~address.rlike("^(?:" + "|".join(NOT_PUBLIC_V4) + ")"))
     v6_ok = _public_v6(F.when(name.contains(":"), name))
     return F.coalesce(
-        scheme(value).isin("http", "https")
-        & ~netloc(value).contains("@")
+        url.rlike(r"(?i)^\s*https?://")
+        & ~url.rlike(r"^\s*[^:/?#]+://[^/?#]*@")
         & (name != "")
-        & (name != "localhost")
-        & ~name.endswith(".localhost")
+        & ~name.rlike(r"(^|\.)localhost$")
         & F.coalesce(v4_ok, v6_ok, F.lit(True)),
         F.lit(False),
     )
