@@ -1,6 +1,6 @@
 """Loads every module that registers queries."""
 
-from nearby_engine.llm import queries_native  # noqa: F401
+from nearby_engine.llm import queries_free, queries_native  # noqa: F401
 from nearby_engine.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
