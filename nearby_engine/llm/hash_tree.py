@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nearby_engine.llm.ordering import range_buckets
-from nearby_engine.session import cut
+from nearby_engine.llm.storage import stored
 
 #: Draws are integers of 52 bits, read from the first 13 hex digits of an MD5.
 DRAW_DIGITS = 13
@@ -90,7 +90,7 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, rows_per_buck
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     slim = docs.select("doc_id", key.alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    placed = cut(
+    placed = stored(
         slim.select(
             "doc_id", "size", "text_crc32", shard_of(F.col("key"), tree).cast("int").alias("shard"),
             (F.lit(None) if grown is None else shard_of(F.col("key"), grown)).cast("int").alias("grown_shard"),

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from nearby_engine.llm.components import connected_components
+from nearby_engine.llm.storage import stored
 from nearby_engine.llm.workers import kept
-from nearby_engine.session import cut, fresh_folder
 
 #: Signature length, orders, and the least and greatest prefix (components) that a region is cut by.
 HASHES, ORDERS, SHALLOW, DEEP = 64, 16, 4, 8
@@ -61,6 +61,11 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
     return draw.integers(0, high, HASHES, np.uint64) | np.uint64(1), draw.integers(0, high, HASHES, np.uint64)
 
 
+def digest(hashes: np.ndarray) -> int:
+    """The name of a set: 64 bits, signed."""
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """One row of HASHES 32-bit minima per non-empty set."""
     flat = np.concatenate(sets)
@@ -86,8 +91,8 @@ def _rows(names_kinds: dict[str, pa.DataType], columns) -> pa.RecordBatch:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit digest of the set), signature (bytes); the last two null for empty sets."""
-    kinds = {"n_shingles": pa.int64(), "node": pa.string(), "signature": pa.binary()}
+    """doc_id, n_shingles, node (64-bit digest of the set), signature (bytes); the last two null for empty sets."""
+    kinds = {"n_shingles": pa.int64(), "node": pa.int64(), "signature": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,17 +101,17 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                 sets = [shingle_set(t, k) for t in part.column(1).to_pylist()]
                 filled = [s for s in sets if len(s)]
                 rows = iter(signatures(filled).astype(">u4")) if filled else iter(())
-                described = [(len(s), xxhash.xxh128_hexdigest(s.tobytes()), next(rows).tobytes()) if len(s) else (0, None, None) for s in sets]
+                described = [(len(s), digest(s), next(rows).tobytes()) if len(s) else (0, None, None) for s in sets]
                 made = _rows(kinds, zip(*described))
                 yield pa.RecordBatch.from_arrays([part.column(0), *made.columns], names=["doc_id", *kinds])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node string, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, signature binary")
 
 
 def _runs(nodes: DataFrame) -> DataFrame:
     """tree, key, node: each node once per order, the key being the reordered signature (big-endian, so it sorts)."""
-    kinds = {"tree": pa.int32(), "key": pa.binary(), "node": pa.string()}
+    kinds = {"tree": pa.int32(), "key": pa.binary(), "node": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = orders()
@@ -118,7 +123,7 @@ def _runs(nodes: DataFrame) -> DataFrame:
                 width = 4 * DEEP
                 yield _rows(kinds, ([tree] * len(names), [keys[i : i + width] for i in range(0, len(keys), width)], names))
 
-    return nodes.select("node", "signature").mapInArrow(run, "tree int, key binary, node string")
+    return nodes.select("node", "signature").mapInArrow(run, "tree int, key binary, node long")
 
 
 def neighbour_pairs(runs: DataFrame) -> DataFrame:
@@ -128,7 +133,7 @@ def neighbour_pairs(runs: DataFrame) -> DataFrame:
     the partitions, two rows each, are paired in a second step.
     """
     prefix = 4 * SHALLOW
-    kinds = {"a": pa.string(), "b": pa.string(), "tree": pa.int32(), "key": pa.binary(), "place": pa.int64()}
+    kinds = {"a": pa.int64(), "b": pa.int64(), "tree": pa.int32(), "key": pa.binary(), "place": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last = TaskContext.get().partitionId(), None
@@ -146,9 +151,9 @@ def neighbour_pairs(runs: DataFrame) -> DataFrame:
         if last is not None:
             yield _rows(kinds, ([last[2]], [None], [last[0]], [last[1]], [2 * part + 1]))
 
-    scanned = cut(
+    scanned = stored(
         runs.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-        .mapInArrow(run, "a string, b string, tree int, key binary, place long")
+        .mapInArrow(run, "a long, b long, tree int, key binary, place long")
     )
     inner = scanned.where("b is not null").select("a", "b")
     # Two rows per partition: the window over them stays small at any size.
@@ -169,14 +174,14 @@ def regional_pairs(runs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
     nodes are all of one group are done. A region of more than REGION nodes is cut by a longer prefix, and at the
     longest prefix into blocks whose pairs are compared in tasks of their own.
     """
-    grouped = cut(
+    grouped = stored(
         runs.join(groups.withColumnRenamed("component", "g"), "node", "left").select("tree", "key", "node", F.coalesce("g", "node").alias("g"))
     )
     small, depth, open_rows = [], SHALLOW, grouped
     while True:
         region = ["tree", "prefix"]
         here = open_rows.withColumn("prefix", F.substring("key", 1, 4 * depth))
-        mixed = cut(here.groupBy(*region).agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select(*region, "n"))
+        mixed = stored(here.groupBy(*region).agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select(*region, "n"))
         kept = here.join(mixed, region)
         if depth == DEEP:
             blocks = F.ceil(F.col("n") / REGION).cast("int")
@@ -185,7 +190,7 @@ def regional_pairs(runs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
         small.append(kept.where(f"n <= {REGION}").select("node", "g", *region, F.lit(1).alias("blocks")))
         if mixed.where(f"n > {REGION}").isEmpty():
             break
-        open_rows, depth = cut(kept.where(f"n > {REGION}").select("tree", "key", "node", "g")), depth + 1
+        open_rows, depth = stored(kept.where(f"n > {REGION}").select("tree", "key", "node", "g")), depth + 1
     members = functools.reduce(DataFrame.unionByName, small)
     mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     # Block i meets every block j: the task (low, high) holds both.
@@ -214,7 +219,7 @@ def regional_pairs(runs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, name = [], None
-        kinds = {"a": pa.string(), "b": pa.string()}
+        kinds = {"a": pa.int64(), "b": pa.int64()}
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[:4] != name:
@@ -225,58 +230,71 @@ def regional_pairs(runs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
         if len(held) > 1 and (found := list(compare(held))):
             yield _rows(kinds, zip(*found))
 
-    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a string, b string").distinct()
+    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, percent: int, block: int = 500) -> DataFrame:
-    """a, b: the pairs whose full sets are similar enough: 100 * intersection >= percent * union.
+def confirm(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, percent: int, most_pairs: int = 2000) -> DataFrame:
+    """a, b: a spanning forest of the pairs whose full sets are similar enough: 100 * intersection >= percent * union.
 
-    Pairs are dealt by the group of candidates they belong to, so that each set travels about once; a large group is cut
-    into blocks, and a set travels only to the blocks that it has a pair with. Sets are made anew from the texts of one
-    document per node.
+    Pairs are dealt by the least neighbour of their first node, so that the sets of a small group meet in one place;
+    where more than ``most_pairs`` meet, they are dealt on by the first node. Sets are made anew from the texts of one
+    document per node, and travel to the places where they have a pair.
     """
-    pairs = cut(pairs)
-    groups = cut(connected_components(pairs))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = cut(
-        groups.join(sizes, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"))
-    )
-    left = placed.select(F.col("node").alias("a"), "component", F.col("block").alias("i"))
-    right = placed.select(F.col("node").alias("b"), F.col("block").alias("j"))
-    dealt = cut(pairs.join(left, "a").join(right, "b").select("component", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "a", "b"))
-    cell = ["component", "low", "high"]
-    needed = dealt.select(*cell, F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = described.where("node is not null").join(placed.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    pairs = stored(pairs)
+    least = pairs.select(F.col("a"), F.col("b").alias("m")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("m")))
+    least = stored(least.groupBy("a").agg(F.least("a", F.min("m")).alias("cell")))
+    placed = pairs.join(least, "a")
+    crowded = stored(placed.groupBy("cell").count().where(f"count > {most_pairs}"))
+    block = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("count") / most_pairs), F.lit(1)))
+    dealt = stored(placed.join(crowded, "cell", "left").select("cell", block.alias("block"), "a", "b"))
+    where = ["cell", "block"]
+    needed = dealt.select(*where, F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = described.join(least.select(F.col("a").alias("node")), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, k).tobytes() for t in batch.column(0).to_pylist()]
-            yield _rows({"node": pa.string(), "data": pa.binary()}, ([xxhash.xxh128_hexdigest(s) for s in sets], sets))
+            sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
+            yield _rows({"node": pa.int64(), "data": pa.binary()}, ([digest(s) for s in sets], [s.tobytes() for s in sets]))
 
-    texts = docs.select("doc_id", "text").join(chosen.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(make, "node string, data binary")
-    rows = needed.join(sets, "node").select(*cell, F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), "data")
-    rows = rows.unionByName(dealt.select(*cell, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("data")))
+    texts = docs.select("doc_id", "text").join(stored(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = texts.select("text").mapInArrow(make, "node long, data binary")
+    nothing = F.lit(None)
+    rows = needed.join(sets, "node").select(*where, F.lit(0).alias("kind"), F.col("node").alias("a"), nothing.cast("long").alias("b"), "data")
+    rows = rows.unionByName(dealt.select(*where, F.lit(1).alias("kind"), "a", "b", nothing.cast("binary").alias("data")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, {}
+        name, held, parent = None, {}, {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        def stars() -> list[tuple[int, int]]:
+            return [(x, root(x)) for x in parent]
+
         for batch in batches:
             found = []
-            for c, low, high, kind, a, b, data in zip(*[x.to_pylist() for x in batch.columns]):
-                if (c, low, high) != name:
-                    name, held = (c, low, high), {}
+            for cell, at, kind, a, b, data in zip(*[x.to_pylist() for x in batch.columns]):
+                if (cell, at) != name:
+                    found += stars()
+                    name, held, parent = (cell, at), {}, {}
                 if kind == 0:
                     held[a] = np.frombuffer(data, np.uint64)
-                else:
-                    x, y = held[a], held[b]
-                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if 100 * both >= percent * (len(x) + len(y) - both):
-                            found.append((a, b))
+                    continue
+                x, y, p, q = held[a], held[b], root(a), root(b)
+                # Linked already, or too unequal in size to be similar.
+                if p == q or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    parent[max(p, q)] = min(p, q)
             if found:
-                yield _rows({"a": pa.string(), "b": pa.string()}, zip(*found))
+                yield _rows({"a": pa.int64(), "b": pa.int64()}, zip(*found))
+        if parent:
+            yield _rows({"a": pa.int64(), "b": pa.int64()}, zip(*stars()))
 
-    return rows.repartition(*cell).sortWithinPartitions(*cell, "kind").mapInArrow(run, "a string, b string")
+    return rows.repartition(*where).sortWithinPartitions(*where, "kind").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -287,21 +305,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     ids; a null doc_id takes part in links but is nobody's smallest id, and a group without any id has component_id null;
     kept is then true for null. Extra columns are left out; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    path = fresh_folder(spark, "signatures")
-    describe(docs, shingle_words).write.parquet(path)
-    described = spark.read.parquet(path)
-    nodes = cut(described.where("node is not null").groupBy("node").agg(F.min("signature").alias("signature")))
-    runs = cut(_runs(nodes))
-    first = cut(confirm(neighbour_pairs(runs), docs, described, shingle_words, percent))
-    groups = cut(connected_components(first))
-    more = cut(confirm(regional_pairs(runs, nodes, groups), docs, described, shingle_words, percent))
+    described = stored(describe(docs, shingle_words))
+    nodes = stored(described.where("node is not null").groupBy("node").agg(F.min("signature").alias("signature")))
+    runs = stored(_runs(nodes))
+    first = stored(confirm(neighbour_pairs(runs), docs, described, shingle_words, percent))
+    groups = stored(connected_components(first))
+    more = stored(confirm(regional_pairs(runs, nodes, groups), docs, described, shingle_words, percent))
     if not more.isEmpty():
-        groups = cut(connected_components(first.unionByName(more)))
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = stored(connected_components(stars.unionByName(more)))
     labelled = described.select("doc_id", "n_shingles", "node").join(groups, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("g")
     )
-    least = cut(labelled.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least")))
+    least = stored(labelled.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least")))
     return labelled.join(least, "g", "left").select(
         "doc_id", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

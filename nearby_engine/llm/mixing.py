@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from nearby_engine.session import cut
+from nearby_engine.llm.storage import stored
 
 #: A word; sizes count words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,7 +26,7 @@ def source_rates(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most_re
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = (F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1) % len(weights)
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), turn)
-    table = cut(per_source.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most_repeats).alias("most")))
+    table = stored(per_source.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most_repeats).alias("most")))
     share, stopped = 0.0, -1
     while True:
         at_most = F.col("most") < F.col("weight") * F.lit(share)
@@ -56,7 +56,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most_repeats
     source is a source of its own (last in order), a null doc_id draws as the text ``null``. Rows that repeat a doc_id
     draw alike. A source without words has target 0 and takes nothing. Extra columns are left out.
     """
-    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    slim = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     rates = source_rates(slim, weights, most_repeats)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     joined = slim.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
