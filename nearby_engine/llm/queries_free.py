@@ -7,10 +7,24 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearby_engine.llm import lsh_forest, toxicity, wavelet
+from nearby_engine.llm import byte_bpe, lsh_forest, pivot_dedup, toxicity, wavelet
 from nearby_engine.llm.registry import register, table
 
 
+@register("op2_byte_bpe")
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by ranks and decoded again."""
+    ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+    vocabulary = byte_bpe.Vocabulary.from_tiktoken(ranks, public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@register("op4_pivot_dedup")
+def op4_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links at cosine 0.9 and its group."""
+    return pivot_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @register("op5_lsh_forest")
 def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate group at 2-word shingles and similarity 0.8."""

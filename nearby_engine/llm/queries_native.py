@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nearby_engine.llm import chat_format, hash_tree, mixing, url_cascade
+from nearby_engine.llm import chat_format, hash_tree, mixing, simhash, url_cascade
 from nearby_engine.llm.registry import register, table
 
 # --- op1: URL filters ----------------------------------------------------------------------------------------------------
@@ -136,3 +136,12 @@ SELECT doc_id, size, 'key' AS law, shard, row_number() OVER (PARTITION BY shard
 def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of two regions, and where they go with a ninth."""
     return hash_tree.assign(table(spark, sf_dir, "documents"), TREE, GROWN)
+
+
+# --- op10: document fingerprints -----------------------------------------------------------------------------------------
+
+
+@register("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document fingerprinted, with its edited text and its next document."""
+    return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
