@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nearby_engine.llm.components import connected_components
 from nearby_engine.llm.storage import stored
@@ -24,12 +24,14 @@ from nearby_engine.llm.workers import kept
 
 #: Signature length, orders, and the least and greatest prefix (components) that a region is cut by.
 HASHES, ORDERS, SHALLOW, DEEP = 64, 16, 4, 8
-#: Most nodes that are compared in one task; a region that is larger at DEEP is cut into blocks, all pairs of which are compared.
+#: Most nodes of a region; one that is larger at DEEP is cut into blocks, all pairs of which are compared.
 REGION = 1024
+#: Most full sets of one side of a comparison.
+SETS = 400
 #: Signatures agree in this share at least before full sets are fetched. At similarity 0.8 the agreement of 64 hashes is
 #: below it with probability 1e-6.
 LEAST_AGREEMENT = 36 / 64
-_MOST_WORDS = 500_000
+_MOST_WORDS = 150_000
 
 
 class _WordHashes(dict):
@@ -167,70 +169,153 @@ def neighbour_pairs(runs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def regional_pairs(runs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b: nodes of different groups that share a region in some run and whose signatures agree enough.
+def _agreeing(rows: list[tuple], at: tuple[int, ...], cross: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """i and the later j that may be similar: of another group, across blocks, with signatures that agree enough.
 
-    ``groups`` (node, component) holds the groups found so far; a node without a row is its own group. Regions whose
-    nodes are all of one group are done. A region of more than REGION nodes is cut by a longer prefix, and at the
-    longest prefix into blocks whose pairs are compared in tasks of their own.
+    ``at`` tells where a row has its group, block and signature; ``cross`` whether blocks must differ.
     """
-    grouped = stored(
-        runs.join(groups.withColumnRenamed("component", "g"), "node", "left").select("tree", "key", "node", F.coalesce("g", "node").alias("g"))
-    )
+    group, block = (np.array([r[x] for r in rows]) for x in at[:2])
+    matrix = np.frombuffer(b"".join(r[at[2]] for r in rows), ">u4").reshape(-1, HASHES)
+    for i in range(len(rows) - 1):
+        fits = group[i + 1 :] != group[i]
+        if cross:
+            fits &= block[i + 1 :] != block[i]
+        if fits.any():
+            later = np.flatnonzero(fits) + i + 1
+            yield i, later[(matrix[later] == matrix[i]).mean(axis=1) >= LEAST_AGREEMENT]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Consecutive rows that agree in their first ``width`` columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and row[:width] != held[0][:width]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
+    """Adds block, low, high: block i meets every block j, and the cell (low, high) holds both."""
+    mine = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda j: F.struct(F.least(mine, j).alias("low"), F.greatest(mine, j).alias("high")))
+    return df.withColumn("block", mine).withColumn("cell", F.explode(cells)).withColumns({"low": F.col("cell.low"), "high": F.col("cell.high")})
+
+
+def regional_candidates(runs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """label, node: nodes that share a region in some run with a node of another group whose signature agrees enough.
+
+    Both nodes of each such pair have a label in common; pairs themselves are never written. ``groups`` (node, component)
+    holds the groups found so far; a node without a row is its own group. Regions whose nodes are all of one group are
+    done. A region of more than REGION nodes is cut by a longer prefix, and at the longest prefix into blocks whose pairs
+    are compared in tasks of their own.
+    """
+    grouped = runs.join(groups.withColumnRenamed("component", "g"), "node", "left").select("tree", "key", "node", F.coalesce("g", "node").alias("g"))
     small, depth, open_rows = [], SHALLOW, grouped
+    region = ["tree", "prefix"]
     while True:
-        region = ["tree", "prefix"]
         here = open_rows.withColumn("prefix", F.substring("key", 1, 4 * depth))
         mixed = stored(here.groupBy(*region).agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select(*region, "n"))
         kept = here.join(mixed, region)
         if depth == DEEP:
-            blocks = F.ceil(F.col("n") / REGION).cast("int")
-            small.append(kept.select("node", "g", *region, blocks.alias("blocks")))
+            small.append(kept.select("node", "g", *region, F.ceil(F.col("n") / REGION).alias("blocks")))
             break
-        small.append(kept.where(f"n <= {REGION}").select("node", "g", *region, F.lit(1).alias("blocks")))
+        small.append(kept.where(f"n <= {REGION}").select("node", "g", *region, F.lit(1).cast("long").alias("blocks")))
         if mixed.where(f"n > {REGION}").isEmpty():
             break
         open_rows, depth = stored(kept.where(f"n > {REGION}").select("tree", "key", "node", "g")), depth + 1
-    members = functools.reduce(DataFrame.unionByName, small)
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    # Block i meets every block j: the task (low, high) holds both.
-    spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("low"), F.greatest(mine, j).alias("high")))
-    dealt = (
-        members.withColumn("cell", F.explode(spread)).withColumn("block", mine)
-        .join(nodes.select("node", "signature"), "node")
-        .select("tree", "prefix", "cell.low", "cell.high", "block", "node", "g", "signature")
-    )
-    cell = ["tree", "prefix", "low", "high"]
-
-    def compare(rows: list[tuple]) -> Iterator[tuple[str, str]]:
-        names = [r[5] for r in rows]
-        group = np.array([r[6] for r in rows])
-        block = np.array([r[4] for r in rows])
-        matrix = np.frombuffer(b"".join(r[7] for r in rows), ">u4").reshape(-1, HASHES)
-        same_cell = rows[0][2] == rows[0][3]
-        for i in range(len(rows) - 1):
-            rest = slice(i + 1, None)
-            fits = (group[rest] != group[i]) & (same_cell | (block[rest] != block[i]))
-            if fits.any():
-                at = np.flatnonzero(fits) + i + 1
-                agree = (matrix[at] == matrix[i]).mean(axis=1)
-                for j in at[agree >= LEAST_AGREEMENT]:
-                    yield min(names[i], names[j]), max(names[i], names[j])
+    members = _in_blocks(functools.reduce(DataFrame.unionByName, small), F.col("blocks")).join(nodes.select("node", "signature"), "node")
+    cell = [*region, "low", "high"]
+    dealt = members.select(*cell, "block", "node", "g", "signature").repartition(*cell).sortWithinPartitions(*cell)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name = [], None
-        kinds = {"a": pa.int64(), "b": pa.int64()}
+        for rows in _cells(batches, 4):
+            names = [r[5] for r in rows]
+            label = list(range(len(rows)))
+
+            def root(i: int) -> int:
+                while label[i] != i:
+                    label[i] = label[label[i]]
+                    i = label[i]
+                return i
+
+            met = set()
+            for i, later in _agreeing(rows, (6, 4, 7), rows[0][2] != rows[0][3]):
+                for j in later.tolist():
+                    label[root(j)] = root(i)
+                    met.update((i, j))
+            if met:
+                least: dict[int, int] = {}
+                for i in met:
+                    least[root(i)] = min(least.get(root(i), names[i]), names[i])
+                yield _rows({"label": pa.int64(), "node": pa.int64()}, ([least[root(i)] for i in met], [names[i] for i in met]))
+
+    return dealt.mapInArrow(run, "label long, node long").distinct()
+
+
+def _full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, data: the sets of the wanted nodes, made anew from the text of one document each."""
+    chosen = described.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:4] != name:
-                    if len(held) > 1 and (found := list(compare(held))):
-                        yield _rows(kinds, zip(*found))
-                    held, name = [], row[:4]
-                held.append(row)
-        if len(held) > 1 and (found := list(compare(held))):
-            yield _rows(kinds, zip(*found))
+            for at in range(0, batch.num_rows, 128):
+                sets = [shingle_set(t, k) for t in batch.column(0).slice(at, 128).to_pylist()]
+                yield _rows({"node": pa.int64(), "data": pa.binary()}, ([digest(s) for s in sets], [s.tobytes() for s in sets]))
+
+    texts = docs.select("doc_id", "text").join(stored(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    return texts.select("text").mapInArrow(make, "node long, data binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirm_across(candidates: DataFrame, nodes: DataFrame, groups: DataFrame, docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links between nodes of different groups that share a label, confirmed on full sets.
+
+    A label with more than SETS nodes is cut into blocks, and each pair of blocks is compared in a task of its own.
+    """
+    candidates = stored(candidates)
+    blocks = candidates.groupBy("label").agg(F.ceil(F.count("*") / SETS).alias("blocks"))
+    wanted = stored(candidates.select("node").distinct())
+    dressed = (
+        nodes.select("node", "signature").join(wanted, "node", "left_semi")
+        .join(groups.withColumnRenamed("component", "g"), "node", "left")
+        .select("node", F.coalesce("g", "node").alias("g"), "signature")
+        .join(_full_sets(docs, described, wanted, k), "node")
+    )
+    cell = ["label", "low", "high"]
+    dealt = _in_blocks(candidates.join(blocks, "label"), F.col("blocks")).join(dressed, "node")
+    dealt = dealt.select(*cell, "block", "node", "g", "signature", "data").repartition(*cell).sortWithinPartitions(*cell)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cells(batches, 3):
+            sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+            parent: dict[int, int] = {}
+
+            def root(g: int) -> int:
+                while parent.get(g, g) != g:
+                    g = parent[g]
+                return g
+
+            found = []
+            for i, later in _agreeing(rows, (5, 3, 6), rows[0][1] != rows[0][2]):
+                for j in later.tolist():
+                    p, q = root(rows[i][5]), root(rows[j][5])
+                    if p != q and similar(sets[i], sets[j], percent):
+                        parent[max(p, q)] = min(p, q)
+                        found.append((rows[i][4], rows[j][4]))
+            if found:
+                yield _rows({"a": pa.int64(), "b": pa.int64()}, zip(*found))
 
-    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, percent: int, most_pairs: int = 2000) -> DataFrame:
@@ -249,15 +334,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, per
     dealt = stored(placed.join(crowded, "cell", "left").select("cell", block.alias("block"), "a", "b"))
     where = ["cell", "block"]
     needed = dealt.select(*where, F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = described.join(least.select(F.col("a").alias("node")), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
-            yield _rows({"node": pa.int64(), "data": pa.binary()}, ([digest(s) for s in sets], [s.tobytes() for s in sets]))
-
-    texts = docs.select("doc_id", "text").join(stored(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(make, "node long, data binary")
+    sets = _full_sets(docs, described, least.select(F.col("a").alias("node")), k)
     nothing = F.lit(None)
     rows = needed.join(sets, "node").select(*where, F.lit(0).alias("kind"), F.col("node").alias("a"), nothing.cast("long").alias("b"), "data")
     rows = rows.unionByName(dealt.select(*where, F.lit(1).alias("kind"), "a", "b", nothing.cast("binary").alias("data")))
@@ -282,12 +359,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, per
                 if kind == 0:
                     held[a] = np.frombuffer(data, np.uint64)
                     continue
-                x, y, p, q = held[a], held[b], root(a), root(b)
-                # Linked already, or too unequal in size to be similar.
-                if p == q or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                p, q = root(a), root(b)
+                if p != q and similar(held[a], held[b], percent):
                     parent[max(p, q)] = min(p, q)
             if found:
                 yield _rows({"a": pa.int64(), "b": pa.int64()}, zip(*found))
@@ -310,7 +383,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     runs = stored(_runs(nodes))
     first = stored(confirm(neighbour_pairs(runs), docs, described, shingle_words, percent))
     groups = stored(connected_components(first))
-    more = stored(confirm(regional_pairs(runs, nodes, groups), docs, described, shingle_words, percent))
+    candidates = regional_candidates(runs, nodes, groups)
+    more = stored(confirm_across(candidates, nodes, groups, docs, described, shingle_words, percent))
     if not more.isEmpty():
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = stored(connected_components(stars.unionByName(more)))
@@ -321,3 +395,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     return labelled.join(least, "g", "left").select(
         "doc_id", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those whose group has a smaller doc_id.
+
+    Rows that repeat both id and text stay once. A row without an id, or without words, stays.
+    """
+    judged = stored(near_duplicates(docs, shingle_words, percent).select("doc_id", "kept"))
+    removed = judged.where("not kept").select(F.col("doc_id").alias("_removed")).distinct()
+    repeated = stored(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated")))
+    rest = docs.join(removed, F.col("doc_id") == F.col("_removed"), "left_anti")
+    if repeated.isEmpty():
+        return rest
+    once = rest.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_anti")
+    many = rest.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(many)
