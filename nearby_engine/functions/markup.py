@@ -17,30 +17,53 @@ LD_JSON = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?[^\"'>]*application/ld\+json[^
 TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
 ADDRESS = r"(?is)<address[^>]*>(.*?)</address\s*>"
 PHONE_LINK = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"'](tel:[^\"']*)"
-HREF = r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
+HREF = r"(?is)<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+ANCHOR = r"(?is)<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'])href\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 LOC = r"(?is)<(?:[A-Za-z0-9_]+:)?loc\s*>\s*(.*?)\s*</(?:[A-Za-z0-9_]+:)?loc\s*>"
 
+ENTITY_OR_TEXT = r"(?s)&#[xX][0-9a-fA-F]{1,6};?|&#[0-9]{1,7};?|&[a-z]{2,4};|[^&]+|&"
+# The named entities of markup itself.
+NAMED_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
 # Markup of pages that need a script engine, and their visible-text limit.
 SHELL_ROOT = r"(?i)<div\b[^>]*\bid=[\"'](?:root|app|__next|__nuxt)[\"'][^>]*>|<app-root\b[^>]*>"
 SHELL_HINT = r"(?is)<noscript\b[^>]*>.*?(?:enable|require|javascript|js).*?</noscript>"
 SHELL_TEXT_LIMIT = 200
 
-# How many lists, graphs or lists in graphs may be nested inside a JSON-LD block.
-ENTITY_DEPTH = 8
-
 
 def page_title(page: Column) -> Column:
     return unescape_entities(F.regexp_extract(page, TITLE, 1))
 
 
+def without_comments(page: Column) -> Column:
+    return F.when(page.contains("<!--"), F.regexp_replace(page, r"(?s)<!--.*?-->", "")).otherwise(page)
+
+
+def decode_entities(text: Column) -> Column:
+    """Numeric entities and the five named ones of markup, each once."""
+    parts = F.regexp_extract_all(text, F.lit(ENTITY_OR_TEXT), F.lit(0))
+
+    def decoded(part: Column) -> Column:
+        code = F.when(
+            part.rlike("^&#[xX]"), F.conv(F.regexp_extract(part, "([0-9a-fA-F]+);?$", 1), 16, 10).try_cast("int")
+        ).otherwise(F.regexp_extract(part, "([0-9]+);?$", 1).try_cast("int"))
+        # A code point as UTF-32 text.
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        named = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES.items() for x in pair])
+        return F.when(part.rlike("^&#[0-9xX]"), F.when(code.between(1, 0x10FFFF), char).otherwise(part)).otherwise(
+            F.coalesce(F.try_element_at(named, part), part)
+        )
+
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, decoded), "")).otherwise(text)
+
+
 def links(page: Column) -> Column:
-    """All link targets in page order, blanks dropped."""
+    """All link targets in page order, blanks dropped; comments hold none."""
     found = F.transform(
-        F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(0)),
+        F.regexp_extract_all(without_comments(page), F.lit(ANCHOR), F.lit(0)),
         lambda a: F.concat(*[F.regexp_extract(a, HREF, i) for i in (1, 2, 3)]),
     )
-    return F.filter(F.transform(found, lambda x: strip(F.replace(x, F.lit("&amp;"), F.lit("&")))), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: strip(decode_entities(x))), lambda x: x != "")
 
 
 def address_text(page: Column) -> Column:
@@ -126,24 +149,24 @@ def _no_entities() -> Column:
     return F.array().cast("array<variant>")
 
 
-def entities(block: Column, depth: int = ENTITY_DEPTH) -> Column:
-    """All typed entities of a block, through lists and ``@graph``, children before their parent."""
-    own = F.when(node(block, '$["@type"]').isNotNull(), F.array(block)).otherwise(_no_entities())
-    if depth == 0:
-        return own
+def is_typed(block: Column) -> Column:
+    return node(block, '$["@type"]').isNotNull()
+
+
+def children(block: Column) -> Column:
+    """What a block holds one level down: the elements of a list, or of its ``@graph``."""
     graph = node(block, '$["@graph"]')
-    children = F.coalesce(
+    return F.coalesce(
         F.try_variant_get(block, "$", "array<variant>"),
         F.try_variant_get(block, '$["@graph"]', "array<variant>"),
         F.when(F.schema_of_variant(graph).startswith("OBJECT"), F.array(graph)),
         _no_entities(),
     )
-    return F.concat(F.flatten(F.transform(children, lambda c: entities(c, depth - 1))), own)
 
 
 def ld_blocks(page: Column) -> Column:
     """Parsed JSON-LD blocks of a page in page order; malformed blocks are left out."""
-    found = F.regexp_extract_all(page, F.lit(LD_JSON), F.lit(1))
+    found = F.regexp_extract_all(without_comments(page), F.lit(LD_JSON), F.lit(1))
     return F.filter(F.transform(found, F.try_parse_json), lambda b: b.isNotNull())
 
 

@@ -213,14 +213,23 @@ NAT64 = ipaddress.ip_network("64:ff9b::/96")
 
 OCTET = r"(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
 DOTTED = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
-NUMERIC = r"^(?:\d{1,18}|0x[0-9a-f]{1,15})$"
+NUMERIC = r"^(?:0x0*[0-9a-f]+|\d+)$"
 
 
 def dotted_ipv4(name: Column) -> Column:
-    """A host in decimal or hexadecimal notation as dotted text; any other host as it is."""
+    """A host in decimal or hexadecimal notation as dotted text; any other host as it is.
+
+    Leading zeros change nothing; a number of any length is compared as a number.
+    """
+    hexadecimal = F.regexp_extract(name, "^0x0*([0-9a-f]*)$", 1)
+    digits = F.regexp_replace(name, "^0+(?=.)", "")
+    too_large = F.lit(4294967296).cast("long")
     number = F.when(
-        name.startswith("0x"), F.conv(F.substr(name, F.lit(3)), 16, 10).try_cast("long")
-    ).otherwise(name.try_cast("long"))
+        name.startswith("0x"),
+        F.when(F.length(hexadecimal) > 8, too_large).otherwise(
+            F.coalesce(F.conv(F.when(hexadecimal != "", hexadecimal).otherwise("0"), 16, 10).try_cast("long"), too_large)
+        ),
+    ).otherwise(F.when(F.length(digits) > 10, too_large).otherwise(digits.try_cast("long")))
 
     def dotted(n: Column) -> Column:
         octets = [F.shiftright(n, bits).bitwiseAND(F.lit(255)).cast("string") for bits in (24, 16, 8, 0)]

@@ -12,14 +12,14 @@ from nearby_engine.operators.ranking import numbered
 from nearby_engine.operators.search import Tables, matching_offices
 
 DEFAULT_CLUSTERS = 20
-MAX_CLUSTERS = 100
 
 
 def cluster_kmeans(
     t: Tables, lat: float, lng: float, radius_m: float, k: int = DEFAULT_CLUSTERS, seed: int = 42
 ) -> DataFrame:
     """Count and centroid per k-means cluster of the offices in the circle, largest first."""
-    k = min(k, MAX_CLUSTERS) if k > 0 else DEFAULT_CLUSTERS
+    if k < 1:
+        raise ValueError("k must be positive")
     points = matching_offices(t, lat, lng, radius_m).select("lat", "lng")
     vectors = VectorAssembler(inputCols=["lng", "lat"], outputCol="features").transform(points)
     if vectors.isEmpty():

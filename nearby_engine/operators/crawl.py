@@ -1,10 +1,8 @@
-"""Bounded site walks over landed pages, and what they discover."""
+"""Site walks over landed pages, and what they discover."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearby_engine.functions import markup
@@ -19,82 +17,82 @@ from nearby_engine.functions.urls import (
     resolve,
     without_fragment,
 )
-from nearby_engine.operators.ranking import first_n, keep_first
-
-# Ceilings of a site walk and of sites per run.
-MAX_PAGES = 10
-MAX_DEPTH = 2
-MAX_SITES = 50
+from nearby_engine.operators.ranking import keep_first
+from nearby_engine.session import cut
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(url, position, target) of every link of every page, resolved and without fragment."""
-    found = pages.select("url", F.posexplode(markup.links(F.col("html"))).alias("position", "href"))
+def page_links(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(url, position, href, target) of every link of every page, resolved and without fragment; ``keep`` is carried along."""
+    kept = keep or []
+    found = pages.select("url", *kept, F.posexplode(markup.links(F.col("html"))).alias("position", "href"))
     return found.select(
-        "url", "position", "href", without_fragment(resolve(F.col("href"), F.col("url"))).alias("target")
+        "url", *kept, "position", "href", without_fragment(resolve(F.col("href"), F.col("url"))).alias("target")
     )
 
 
+def followed_links(pages: DataFrame) -> DataFrame:
+    """(url, position, target) of every link a walk may follow; a sitemap gives its listed URLs."""
+    as_map = markup.is_sitemap(F.col("url"), F.col("html"))
+    links = F.when(as_map, markup.sitemap_urls(F.col("html"))).otherwise(markup.links(F.col("html")))
+    found = pages.select("url", as_map.alias("as_map"), F.posexplode(links).alias("position", "href"))
+    target = F.when(F.col("as_map"), F.col("href")).otherwise(without_fragment(resolve(F.col("href"), F.col("url"))))
+    return found.select("url", "position", target.alias("target"))
+
+
 def walk(
     seeds: DataFrame,
     pages: DataFrame,
     sitemaps: DataFrame | None = None,
-    max_pages: int = MAX_PAGES,
-    max_depth: int = MAX_DEPTH,
+    max_pages: int | None = None,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Pages visited per seed in breadth-first order: (seed, url, depth, visit).
 
     ``seeds`` has (seed), ``pages`` has (url, html), ``sitemaps`` optionally (seed, xml). A level is
-    one pass: links of the pages visited on the level before, allowed ones only, not seen before,
-    first ``max_pages`` left per seed. Links of a page come before those of the next page.
+    one pass: links of the pages visited on the level before, allowed ones only, not seen before.
+    Links of a page come before those of the next page. The walk ends when a level is empty, or at
+    the given ceilings. The links are read from the markup once.
     """
-    level = seeds.select(
-        "seed", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(1).alias("visit")
-    ).filter(bare_domain(F.col("seed")).isNotNull()).dropDuplicates(["seed"])
-    visited = [level]
+    links = cut(followed_links(pages))
+    level = cut(
+        seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(1).alias("visit"))
+        .filter(bare_domain(F.col("seed")).isNotNull()).dropDuplicates(["seed"])
+    )
+    visited = level
     extra = None
     if sitemaps is not None:
         listed = sitemaps.select("seed", F.posexplode(markup.sitemap_urls(F.col("xml"))).alias("position", "url"))
         extra = listed.filter(is_allowed_on_site(F.col("url"), bare_domain(F.col("seed")))).select(
             "seed", "url", F.lit(0).alias("parent"), "position"
         )
-    for depth in range(1, max_depth + 1):
-        opened = level.join(pages, "url")
-        as_map = markup.is_sitemap(F.col("url"), F.col("html"))
-        links = F.when(as_map, markup.sitemap_urls(F.col("html"))).otherwise(markup.links(F.col("html")))
-        found = opened.select(
-            "seed", F.col("visit").alias("parent"), "url", as_map.alias("as_map"),
-            F.posexplode(links).alias("position", "href"),
-        )
-        target = F.when(F.col("as_map"), F.col("href")).otherwise(
-            without_fragment(resolve(F.col("href"), F.col("url")))
-        )
-        candidates = found.select("seed", target.alias("url"), "parent", "position").filter(
-            is_allowed_on_site(F.col("url"), bare_domain(F.col("seed")))
-        )
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        candidates = level.join(links, "url").select(
+            "seed", F.col("target").alias("url"), F.col("visit").alias("parent"), "position"
+        ).filter(is_allowed_on_site(F.col("url"), bare_domain(F.col("seed"))))
         if depth == 1 and extra is not None:
             candidates = extra.unionByName(candidates)
-        before = reduce(DataFrame.unionByName, visited)
         fresh = keep_first(candidates, ["seed", "url"], ["parent", "position"]).join(
-            before.select("seed", "url"), ["seed", "url"], "left_anti"
-        )
-        used = before.groupBy("seed").agg(F.count("*").alias("used"))
-        level = (
-            first_n(fresh, ["seed"], [F.col("parent"), F.col("position"), F.col("url")], max_pages)
-            .join(used, "seed")
-            .filter(F.col("rank") + F.col("used") <= max_pages)
-            .select("seed", "url", F.lit(depth).alias("depth"), (F.col("rank") + F.col("used")).cast("int").alias("visit"))
+            visited.select("seed", "url"), ["seed", "url"], "left_anti"
         )
-        visited.append(level)
-    return reduce(DataFrame.unionByName, visited)
+        used = visited.groupBy("seed").agg(F.count("*").alias("used"))
+        order = Window.partitionBy("seed").orderBy("parent", "position", "url")
+        numbered = fresh.join(used, "seed").withColumn("visit", (F.row_number().over(order) + F.col("used")).cast("int"))
+        if max_pages is not None:
+            numbered = numbered.filter(F.col("visit") <= max_pages)
+        level = cut(numbered.select("seed", "url", F.lit(depth).alias("depth"), "visit"))
+        if level.isEmpty():
+            break
+        visited = cut(visited.unionByName(level))
+    return visited
 
 
 def discovered_boards(
     visits: DataFrame, pages: DataFrame, names: DataFrame | None = None,
-    max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """Job boards linked from visited pages: (provider, token, company_name, company_domain)."""
-    reading = visits.filter((F.col("depth") < max_depth) & (F.col("visit") < max_pages)).join(pages, "url")
+    reading = visits.join(pages, "url")
     named = reading.withColumn("company_domain", bare_domain(F.col("seed")))
     if names is not None:
         named = named.join(
@@ -143,10 +141,9 @@ def board_targets(configured: DataFrame, discovered: DataFrame) -> DataFrame:
 T_FOUND = "struct<visit:int,position:int>"
 
 
-def discovered_sites(companies: DataFrame, max_sites: int = MAX_SITES, run: str = "discovery_job_id") -> DataFrame:
-    """The first domains seen per run in arrival order, with the name they were seen under."""
+def discovered_sites(companies: DataFrame, run: str = "discovery_job_id") -> DataFrame:
+    """The domains seen per run, with the arrival and the name they were first seen under."""
     keyed = companies.withColumn("domain", clean_domain(F.col("domain"))).filter(F.col("domain").isNotNull())
-    firsts = keyed.groupBy(run, "domain").agg(
+    return keyed.groupBy(run, "domain").agg(
         F.min("seq").alias("seq"), F.min_by(F.coalesce("name", "domain"), "seq").alias("name")
     )
-    return first_n(firsts, [run], [F.col("seq")], max_sites)

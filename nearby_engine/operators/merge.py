@@ -227,18 +227,18 @@ def merge_remote_eligibility(existing: DataFrame, rows: DataFrame) -> DataFrame:
     ).select(
         "job_id", "seq", "reset", "scope.scope_type", "scope.scope_code", "source_record_id",
         F.col("observed_at").alias("first_seen_at"), F.col("observed_at").alias("last_seen_at"),
+        F.lit(SCOPE_CONFIDENCE).alias("confidence"), F.lit(True).alias("is_active"),
     )
     stored = existing.select(
         "job_id", stored_key(F.col("last_seen_at")).alias("seq"), F.lit(False).alias("reset"),
-        "scope_type", "scope_code", "source_record_id", "first_seen_at", "last_seen_at",
+        "scope_type", "scope_code", "source_record_id", "first_seen_at", "last_seen_at", "confidence", "is_active",
     )
-    alive = _after_reset(stored.unionByName(incoming))
+    # A scope that nobody delivered keeps its state; a delivered one is active, at the confidence it was first booked with.
     merged = fold(
-        alive, ["job_id", "scope_type", "scope_code"], ["source_record_id", "first_seen_at"], ["last_seen_at"]
-    )
-    return merged.withColumns({"confidence": F.lit(SCOPE_CONFIDENCE), "is_active": F.lit(True)}).select(
-        ELIGIBILITY_FIELDS
+        _after_reset(stored.unionByName(incoming)), ["job_id", "scope_type", "scope_code"],
+        ["source_record_id", "first_seen_at", "confidence"], ["last_seen_at", "is_active"],
     )
+    return merged.select(ELIGIBILITY_FIELDS)
 
 
 # --- sources, runs, records, links -----------------------------------------------------------

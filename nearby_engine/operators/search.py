@@ -15,19 +15,23 @@ from pyspark.sql import functions as F
 from nearby_engine.functions.classify import days_before
 from nearby_engine.functions.geo import distance_m, in_radius
 from nearby_engine.functions.text import contains_ignoring_case, trigram_similar
+from nearby_engine.session import cut
 
 Tables = Mapping[str, DataFrame]
 
 DEFAULT_LIMIT = 50
-MAX_LIMIT = 100
 
 
 def instant(as_of: datetime | str | Column) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
 
 
-def page_size(limit: int | None) -> int:
-    return limit if limit is not None and 0 < limit <= MAX_LIMIT else DEFAULT_LIMIT
+def paged(rows: DataFrame, limit: int | None, offset: int) -> DataFrame:
+    """One page of ordered rows; None means all rows from the offset on."""
+    if offset < 0 or limit is not None and limit < 1:
+        raise ValueError("a page needs a positive limit and an offset of at least zero")
+    rest = rows.offset(offset) if offset else rows
+    return rest if limit is None else rest.limit(limit)
 
 
 def trusted_recent(as_of: datetime | str | Column) -> Column:
@@ -95,7 +99,7 @@ def search_offices(
     min_confidence: float | None = None,
     industry: str | None = None,
     query: str | None = None,
-    limit: int | None = None,
+    limit: int | None = DEFAULT_LIMIT,
     offset: int = 0,
 ) -> DataFrame:
     """A page of offices by distance with company facts and company-wide hiring facts."""
@@ -103,11 +107,10 @@ def search_offices(
     measured = found.withColumn("distance_m", distance_m(F.col("lat"), F.col("lng"), lat, lng))
     # The page is cut before the jobs are looked at: the left join keeps every office and
     # adds no rows, so only the companies on the page need their jobs counted.
-    page = (
-        measured.orderBy("distance_m", "location_id").offset(max(offset, 0)).limit(page_size(limit))
-    )
-    wanted = page.select("company_id").distinct()
-    hiring = company_hiring(t["jobs"].join(F.broadcast(wanted), "company_id", "left_semi"), as_of)
+    page = paged(measured.orderBy("distance_m", "location_id"), limit, offset)
+    if limit is not None:
+        page = cut(page)
+    hiring = company_hiring(t["jobs"].join(page.select("company_id").distinct(), "company_id", "left_semi"), as_of)
     return (
         page.join(hiring, "company_id", "left")
         .select(
@@ -179,7 +182,7 @@ def search_jobs(
     as_of: datetime | str,
     query: str | None = None,
     arrangement: str | None = None,
-    limit: int | None = None,
+    limit: int | None = DEFAULT_LIMIT,
     offset: int = 0,
 ) -> DataFrame:
     """A page of jobs by the distance of their nearest location in the circle."""
@@ -195,18 +198,14 @@ def search_jobs(
         .select(F.col("job_id").alias("id"), "near.*")
     )
     found = _with_company(searchable_jobs(t, as_of, arrangement).join(nearest, "id"), t, query)
-    return (
-        found.select(
+    rows = found.select(
             "id", "company_id", "company_name", "company_domain", "title", "normalized_title",
             "description_excerpt", "canonical_url", "source", "source_family", "location_raw",
             F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), "distance_m",
             "work_arrangement", "publication_state", "posted_at", "posted_at_confidence",
             "first_seen_at", "last_seen_at", "metadata",
-        )
-        .orderBy("distance_m", F.desc("posted_at"), "id")
-        .offset(max(offset, 0))
-        .limit(page_size(limit))
-    )
+        ).orderBy("distance_m", F.desc("posted_at"), "id")
+    return paged(rows, limit, offset)
 
 
 def count_jobs(

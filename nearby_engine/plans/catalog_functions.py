@@ -508,7 +508,7 @@ def request_urls(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("lat"), F.col("c_custkey").alias("lng"),
         (F.col("c_custkey") % 100).alias("radius_km"),
     )
-    return page_requests(runs, "https://d.example/s?lat={lat}&lng={lng}&r={radius_km}&page={page}", page_ceiling=3)
+    return page_requests(runs, "https://d.example/s?lat={lat}&lng={lng}&r={radius_km}&page={page}", pages=3)
 
 
 # --- pages -----------------------------------------------------------------------------------

@@ -26,6 +26,7 @@ from nearby_engine.operators.validate import (
 from nearby_engine.plans.catalog import register, sql_iso
 from nearby_engine.plans.intake import intake
 from nearby_engine.plans.views import (
+    table,
     BRANDS,
     PLACES,
     TITLES,
@@ -523,7 +524,7 @@ GAZETTEER = [("pune", 18.52, 73.85), ("bengaluru", 12.97, 77.59), ("nowhere", 99
 def location_resolution(spark: SparkSession, folder: str) -> DataFrame:
     _, jobs = _rows(spark, folder)
     gazetteer = spark.createDataFrame(GAZETTEER, "place string, lat double, lng double")
-    found = resolve_locations(jobs, gazetteer, max_lookups=50)
+    found = resolve_locations(jobs, gazetteer)
     number = F.regexp_extract("canonical_url", r"(\d+)$", 1).cast("long").alias("id")
     return found.select(
         number, "lat", "lng", F.col("location_resolution").alias("resolution"), "coordinate_source",
@@ -532,18 +533,25 @@ def location_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    "location_lookup_limit",
-    f"""WITH {R}, v AS (SELECT batch, id, lower(trim(location_raw)) AS place FROM r WHERE arrangement <> 'remote' AND NOT {HELD} AND trim(location_raw) <> ''),
-    f AS (SELECT place, min((batch, id)) AS seq FROM v GROUP BY place), w AS (SELECT place FROM f ORDER BY seq, place LIMIT 2)
-    SELECT CASE WHEN arrangement = 'remote' THEN 'unresolved' WHEN {HELD} THEN 'structured' WHEN lower(trim(location_raw)) IN ('pune', 'bengaluru') AND lower(trim(location_raw)) IN (SELECT place FROM w) THEN 'geocoded'
-      ELSE 'unresolved' END AS resolution, count(*) AS jobs FROM r GROUP BY 1""",
+    "location_of_many_places",
+    """WITH v AS (SELECT o_orderkey AS id, 'place ' || CAST(o_custkey AS VARCHAR) AS place, o_custkey AS k FROM orders)
+    SELECT id, CASE WHEN k % 4 <> 0 THEN CAST(k % 80 AS DOUBLE) END AS lat, CASE WHEN k % 4 <> 0 THEN CAST(k % 170 AS DOUBLE) END AS lng,
+    CASE WHEN k % 4 <> 0 THEN 'geocoded' ELSE 'unresolved' END AS resolution FROM v""",
 )
-def location_lookup_limit(spark: SparkSession, folder: str) -> DataFrame:
-    """The lookup ceiling spends itself on the places met first."""
-    _, jobs = _rows(spark, folder)
-    gazetteer = spark.createDataFrame(GAZETTEER, "place string, lat double, lng double")
-    found = resolve_locations(jobs, gazetteer, max_lookups=2)
-    return found.groupBy(F.col("location_resolution").alias("resolution")).agg(F.count("*").alias("jobs"))
+def location_of_many_places(spark: SparkSession, folder: str) -> DataFrame:
+    """As many distinct places as customers with orders; three in four are in the gazetteer."""
+    key = F.col("c_custkey")
+    gazetteer = table(spark, folder, "customer").where(key % 4 != 0).select(
+        F.concat(F.lit("place "), key.cast("string")).alias("place"),
+        (key % 80).cast("double").alias("lat"), (key % 170).cast("double").alias("lng"),
+    )
+    none = F.lit(None).cast("double")
+    jobs = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit(" Place "), F.col("o_custkey").cast("string")).alias("location_raw"),
+        F.lit("unknown").alias("work_arrangement"), F.lit("unknown").alias("coordinate_source"), none.alias("lat"), none.alias("lng"),
+    )
+    found = resolve_locations(jobs, gazetteer)
+    return found.select("id", "lat", "lng", F.col("location_resolution").alias("resolution"))
 
 
 @register(

@@ -109,8 +109,8 @@ def _board_frame(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
 
 
 def _board_pages(postings: DataFrame, prefix: str, wrap: str) -> DataFrame:
-    """Three postings a page; every tenth posting is repeated on the page after its own."""
-    first = F.floor((F.col("id") % 8) / 3) + 1
+    """Three postings a page, pages 1, 7 and 13; every tenth posting is repeated on the page after its own."""
+    first = F.floor((F.col("id") % 8) / 3) * 6 + 1
     repeated = F.when(F.col("id") % 10 == 0, F.array(first, first + 1)).otherwise(F.array(first))
     paged = postings.select("board", "id", "json", F.explode(repeated.cast("array<int>")).alias("page"))
     listed = paged.groupBy("board", "page").agg(_json_list("json").alias("list"))
@@ -374,13 +374,13 @@ def structured_jobs(spark: SparkSession, folder: str) -> DataFrame:
 # --- directories, homepages, sitemaps --------------------------------------------------------
 
 CARD_SELECTORS = {
-    "card": "div.directory-card", "name": "h3.company-title::text", "source_record_id": "::attr(data-company-id)",
-    "address": ".company-location::text", "phone": "span.company-phone::text", "website": "a.website-link::attr(href)",
-    "detail_url": "a.detail-link::attr(href)",
+    "card": "div.firm-card", "name": "h3.firm-name::text", "source_record_id": "::attr(data-firm)",
+    "address": ".firm-place::text", "phone": "span.firm-phone::text", "website": "a.firm-site::attr(href)",
+    "detail_url": "a.firm-more::attr(href)",
 }
 DETAIL_SELECTORS = {
-    "address": ".meta .detail-address::text", "phone": ".detail-phone::text", "lat": ".geo-lat::text", "lng": ".geo-lng::text",
-    "description": "p.company-desc::text",
+    "address": ".meta .firm-address::text", "phone": ".firm-tel::text", "lat": ".firm-lat::text", "lng": ".firm-lng::text",
+    "description": "p.firm-about::text",
 }
 
 
@@ -389,10 +389,10 @@ def directory_pages(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_custkey")
     text = key.cast("string")
     card = F.concat(
-        F.lit('<div class="item directory-card" data-company-id="c'), text, F.lit('"><h3 class="company-title">'),
-        F.when(key % 9 == 0, " ").otherwise(F.concat(F.lit(" A&amp;B "), text)), F.lit('</h3><img src="x"><span class="company-location">Block '),
-        (key % 7).cast("string"), F.lit('</span><span class="company-phone">+91 '), text, F.lit('</span><a class="detail-link" href="/co/'), text,
-        F.lit('">More</a>'), F.when(key % 3 == 0, "").otherwise(F.concat(F.lit('<a class="website-link" href="https://www.s'), text, F.lit('.example/">Site</a>'))),
+        F.lit('<div class="item firm-card" data-firm="c'), text, F.lit('"><h3 class="firm-name">'),
+        F.when(key % 9 == 0, " ").otherwise(F.concat(F.lit(" A&amp;B "), text)), F.lit('</h3><img src="x"><span class="firm-place">Block '),
+        (key % 7).cast("string"), F.lit('</span><span class="firm-phone">+91 '), text, F.lit('</span><a class="firm-more" href="/co/'), text,
+        F.lit('">More</a>'), F.when(key % 3 == 0, "").otherwise(F.concat(F.lit('<a class="firm-site" href="https://www.s'), text, F.lit('.example/">Site</a>'))),
         F.lit("</div>"),
     )
     shelf = F.floor(key / 40)
@@ -413,8 +413,8 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_custkey")
     text = key.cast("string")
     html = F.concat(
-        F.lit('<div class="meta"><span class="detail-address">Tower '), text, F.lit('</span></div><div><span class="geo-lat">'),
-        F.when(key % 8 == 0, "95.5").otherwise("12.5"), F.lit('</span><span class="geo-lng">77.25</span></div><p class="company-desc">About '), text, F.lit("</p>"),
+        F.lit('<div class="meta"><span class="firm-address">Tower '), text, F.lit('</span></div><div><span class="firm-lat">'),
+        F.when(key % 8 == 0, "95.5").otherwise("12.5"), F.lit('</span><span class="firm-lng">77.25</span></div><p class="firm-about">About '), text, F.lit("</p>"),
     )
     return table(spark, folder, "customer").select(
         F.concat(F.lit("https://dir.example/co/"), text).alias("url"), F.when(key % 2 == 0, html).otherwise("<p></p>").alias("html")
@@ -424,7 +424,7 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     "directory_companies",
     """WITH v AS (SELECT c_custkey AS k, CAST(floor(c_custkey / 40) AS BIGINT) AS shelf, CAST(floor((c_custkey % 40) / 8) AS BIGINT) + 1 AS page FROM customer),
-    w AS (SELECT *, CAST(k AS VARCHAR) AS t, k % 2 = 0 AS detailed FROM v WHERE page <= 4 AND NOT (shelf % 4 = 0 AND page >= 3) AND k % 9 <> 0)
+    w AS (SELECT *, CAST(k AS VARCHAR) AS t, k % 2 = 0 AS detailed FROM v WHERE NOT (shelf % 4 = 0 AND page = 3) AND k % 9 <> 0)
     SELECT 'd' || CAST(shelf AS VARCHAR) || '#' || CAST(page AS VARCHAR) AS page, 'A&B ' || t AS name, 'c' || t AS source_record_id,
       'https://dir.example/co/' || t AS evidence_url, CASE WHEN k % 3 <> 0 THEN 's' || t || '.example' END AS domain,
       CASE WHEN detailed THEN 'Tower ' || t ELSE 'Block ' || CAST(k % 7 AS VARCHAR) END AS address,
@@ -433,7 +433,7 @@ def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
         ELSE '{"directory_id":"d' || CAST(shelf AS VARCHAR) || '"}' END AS metadata FROM w""",
 )
 def directory_companies(spark: SparkSession, folder: str) -> DataFrame:
-    cards = directory.page_cards(directory_pages(spark, folder), CARD_SELECTORS, page_ceiling=4)
+    cards = directory.page_cards(directory_pages(spark, folder), CARD_SELECTORS)
     found = directory.directory_companies(cards, detail_pages(spark, folder), DETAIL_SELECTORS)
     return found.drop("content_hash")
 
@@ -511,8 +511,8 @@ def walk_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 WALK_SQL = f"""WITH sites AS (SELECT CAST(floor(c_custkey / {FANOUT}) AS BIGINT) AS s, count(*) AS n FROM customer GROUP BY 1),
-  visited AS (SELECT s, CAST(t.p AS BIGINT) AS p, CAST(CASE WHEN t.p = 0 THEN 0 WHEN t.p <= 7 THEN 1 ELSE 2 END AS INTEGER) AS depth,
-    CAST(t.p + 1 AS INTEGER) AS visit, n FROM sites, range(0, 10) t(p)
+  visited AS (SELECT s, CAST(t.p AS BIGINT) AS p, CAST(CASE WHEN t.p = 0 THEN 0 WHEN t.p <= 7 THEN 1 WHEN t.p <= 16 THEN 2 ELSE 3 END AS INTEGER) AS depth,
+    CAST(t.p + 1 AS INTEGER) AS visit, n FROM sites, range(0, 33) t(p)
     WHERE t.p <= 7 OR n > (t.p - 1) // 2)"""
 
 
@@ -529,7 +529,7 @@ def site_walk(spark: SparkSession, folder: str) -> DataFrame:
     "discovered_boards",
     f"""{WALK_SQL} SELECT DISTINCT 'lever' AS provider, 't' || CAST(s AS VARCHAR) || '-' || CAST(p % 4 AS VARCHAR) AS token,
     CASE WHEN s % 2 = 0 THEN 'Known ' || CAST(s AS VARCHAR) ELSE 'Site ' || CAST(s AS VARCHAR) END AS company_name,
-    'site' || CAST(s AS VARCHAR) || '.example' AS company_domain FROM visited WHERE p BETWEEN 1 AND 7 AND p < n""",
+    'site' || CAST(s AS VARCHAR) || '.example' AS company_domain FROM visited WHERE p >= 1 AND p < n""",
 )
 def boards_of_sites(spark: SparkSession, folder: str) -> DataFrame:
     pages = walk_pages(spark, folder)
@@ -568,8 +568,7 @@ def merged_board_targets(spark: SparkSession, folder: str) -> DataFrame:
     "discovered_sites",
     """WITH m AS (SELECT 'r' || CAST(o_orderpriority AS VARCHAR) AS discovery_job_id, 'c' || CAST(o_custkey AS VARCHAR) || '.example' AS domain, o_orderkey AS seq,
       'Name ' || CAST(o_orderkey AS VARCHAR) AS name FROM orders WHERE o_custkey % 5 <> 0),
-    f AS (SELECT discovery_job_id, domain, min(seq) AS seq, arg_min(name, seq) AS name FROM m GROUP BY ALL),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY discovery_job_id ORDER BY seq) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 50""",
+    f AS (SELECT discovery_job_id, domain, min(seq) AS seq, arg_min(name, seq) AS name FROM m GROUP BY ALL) SELECT * FROM f""",
 )
 def sites_of_runs(spark: SparkSession, folder: str) -> DataFrame:
     named = table(spark, folder, "orders").select(
@@ -587,8 +586,7 @@ def sites_of_runs(spark: SparkSession, folder: str) -> DataFrame:
 def page_link_targets(spark: SparkSession, folder: str) -> DataFrame:
     from nearby_engine.operators.crawl import page_links
 
-    pages = table(spark, folder, "pages")
-    found = page_links(pages.select("url", "html")).join(pages.select("page_id", "url"), "url")
+    found = page_links(table(spark, folder, "pages"), keep=["page_id"])
     return found.groupBy("page_id", "href", "target").agg(F.count("*").alias("links"))
 
 

@@ -35,7 +35,6 @@ ROLE_FAMILIES = [
 
 # Limits of the evidence contract.
 CONTRACT_VERSION = 1
-MAX_BATCH_RECORDS = 500
 MAX_DESCRIPTION_CHARS = 2000
 MAX_METADATA_BYTES = 64 * 1024
 MAX_NAME_CHARS = 500

@@ -16,13 +16,11 @@ from nearby_engine import schemas as S
 from nearby_engine.functions.classify import arrangement, publication_state, role_of_reason, with_role_reason
 from nearby_engine.functions.dates import epoch_or_iso, iso_timestamp, iso_z
 from nearby_engine.functions.text import clean_excerpt, company_hash, job_hash, strip
-from nearby_engine.operators.ranking import keep_first
 from nearby_engine.operators.search import instant
 
-# Public addresses of boards and postings, and how many pages of a board count.
+# Public addresses of boards and postings.
 GREENHOUSE_BOARD = "https://boards.greenhouse.io/"
 LEVER_BOARD = "https://jobs.lever.co/"
-PAGE_CEILING = 10
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -36,22 +34,15 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _first_seen_items(payloads: DataFrame, items: Column, item_id: str, ceiling: int) -> DataFrame:
-    """One row per (token, id), the first met; reading a board stops at its first page with nothing new."""
-    pages = payloads.filter(F.col("page") <= ceiling)
-    opened = pages.select("token", "page", F.posexplode(items).alias("position", "item"))
-    named = opened.withColumn("job_id", F.coalesce(F.col(f"item.{item_id}"), F.lit("None")))
-    firsts = keep_first(named, ["token", "job_id"], ["page", "position"])
-    productive = firsts.select("token", "page").distinct()
-    stops = (
-        pages.select("token", "page").join(productive, ["token", "page"], "left_anti")
-        .groupBy("token").agg(F.min("page").alias("stop"))
-    )
-    return (
-        firsts.join(stops, "token", "left")
-        .filter(F.col("stop").isNull() | (F.col("page") < F.col("stop")))
-        .drop("stop")
-    )
+def _first_seen_items(payloads: DataFrame, items: Column, item_id: str) -> DataFrame:
+    """One row per (token, id) of all landed pages, the first met; a posting without an id goes by its content."""
+    opened = payloads.select("token", "page", F.posexplode(items).alias("position", "item"))
+    content = F.concat(F.lit("content-"), F.sha2(F.to_json("item"), 256))
+    named = opened.withColumn("job_id", F.coalesce(F.col(f"item.{item_id}"), content))
+    # The winner is found by its place alone; its body is fetched afterwards.
+    places = named.groupBy("token", "job_id").agg(F.min(F.struct("page", "position")).alias("_at"))
+    chosen = places.select("token", F.col("_at.page").alias("page"), F.col("_at.position").alias("position"))
+    return named.join(chosen, ["token", "page", "position"], "left_semi")
 
 
 def _boards(boards: DataFrame) -> DataFrame:
@@ -110,14 +101,14 @@ def greenhouse_companies(boards: DataFrame) -> DataFrame:
 
 
 def greenhouse_jobs(
-    payloads: DataFrame, boards: DataFrame, as_of: datetime | str | Column, ceiling: int = PAGE_CEILING
+    payloads: DataFrame, boards: DataFrame, as_of: datetime | str | Column
 ) -> DataFrame:
     """Technical postings of ``{"jobs": [...]}`` or ``[...]`` pages."""
     listed = F.coalesce(
         F.from_json("payload", S.GREENHOUSE_PAGE)["jobs"],
         F.from_json("payload", T.ArrayType(S.GREENHOUSE_JOB)),
     )
-    firsts = _first_seen_items(payloads, listed, "id", ceiling)
+    firsts = _first_seen_items(payloads, listed, "id")
     names = F.filter(
         F.transform("item.departments", lambda d: d["name"]), lambda n: n.isNotNull() & (n != "")
     )
@@ -142,12 +133,12 @@ def lever_companies(boards: DataFrame) -> DataFrame:
 
 
 def lever_jobs(
-    payloads: DataFrame, boards: DataFrame, as_of: datetime | str | Column, ceiling: int = PAGE_CEILING
+    payloads: DataFrame, boards: DataFrame, as_of: datetime | str | Column
 ) -> DataFrame:
     """Technical postings of ``[...]``, ``{"postings": [...]}`` or ``{"jobs": [...]}`` pages."""
     page = F.from_json("payload", S.LEVER_PAGE)
     listed = F.coalesce(page["postings"], page["jobs"], F.from_json("payload", T.ArrayType(S.LEVER_POSTING)))
-    firsts = _first_seen_items(payloads, listed, "id", ceiling)
+    firsts = _first_seen_items(payloads, listed, "id")
     categories = F.col("item.categories")
     listed_values = F.map_values(
         F.map_filter(categories, lambda k, v: (k != "workplaceType") & v.isNotNull() & (v != ""))

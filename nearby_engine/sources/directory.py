@@ -19,7 +19,6 @@ from nearby_engine.functions.text import page_company_hash, strip
 from nearby_engine.functions.urls import bare_domain, fill_template, resolve
 from nearby_engine.operators.ranking import keep_first
 
-PAGE_CEILING = 5
 DEFAULT_CARD = ".directory-card"
 CARD_FIELDS = ["name", "source_record_id", "address", "phone", "website", "detail_url"]
 DETAIL_FIELDS = ["address", "phone", "website", "lat", "lng", "description"]
@@ -153,10 +152,10 @@ def _text_schema(*named: tuple[str, T.DataType], fields: list[str]) -> T.StructT
 
 
 def page_cards(
-    pages: DataFrame, selectors: dict[str, str], start_page: int = 1, page_ceiling: int = PAGE_CEILING
+    pages: DataFrame, selectors: dict[str, str], start_page: int = 1
 ) -> DataFrame:
-    """Cards of the list pages up to the ceiling or the first page without cards."""
-    wanted = pages.filter(F.col("page").between(start_page, page_ceiling)).select(
+    """Cards of all landed list pages from the first on."""
+    wanted = pages.filter(F.col("page") >= start_page).select(
         "directory_id", F.col("page").cast("int").alias("page"), "url", "html"
     )
     schema = _text_schema(
@@ -164,15 +163,7 @@ def page_cards(
         ("position", T.IntegerType()), fields=CARD_FIELDS,
     )
     cards = wanted.mapInPandas(_card_rows(selectors.get("card", DEFAULT_CARD), selectors), schema)
-    ends = (
-        cards.filter("position < 0").groupBy("directory_id").agg(F.min("page").alias("end"))
-    )
-    return (
-        cards.filter("position >= 0")
-        .join(ends, "directory_id", "left")
-        .filter(F.col("end").isNull() | (F.col("page") < F.col("end")))
-        .drop("end")
-    )
+    return cards.filter("position >= 0")
 
 
 def directory_companies(
@@ -216,10 +207,10 @@ def directory_companies(
 
 
 def page_requests(
-    runs: DataFrame, template: str, start_page: int = 1, page_ceiling: int = PAGE_CEILING
+    runs: DataFrame, template: str, pages: int, start_page: int = 1
 ) -> DataFrame:
-    """The list-page URLs to land for every run: (id, page, url)."""
-    paged = runs.select("*", F.explode(F.sequence(F.lit(start_page), F.lit(page_ceiling))).alias("page"))
+    """The URLs of the first ``pages`` list pages to land for every run: (id, page, url)."""
+    paged = runs.select("*", F.explode(F.sequence(F.lit(start_page), F.lit(start_page + pages - 1))).alias("page"))
     values = {
         "lat": F.col("lat"), "lng": F.col("lng"), "radius": F.col("radius_km"),
         "radius_km": F.col("radius_km"), "page": F.col("page"),

@@ -48,9 +48,11 @@ def with_point(elements: DataFrame) -> DataFrame:
     ).drop("lon", "center")
 
 
-def candidates(elements: DataFrame, lat: float, lng: float, radius_km: float | None = None) -> DataFrame:
-    """Office-like elements around a centre; the point (0, 0) means no centre and finds nothing."""
-    if lat == 0 and lng == 0:
+def candidates(
+    elements: DataFrame, lat: float | None, lng: float | None, radius_km: float | None = None
+) -> DataFrame:
+    """Office-like elements around a centre; without a centre (None) nothing is found."""
+    if lat is None or lng is None:
         return with_point(elements).filter(F.lit(False))
     metres = int((radius_km or DEFAULT_RADIUS_KM) * 1000)
     radius = float(metres if metres > 0 else DEFAULT_RADIUS_KM * 1000)

@@ -6,6 +6,7 @@ Page frames have (url, html); ``url`` is the base for links and the key of a pag
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from nearby_engine.functions.text import page_company_hash, page_job_hash, plain
 from nearby_engine.functions.urls import bare_domain, resolve_or_base
 from nearby_engine.operators.ranking import keep_first, once
 from nearby_engine.operators.search import instant
+from nearby_engine.session import cut
 
 # Entity types that describe a company, and the one that describes a posting.
 COMPANY_TYPES = [
@@ -41,9 +43,20 @@ def page_entities(pages: DataFrame) -> DataFrame:
     """(url, position, entity, types) of every typed entity, in page order."""
     # Pages without a JSON-LD script are dropped before the expressions that parse it.
     marked = pages.filter(F.lower("html").contains("application/ld+json"))
-    found = F.flatten(F.transform(M.ld_blocks(F.col("html")), lambda b: M.entities(b)))
-    each = marked.select("url", F.posexplode(found).alias("position", "entity"))
-    return once(each, {"types": M.entity_types(F.col("entity"))})
+    blocks = marked.select("url", F.posexplode(M.ld_blocks(F.col("html"))).alias("at", "entity"))
+    level = cut(blocks.select("url", F.array("at").alias("path"), "entity"))
+    levels = [level]
+    # Lists and graphs are opened level by level until nothing is left inside.
+    while True:
+        opened = level.select("url", "path", F.posexplode(M.children(F.col("entity"))).alias("at", "entity"))
+        level = cut(opened.select("url", F.concat("path", F.array("at")).alias("path"), "entity"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    every = reduce(DataFrame.unionByName, levels).filter(M.is_typed(F.col("entity")))
+    # Children come before their parent.
+    placed = every.select("url", F.concat("path", F.array(F.lit(2**31 - 1))).alias("position"), "entity")
+    return once(placed, {"types": M.entity_types(F.col("entity"))})
 
 
 def _is_company() -> Column:
