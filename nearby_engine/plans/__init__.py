@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["catalog_search", "catalog_functions", "catalog_sources", "catalog_merge", "catalog_runs"]
+GROUPS = ["catalog_search", "catalog_functions", "catalog_sources", "catalog_merge", "catalog_runs", "catalog_depth"]
 
 
 def load_catalog() -> None:
