@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from nearby_engine.functions.classify import days_before
 from nearby_engine.functions.geo import distance_m, in_radius
 from nearby_engine.functions.text import contains_ignoring_case, trigram_similar
-from nearby_engine.session import cut
 
 Tables = Mapping[str, DataFrame]
 
@@ -108,9 +107,10 @@ def search_offices(
     # The page is cut before the jobs are looked at: the left join keeps every office and
     # adds no rows, so only the companies on the page need their jobs counted.
     page = paged(measured.orderBy("distance_m", "location_id"), limit, offset)
-    if limit is not None:
-        page = cut(page)
-    hiring = company_hiring(t["jobs"].join(page.select("company_id").distinct(), "company_id", "left_semi"), as_of)
+    wanted = page.select("company_id").distinct()
+    # A page is small by its own size; without one the planner decides.
+    wanted = wanted if limit is None else F.broadcast(wanted)
+    hiring = company_hiring(t["jobs"].join(wanted, "company_id", "left_semi"), as_of)
     return (
         page.join(hiring, "company_id", "left")
         .select(

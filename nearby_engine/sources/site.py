@@ -36,7 +36,7 @@ def site_companies(pages: DataFrame) -> DataFrame:
     """
     structured = structured_companies(page_entities(pages.select("url", "html")))
     homepages = pages.filter("depth = 0").select("url", "html")
-    fallback = homepage_companies(homepages, structured).withColumn("position", F.lit(0))
+    fallback = homepage_companies(homepages, structured).withColumn("position", F.array(F.lit(0)))
     found = structured.unionByName(fallback).join(
         pages.select(F.col("url").alias("page"), "visit"), "page"
     )

@@ -1,15 +1,19 @@
 """Canonical tables: schemas, versioned writes and reads.
 
-A version is one folder per write with a Parquet table per entity. The manifest is an append-only
-table of finished versions, so readers switch to a version only when all of it is there, and a write
-that dies half-way leaves nothing visible. Old versions stay readable.
+A version is one folder per write with a Parquet table per entity. The manifest has one small file per
+finished version, named by its number, so readers switch to a version only when all of it is there, and a
+write that dies half-way leaves nothing visible. A number is taken once: of two writers that started from
+the same version the second fails, and reads again. Old versions stay readable until they are removed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping
+from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,8 +78,11 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 def versions(spark: SparkSession, root: str) -> DataFrame:
     """Finished versions of a table root; empty for a new root."""
     try:
-        return spark.read.schema(MANIFEST).json(f"{root}/manifest")
-    except AnalysisException:
+        return spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(f"{root}/manifest")
+    except AnalysisException as error:
+        # Only a root that was never written is empty; anything else that cannot be read is an error.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], MANIFEST)
 
 
@@ -98,9 +105,36 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
-def write_tables(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, delivery: str) -> str:
-    """Write a full version next to the others, then book it in the manifest."""
-    newest = latest(spark, root)
+class ConcurrentWrite(RuntimeError):
+    """Another writer published the same version number first; read the tables again and repeat the merge."""
+
+
+def _publish(spark: SparkSession, root: str, sequence: int, line: str) -> None:
+    """Creates the manifest file of a version; fails if the number is taken."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/{sequence:012d}.json")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = files.create(path, False)
+    except Py4JJavaError as error:
+        if files.exists(path):
+            raise ConcurrentWrite(f"version {sequence} of {root} was published by another writer") from error
+        raise
+    out.write(bytearray(line.encode()))
+    out.close()
+
+
+def write_tables(
+    spark: SparkSession, tables: Mapping[str, DataFrame], root: str, delivery: str, based_on: int | None = None
+) -> str:
+    """Write a full version next to the others, then book it in the manifest.
+
+    ``based_on`` is the number of the version that the tables were merged onto (default: the newest now). Raises
+    ConcurrentWrite if another version was published on it meanwhile.
+    """
+    if based_on is None:
+        newest = latest(spark, root)
+        based_on = 0 if newest is None else newest[1]
     version = f"v-{uuid.uuid4().hex}"
     for name in SCHEMAS:
         rows = tables[name].select([F.col(f.name).cast(f.dataType) for f in schema_of(name)])
@@ -108,15 +142,28 @@ def write_tables(spark: SparkSession, tables: Mapping[str, DataFrame], root: str
         if order:
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         rows.write.parquet(f"{root}/{version}/{name}")
-    sequence = 1 if newest is None else newest[1] + 1
-    booked = spark.range(1).select(
-        F.lit(version).alias("version"), F.lit(sequence).cast("long").alias("sequence"),
-        F.lit(delivery).alias("delivery"), F.current_timestamp().alias("at"),
-    )
-    booked.write.mode("append").json(f"{root}/manifest")
+    booked = {
+        "version": version, "sequence": based_on + 1, "delivery": delivery,
+        "at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ"),
+    }
+    _publish(spark, root, based_on + 1, json.dumps(booked) + "\n")
     return version
 
 
+def remove_old_versions(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
+    """Deletes the table folders of all but the newest ``keep`` versions; the manifest keeps its entries, so a
+    delivery stays known. To be called when no reader uses the old versions."""
+    if keep < 1:
+        raise ValueError("the newest version cannot be removed")
+    names = [r.version for r in versions(spark, root).orderBy(F.desc("sequence")).select("version").collect()]
+    jvm, removed = spark.sparkContext._jvm, []
+    for version in names[keep:]:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{version}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True):
+            removed.append(version)
+    return removed
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: Mapping[str, str], **split: object) -> DataFrame:
     """A table of an existing database; ``split`` gives column, lowerBound, upperBound, numPartitions."""
     return spark.read.jdbc(url, table, properties=dict(properties), **split)

@@ -17,14 +17,14 @@ def listed(spark, *tokens):
     return spark.createDataFrame([(t, None, f"{t}.example") for t in tokens], "token string, company_name string, company_domain string")
 
 
-def test_board_stops_at_first_page_with_nothing_new(spark):
+def test_all_landed_board_pages_are_read(spark):
     dev = lambda i: {"id": i, "title": "Backend Developer", "updated_at": "2026-09-20T00:00:00Z", "location": {"name": "Remote"}}
     pages = payloads(spark, [
         ("a", 1, {"jobs": [dev(1), {"id": 2, "title": "Account Executive"}]}), ("a", 2, {"jobs": [dev(1)]}), ("a", 3, {"jobs": [dev(9)]}),
         ("b", 1, [dev(1)]), ("b", 2, "oops"), ("c", 1, {"jobs": []}), ("d", 11, {"jobs": [dev(5)]}),
     ])
     found = boards.greenhouse_jobs(pages, listed(spark, *"abcd"), AS_OF).collect()
-    assert sorted((r.page, r.source_job_id) for r in found) == [("a", "1"), ("b", "1")]
+    assert sorted((r.page, r.source_job_id) for r in found) == [("a", "1"), ("a", "9"), ("b", "1"), ("d", "5")]
     assert {(r.work_arrangement, r.publication_state, r.company_name) for r in found if r.page == "a"} == {("remote", "posted_recently", "a")}
     assert boards.greenhouse_companies(listed(spark, *"abcd")).count() == 4
 
@@ -51,7 +51,7 @@ def test_map_elements(spark):
     found = {r.name: r for r in osm.osm_companies(osm.candidates(elements, 12.97, 77.59, 15)).collect()}
     assert set(found) == {"Node Co", "Way Co"}
     assert found["Node Co"].domain == "node.example" and found["Way Co"].address == "M G, Pune" and found["Way Co"].lat == 12.98
-    assert osm.candidates(elements, 0, 0).count() == 0
+    assert osm.candidates(elements, None, None).count() == 0 and osm.candidates(elements, 0, 0, 1).count() == 0
 
 
 def test_structured_data(spark):
@@ -77,10 +77,12 @@ def test_directory_selectors(spark):
     cards = directory.page_cards(frame, selectors)
     details = spark.createDataFrame([("https://dir.example/co/1", '<i class="lat">12.5</i><i class="lng">200</i><b>New Road</b>')], "url string, html string")
     found = directory.directory_companies(cards, details, {"lat": ".lat::text", "lng": ".lng::text", "address": "b::text"}).collect()
-    assert [(r.name, r.source_record_id, r.address, r.lat, r.lng, r.evidence_url) for r in found] == [("One & Co", "1", "New Road", 12.5, None, "https://dir.example/co/1")]
+    assert sorted((r.name, r.source_record_id, r.address, r.lat, r.lng, r.evidence_url) for r in found) == [
+        ("Late", "3", "", None, None, "https://dir.example/co/3"), ("One & Co", "1", "New Road", 12.5, None, "https://dir.example/co/1"),
+    ]
 
 
-def test_walk_keeps_breadth_first_order_and_ceilings(spark):
+def test_walk_keeps_breadth_first_order_to_the_end(spark):
     home = "https://s.example/"
     link = lambda n: f'<a href="{n}">x</a>'
     pages = [(home, link("/jobs/1") + link("/jobs/2") + link("/cart") + link("https://other.example/jobs"))]
@@ -89,7 +91,8 @@ def test_walk_keeps_breadth_first_order_and_ceilings(spark):
     frame = spark.createDataFrame(pages, "url string, html string")
     seeds = spark.createDataFrame([(home,), ("https://lone.example/",)], "seed string")
     seen = [(r.url.removeprefix(home), r.depth, r.visit) for r in walk(seeds, frame).filter(F.col("seed") == home).orderBy("visit").collect()]
-    assert seen == [("", 0, 1), ("jobs/1", 1, 2), ("jobs/2", 1, 3), ("jobs/1a", 2, 4), ("jobs/1b", 2, 5), ("jobs/2a", 2, 6), ("jobs/2b", 2, 7)]
+    assert seen == [("", 0, 1), ("jobs/1", 1, 2), ("jobs/2", 1, 3), ("jobs/1a", 2, 4), ("jobs/1b", 2, 5), ("jobs/2a", 2, 6), ("jobs/2b", 2, 7), ("jobs/too-deep", 3, 8)]
+    assert walk(seeds, frame, max_depth=2).filter(F.col("seed") == home).count() == 7
     few = walk(seeds, frame, max_pages=4).filter(F.col("seed") == home)
     assert few.count() == 4 and few.agg(F.max("visit")).first()[0] == 4
     maps = spark.createDataFrame([(home, "<urlset><url><loc>https://s.example/team</loc></url><url><loc>https://x.example/team</loc></url></urlset>")], "seed string, xml string")
