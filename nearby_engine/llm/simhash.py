@@ -1,8 +1,8 @@
 """SimHash fingerprints of whole texts, and exact search within a Hamming radius by permuted block tables.
 
 Terms are pairs of neighbouring words (a lone word is its own term). A term's 64-bit hash votes for or against each bit
-with the term's weight; longer words are rarer, so the weight is the pair's length less four, within 1 to 15. The votes
-of four bits share one 64-bit sum; terms are summed in runs short enough that no sum spills into its neighbour.
+with the term's weight; longer words are rarer, so the weight is the pair's length less four, within 1 to 15. Votes are
+counted by an aggregation over exploded terms, the votes of two bits in one 64-bit sum.
 """
 
 from __future__ import annotations
@@ -16,12 +16,9 @@ from nearby_engine.functions.text import let
 from nearby_engine.llm.mixing import WORD
 from nearby_engine.llm.ordering import range_buckets
 
-BITS, LANES, MOST_WEIGHT = 64, 4, 15
-RUN = (1 << 64 // LANES) // (MOST_WEIGHT + 1)
-#: A term's four bits of one sum, each in its own 16 bits.
-_SPREAD = [sum((n >> j & 1) << (64 // LANES * j) for j in range(LANES)) for n in range(1 << LANES)]
-#: As signed values, the way 64-bit integers are stored.
-_SPREAD = [v - (1 << 64) if v >> 63 else v for v in _SPREAD]
+BITS, MOST_WEIGHT = 64, 15
+#: Bits whose votes share one sum; each has 32 bits of it, room for 140 million terms of the greatest weight.
+SHARED = 2
 
 
 def _long(value: int) -> Column:
@@ -38,30 +35,25 @@ def terms(text: Column) -> Column:
     return let(words, lambda ws: F.when(F.size(ws) < 2, alone(ws)).otherwise(pairs(ws)))
 
 
-def fingerprint(text: Column) -> Column:
-    """64 bits as a long: a bit is set if the terms that have it weigh more than those that have not. Null reads as empty."""
-    spread = F.array(*[_long(v) for v in _SPREAD])
-    part = lambda h, i: F.get(spread, F.shiftright(h, LANES * i).bitwiseAND(_long((1 << LANES) - 1)).cast("int"))
-    add = lambda acc, t: F.array(*[F.get(acc, i) + t["w"] * part(t["h"], i) for i in range(BITS // LANES)])
-    zeros = F.array(*[_long(0) for _ in range(BITS // LANES)])
+def votes() -> list[Column]:
+    """Aggregates over term rows (h, w): the weight of the terms that have a bit, for two bits each, and of all terms."""
+    def pair(i: int) -> Column:
+        bits = F.shiftrightunsigned("h", SHARED * i).bitwiseAND(_long(3))
+        apart = bits.bitwiseAND(_long(1)) + bits.bitwiseAND(_long(2)) * _long(1 << 31)
+        return F.coalesce(F.sum(F.col("w") * apart), _long(0)).alias(f"v{i}")
 
-    def vote(ts: Column) -> Column:
-        runs = F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(ts) / F.lit(RUN)).cast("int")),
-            lambda r: F.aggregate(F.slice(ts, r * RUN + 1, F.lit(RUN)), zeros, add),
-        )
-        total = F.aggregate(ts, _long(0), lambda s, t: s + t["w"])
-        lane = lambda run, b: F.shiftrightunsigned(F.get(run, b // LANES), 64 // LANES * (b % LANES)).bitwiseAND(_long(0xFFFF))
-        votes = lambda rs, b: F.aggregate(rs, _long(0), lambda s, run: s + lane(run, b))
-        bit = lambda rs, n, b: F.when(votes(rs, b) * 2 > n, _long(1 << b if b < 63 else -(1 << 63))).otherwise(_long(0))
+    return [*[pair(i) for i in range(BITS // SHARED)], F.coalesce(F.sum("w"), _long(0)).alias("total")]
 
-        def joined(rs: Column, n: Column) -> Column:
-            bits = F.array(*[bit(rs, n, b) for b in range(BITS)])
-            return F.aggregate(bits, _long(0), lambda s, x: s.bitwiseOR(x))
 
-        return let(runs, lambda rs: let(total, lambda n: joined(rs, n)))
-
-    return let(terms(F.coalesce(text, F.lit(""))), vote)
+def fingerprint() -> Column:
+    """64 bits as a long, from the columns of ``votes``: set where the terms that have the bit weigh more than the others."""
+    bits = []
+    for b in range(BITS):
+        count = F.shiftrightunsigned(f"v{b // SHARED}", 32 * (b % SHARED)).bitwiseAND(_long(0xFFFFFFFF))
+        bits.append(F.when(count * 2 > F.col("total"), _long(1 << b if b < 63 else -(1 << 63))).otherwise(_long(0)))
+    while len(bits) > 1:
+        bits = [x.bitwiseOR(y) for x, y in zip(bits[::2], bits[1::2])]
+    return bits[0]
 
 
 def as_text(fp: Column) -> Column:
@@ -78,10 +70,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, rows_per_bucket: int = 1000) -> DataFrame:
-    """doc_id, text, fp, next_text, next_fp: the next document in descending doc_id order; after the last comes the first.
+    """bucket, pos, guest, doc_id, text, next_text: the next document in descending doc_id order; after the last comes the
+    first.
 
-    The ids are cut into consecutive ranges. The first document of each range is also sent to the range before it, as a
-    guest at the end, so every range knows its successor and the texts are shuffled once.
+    The ids are cut into consecutive ranges (buckets). The first document of each range is also sent to the range before
+    it, as a guest at the end, so every range knows its successor and the texts are shuffled once. Guests stay in the
+    result; ``pos`` numbers the rows of a range.
     """
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ranges = range_buckets(known, "doc_id", rows_per_bucket)
@@ -90,15 +84,14 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 1000) -> DataFrame:
     order = Window.orderBy("bucket")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     guests = tops.select("top", F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(everything)).alias("guest_of"))
-    placed = known.withColumn("fp", fingerprint(F.col("text"))).join(guests, F.col("doc_id").eqNullSafe(F.col("top")), "left")
+    placed = known.join(guests, F.col("doc_id").eqNullSafe(F.col("top")), "left")
     at = lambda bucket, guest: F.struct(bucket.alias("bucket"), F.lit(guest).alias("guest"))
     own, sent = at(ranges.of(F.col("doc_id")), 0), at(F.col("guest_of"), 1)
-    rows = placed.select("doc_id", "text", "fp", F.explode(F.when(F.col("guest_of").isNull(), F.array(own)).otherwise(F.array(own, sent))).alias("p"))
-    window = Window.partitionBy("p.bucket").orderBy("p.guest", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return (
-        rows.select("doc_id", "text", "fp", F.lead("text").over(window).alias("next_text"), F.lead("fp").over(window).alias("next_fp"), "p")
-        .where("p.guest = 0").drop("p")
-    )
+    rows = placed.select("doc_id", "text", F.explode(F.when(F.col("guest_of").isNull(), F.array(own)).otherwise(F.array(own, sent))).alias("p"))
+    window = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
+    return rows.select("p.bucket", "p.guest", "doc_id", "text").select(
+        "bucket", F.row_number().over(window).alias("pos"), "guest", "doc_id", "text", F.lead("text").over(window).alias("next_text")
+    )
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -110,10 +103,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows.
     """
     third = F.floor(F.length("text") / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
-    both = with_next(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
-    marked = both.select("doc_id", "n_chars", "fp", "next_fp", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
-    return marked.select(
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
+    rows = with_next(docs).select("bucket", "pos", "guest", "doc_id", "text", edited.alias("edited"))
+    document = ["bucket", "pos", "guest", "doc_id", "n_chars", "edited_sha256"]
+    read = lambda which, text: F.struct(F.lit(which).alias("which"), F.col(text).alias("text"))
+    texts = rows.select(
+        "bucket", "pos", "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.explode(F.when(F.col("guest") == 1, F.array(read(0, "text"))).otherwise(F.array(read(0, "text"), read(1, "edited")))).alias("t"),
+    )
+    voting = texts.select(*document, "t.which", F.explode_outer(terms(F.col("t.text"))).alias("x")).select(*document, "which", "x.h", "x.w")
+    counted = voting.groupBy(*document, "which").agg(*votes()).select(*document, "which", fingerprint().alias("fp"))
+    of = lambda which: F.max(F.when(F.col("which") == which, F.col("fp")))
+    both = counted.groupBy(*document).agg(of(0).alias("fp"), of(1).alias("edited_fp"))
+    following = F.lead("fp").over(Window.partitionBy("bucket").orderBy("pos"))
+    return both.withColumn("next_fp", following).where("guest = 0").select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
