@@ -22,6 +22,8 @@ from nearby_engine.llm.storage import stored
 #: who shares SHARED of NEAREST shares one of the NEAREST - SHARED + 1 rarest of both.
 NEAREST, SHARED = 8, 3
 FEWEST_PIVOTS, MOST_PIVOTS = 64, 4096
+#: Pivots have a cosine below this with each other.
+APART = 0.7
 #: Vectors of one side of a cell; longer lists are cut into blocks, and all pairs of blocks are compared.
 BLOCK = 1024
 
@@ -57,13 +59,20 @@ def _described(rows: DataFrame) -> DataFrame:
 
 
 def choose_pivots(nodes: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """At most ``count`` vectors, the first by hash of their digest, as one matrix per dimension."""
-    rows = nodes.select("unit").orderBy(F.xxhash64("node"), "node").limit(count).collect()
-    by_size: dict[int, list[np.ndarray]] = {}
+    """At most ``count`` vectors per dimension as one matrix each, taken in turn from a sample of 3 * count vectors (the
+    first by hash of their digest). A vector close to a pivot is passed over: several pivots inside one dense group would
+    be ordered by chance there."""
+    rows = nodes.select("unit").orderBy(F.xxhash64("node"), "node").limit(3 * count).collect()
+    chosen: dict[int, np.ndarray] = {}
+    taken: dict[int, int] = {}
     for r in rows:
         x = np.frombuffer(r["unit"], np.float64)
-        by_size.setdefault(len(x), []).append(x)
-    return {d: np.stack(xs) for d, xs in by_size.items()}
+        matrix = chosen.setdefault(len(x), np.empty((count, len(x))))
+        n = taken.setdefault(len(x), 0)
+        if n < count and (n == 0 or (matrix[:n] @ x).max() < APART):
+            matrix[n] = x
+            taken[len(x)] = n + 1
+    return {d: matrix[: taken[d]] for d, matrix in chosen.items()}
 
 
 def nearest_pivots(units: np.ndarray, pivots: np.ndarray, offset: int) -> np.ndarray:
@@ -155,7 +164,7 @@ def compare_cell(rank: int, diagonal: bool, rows: list[tuple], threshold: float)
 
 def _links(near: DataFrame, threshold: float) -> DataFrame:
     """node, links, other: rows (node, links of one cell, null) and (node, null, other end of a forest edge)."""
-    # One row per pivot, at most MOST_PIVOTS and one per dimension without pivots.
+    # One row per pivot, at most MOST_PIVOTS per dimension and one per dimension without pivots.
     used = near.select(F.explode("near").alias("p")).groupBy("p").count().collect()
     rank = {r["p"]: i for i, r in enumerate(sorted(used, key=lambda r: (r["count"], r["p"])))}
     posted = {"rank": pa.int32(), "low": pa.int32(), "high": pa.int32(), "side": pa.int32(), "node": pa.string(), "copies": pa.int64(), "unit": pa.binary(), "ranks": pa.list_(pa.int32())}
