@@ -28,6 +28,8 @@ HASHES, ORDERS, SHALLOW, DEEP = 64, 16, 4, 8
 REGION = 1024
 #: Most full sets of one side of a comparison.
 SETS = 400
+#: Most document ids that are broadcast to fetch their texts.
+FEW_IDS = 2_000_000
 #: Signatures agree in this share at least before full sets are fetched. At similarity 0.8 the agreement of 64 hashes is
 #: below it with probability 1e-6.
 LEAST_AGREEMENT = 36 / 64
@@ -128,8 +130,9 @@ def _runs(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "tree int, key binary, node long")
 
 
-def neighbour_pairs(runs: DataFrame) -> DataFrame:
-    """a, b: neighbours in the sorted runs that share a prefix of SHALLOW components.
+def scan_runs(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): neighbours in the sorted runs that share a prefix of SHALLOW components; (tree, key, node): the places of
+    all nodes that share such a prefix with any other (and of a few that do not).
 
     Runs are range-partitioned by the whole key and the node, so equal prefixes may lie in many partitions. The ends of
     the partitions, two rows each, are paired in a second step.
@@ -138,7 +141,7 @@ def neighbour_pairs(runs: DataFrame) -> DataFrame:
     kinds = {"a": pa.int64(), "b": pa.int64(), "tree": pa.int32(), "key": pa.binary(), "place": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId(), None
+        part, last, listed = TaskContext.get().partitionId(), None, False
         for batch in batches:
             found = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
@@ -147,7 +150,12 @@ def neighbour_pairs(runs: DataFrame) -> DataFrame:
                     found.append((node, None, tree, key, 2 * part))
                 elif last[0] == tree and last[1][:prefix] == key[:prefix]:
                     found.append((last[2], node, None, None, None))
-                last = row
+                    if not listed:
+                        found.append((last[2], None, last[0], last[1], None))
+                    found.append((node, None, tree, key, None))
+                    last, listed = row, True
+                    continue
+                last, listed = row, False
             if found:
                 yield _rows(kinds, zip(*found))
         if last is not None:
@@ -160,13 +168,13 @@ def neighbour_pairs(runs: DataFrame) -> DataFrame:
     inner = scanned.where("b is not null").select("a", "b")
     # Two rows per partition: the window over them stays small at any size.
     following = Window.orderBy("place")
-    ends = scanned.where("b is null").select(
+    ends = scanned.where("place is not null").select(
         "a", F.lead("a").over(following).alias("b"), "tree", F.lead("tree").over(following).alias("tree2"),
         F.substring("key", 1, prefix).alias("key"), F.substring(F.lead("key").over(following), 1, prefix).alias("key2"),
     )
     met = ends.where("tree = tree2 and key = key2 and a <> b").select("a", "b")
-    pairs = inner.unionByName(met)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = inner.unionByName(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, scanned.where("b is null").select("tree", "key", F.col("a").alias("node")).distinct()
 
 
 def _agreeing(rows: list[tuple], at: tuple[int, ...], cross: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -205,7 +213,7 @@ def _in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
     return df.withColumn("block", mine).withColumn("cell", F.explode(cells)).withColumns({"low": F.col("cell.low"), "high": F.col("cell.high")})
 
 
-def regional_candidates(runs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+def regional_candidates(places: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """label, node: nodes that share a region in some run with a node of another group whose signature agrees enough.
 
     Both nodes of each such pair have a label in common; pairs themselves are never written. ``groups`` (node, component)
@@ -213,7 +221,7 @@ def regional_candidates(runs: DataFrame, nodes: DataFrame, groups: DataFrame) ->
     done. A region of more than REGION nodes is cut by a longer prefix, and at the longest prefix into blocks whose pairs
     are compared in tasks of their own.
     """
-    grouped = runs.join(groups.withColumnRenamed("component", "g"), "node", "left").select("tree", "key", "node", F.coalesce("g", "node").alias("g"))
+    grouped = places.join(groups.withColumnRenamed("component", "g"), "node", "left").select("tree", "key", "node", F.coalesce("g", "node").alias("g"))
     small, depth, open_rows = [], SHALLOW, grouped
     region = ["tree", "prefix"]
     while True:
@@ -266,7 +274,10 @@ def _full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, k: int)
                 sets = [shingle_set(t, k) for t in batch.column(0).slice(at, 128).to_pylist()]
                 yield _rows({"node": pa.int64(), "data": pa.binary()}, ([digest(s) for s in sets], [s.tobytes() for s in sets]))
 
-    texts = docs.select("doc_id", "text").join(stored(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    ids = stored(chosen.select("doc_id").distinct())
+    # Few ids are broadcast (at most FEW_IDS, 16 MB); many are joined by a shuffle.
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return texts.select("text").mapInArrow(make, "node long, data binary")
 
 
@@ -380,10 +391,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """
     described = stored(describe(docs, shingle_words))
     nodes = stored(described.where("node is not null").groupBy("node").agg(F.min("signature").alias("signature")))
-    runs = stored(_runs(nodes))
-    first = stored(confirm(neighbour_pairs(runs), docs, described, shingle_words, percent))
+    pairs, places = scan_runs(_runs(nodes))
+    first = stored(confirm(pairs, docs, described, shingle_words, percent))
     groups = stored(connected_components(first))
-    candidates = regional_candidates(runs, nodes, groups)
+    candidates = regional_candidates(places, nodes, groups)
     more = stored(confirm_across(candidates, nodes, groups, docs, described, shingle_words, percent))
     if not more.isEmpty():
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
