@@ -3,8 +3,9 @@
 Texts are cut into words by a pattern. The words that occur most often are encoded once, into a dictionary of bounded
 size; any other word is encoded where it stands, by the same expression, so every word is encoded and none needs a
 shuffle. A word's bytes are held as characters U+0000 to U+00FF; its pieces stand between marks in one string, and a fold
-replaces the pair of lowest rank until no pair has a rank. Ranks are a literal: a list of small maps, chosen by a
-checksum of the key, because a lookup in one large map would read the whole map.
+replaces the pair of lowest rank until no pair has a rank. Ranks are a list of small maps, chosen by a checksum of the
+key, because a lookup in one large map would read the whole map. The list is written once as a literal and enters the
+plans as a scalar subquery, as the dictionary does, so that plans stay small.
 
 All pairs of one kind may be merged in one step if no later step could have come between them; for each token that is
 decided beforehand (see ``_merge_kinds``). Other tokens are merged one pair at a time, leftmost first.
@@ -15,16 +16,20 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nearby_engine.functions.text import let
+from nearby_engine.llm.storage import stored
 
 MARK = "Ā"
 RANK_BUCKETS, WORD_BUCKETS = 1 << 15, 1 << 16
 #: Most words of the dictionary; the bound of what the plan carries.
 DICTIONARY = 100_000
+#: Partitions in which the dictionary is encoded.
+WORD_PARTS = 64
 ONE_BY_ONE, TOGETHER, TOGETHER_IF_ALIKE = 0, 1, 2
 
 
@@ -56,8 +61,12 @@ def _buckets(entries: dict[str, object], count: int, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), f"array<map<string,{kind}>>")
 
 
+def _bucket_of(key: Column, count: int) -> Column:
+    return (F.crc32(key.cast("binary")) % count).cast("int")
+
+
 def _find(maps: Column, key: Column, count: int) -> Column:
-    return F.try_element_at(F.get(maps, (F.crc32(key.cast("binary")) % count).cast("int")), key)
+    return F.try_element_at(F.get(maps, _bucket_of(key, count)), key)
 
 
 @dataclass(frozen=True)
@@ -81,6 +90,10 @@ class Vocabulary:
         kinds = _merge_kinds(self.ranks)
         return _buckets({t.decode("latin-1"): 4 * r + kinds[t] for t, r in self.ranks.items()}, RANK_BUCKETS, "int")
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row: maps, pieces."""
+        return stored(spark.range(1).select(self.rank_maps().alias("maps"), self.pieces().alias("pieces")))
+
     def pieces(self) -> Column:
         """The bytes of each id, in hex; ids without a token are empty."""
         made = [""] * (max(self.ranks.values(), default=-1) + 1)
@@ -129,27 +142,45 @@ def encode_word(word: Column, maps: Column) -> Column:
     return let(F.decode(word.cast("binary"), "ISO-8859-1"), fold)
 
 
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY) -> dict[str, list[int]]:
-    """Ids of the ``most`` most frequent words, each encoded once. Which words they are changes no result."""
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, table: DataFrame, most: int = DICTIONARY) -> DataFrame:
+    """One row: known, the ids of the ``most`` most frequent words in WORD_BUCKETS maps, each word encoded once. Which
+    words they are changes no result."""
     counted = docs.select(F.explode(vocabulary.words(F.col("text"))).alias("word")).groupBy("word").count()
-    top = counted.orderBy(F.desc("count"), "word").limit(most).select("word")
-    ids = F.get(F.transform(F.array(vocabulary.rank_maps()), lambda maps: encode_word(F.col("word"), maps)), F.lit(0)).alias("ids")
-    return {word: ids for word, ids in top.repartition("word").select("word", ids).collect()}
+    top = stored(counted.orderBy(F.desc("count"), "word").limit(most).select("word"))
+    ids = F.get(F.transform(F.array("maps"), lambda m: encode_word(F.col("word"), m)), F.lit(0))
+    # The words are few; they are dealt out because encoding them is the costly part.
+    given = top.repartition(WORD_PARTS, "word").select("word", table.select("maps").scalar().alias("maps"))
+    encoded = given.select(_bucket_of(F.col("word"), WORD_BUCKETS).alias("bucket"), F.struct("word", ids.alias("ids")).alias("entry"))
+    filled = encoded.groupBy("bucket").agg(F.map_from_entries(F.collect_list("entry")).alias("map"))
+    every = docs.sparkSession.range(WORD_BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(filled, "bucket", "left")
+    # WORD_BUCKETS short rows in order, so the list's places are the buckets' numbers.
+    return stored(every.coalesce(1).sortWithinPartitions("bucket").agg(F.collect_list(F.coalesce("map", F.create_map().cast("map<string,array<int>>"))).alias("known")))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY) -> DataFrame:
-    """doc_id, ids of every whole text, without special tokens. A null text has none."""
-    known = _buckets(frequent_words(docs, vocabulary, most), WORD_BUCKETS, "array<int>")
-    both = F.array(F.struct(known.alias("known"), vocabulary.rank_maps().alias("maps")))
+def _per_document(docs: DataFrame, vocabulary: Vocabulary, most: int, use: Callable[[Column, Column], Column]) -> DataFrame:
+    """doc_id, out: ``use`` of a document's ids and the pieces.
+
+    The optimizer moves each subquery to its single use inside this one expression, so no row ever holds the tables.
+    """
+    table = vocabulary.table(docs.sparkSession)
+    known = frequent_words(docs, vocabulary, table, most).select("known").scalar()
+    held = {name: table.select(name).scalar().alias(name) for name in ("maps", "pieces")}
+    given = docs.select("doc_id", "text", known.alias("known"), *held.values())
     ids = lambda t: F.flatten(
         F.transform(vocabulary.words(F.col("text")), lambda w: F.coalesce(_find(t["known"], w, WORD_BUCKETS), encode_word(w, t["maps"])))
     )
-    return docs.select("doc_id", F.get(F.transform(both, ids), F.lit(0)).alias("ids"))
+    out = F.transform(F.array(F.struct("known", "maps", "pieces")), lambda t: let(ids(t), lambda i: use(i, t["pieces"])))
+    return given.select("doc_id", F.get(out, F.lit(0)).alias("out"))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY) -> DataFrame:
+    """doc_id, ids of every whole text, without special tokens. A null text has none."""
+    return _per_document(docs, vocabulary, most, lambda ids, _: ids).withColumnRenamed("out", "ids")
 
 
-def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The bytes that the ids' pieces make, one after the other."""
-    return let(vocabulary.pieces(), lambda hexes: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")))
+def decode(ids: Column, pieces: Column) -> Column:
+    """The bytes that the ids' pieces (in hex) make, one after the other."""
+    return let(pieces, lambda hexes: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY) -> DataFrame:
@@ -158,9 +189,9 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, most: int = DICTIONARY)
     A null text is encoded as empty. Rows that repeat give equal rows; extra columns are left out; an empty table gives
     no rows.
     """
-    return encode(docs, vocabulary, most).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"),
+    figures = lambda ids, pieces: F.struct(
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(decode(ids, pieces), 256).alias("decoded_sha256"),
     )
+    return _per_document(docs, vocabulary, most, figures).select("doc_id", "out.*")
