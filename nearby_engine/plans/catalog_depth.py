@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearby_engine.functions.urls import is_public_url
 from nearby_engine.operators import merge as M
+from nearby_engine.operators.clusters import cluster_kmeans
 from nearby_engine.operators.crawl import page_links
 from nearby_engine.plans.catalog import register, sql_iso
 from nearby_engine.plans.views import table
@@ -101,3 +102,25 @@ def eligibility_on_stored_rows(spark: SparkSession, folder: str) -> DataFrame:
         "job_id", "scope_code", "confidence", "is_active",
         F.date_format("first_seen_at", shown).alias("first_seen"), F.date_format("last_seen_at", shown).alias("last_seen"),
     )
+
+
+@register(
+    "cluster_kmeans_of_separate_groups",
+    """SELECT count(*) AS count, round(avg(10.0e0 + 5 * (c_custkey % 4) + (c_custkey % 7) / 100.0e0), 6) AS lat,
+      round(avg(70.0e0 + 5 * (c_custkey % 4) + (c_custkey % 11) / 100.0e0), 6) AS lng FROM customer GROUP BY c_custkey % 4""",
+)
+def cluster_kmeans_of_separate_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Four tight groups hundreds of kilometres apart: whatever the start, each becomes one cluster."""
+    key = F.col("c_custkey")
+    customers = table(spark, folder, "customer")
+    name = key.cast("string")
+    none = F.lit(None).cast("string")
+    companies = customers.select(
+        name.alias("id"), F.col("c_name").alias("name"), none.alias("domain"), none.alias("industry"), none.alias("employee_count")
+    )
+    locations = customers.select(
+        name.alias("id"), name.alias("company_id"), F.lit("confirmed_office").alias("presence_type"), F.lit(1.0).alias("confidence"),
+        (F.lit(10.0) + (key % 4) * 5 + (key % 7) / 100.0).alias("lat"), (F.lit(70.0) + (key % 4) * 5 + (key % 11) / 100.0).alias("lng"),
+    )
+    found = cluster_kmeans({"companies": companies, "locations": locations}, 17.5, 77.5, 3_000_000.0, k=4)
+    return found.select("count", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))

@@ -8,30 +8,6 @@ from pyspark.sql import types as T
 PRESENCE_TYPES = ["confirmed_office", "probable_office", "job_location_only"]
 WORK_ARRANGEMENTS = ["in_office", "hybrid", "remote", "unknown"]
 PUBLICATION_STATES = ["posted_recently", "observed_recently", "stale"]
-RUN_STATUSES = ["pending", "running", "completed", "partial", "failed", "cancelled"]
-COORDINATE_SOURCES = ["structured", "provider", "geocoded", "inferred", "unknown"]
-JOB_STATES = ["open", "closed", "stale", "unknown"]
-REMOTE_SCOPE_TYPES = ["global", "country", "region", "timezone"]
-SOURCE_TYPES = [
-    "official_site", "official_ats", "open_dataset",
-    "licensed_import", "company_submitted", "user_submitted",
-]
-ROLE_FAMILIES = [
-    ("engineering", "Engineering", True),
-    ("data", "Data", True),
-    ("product", "Product", True),
-    ("design", "Design", True),
-    ("security", "Security", True),
-    ("it", "IT", True),
-    ("sales", "Sales", False),
-    ("marketing", "Marketing", False),
-    ("operations", "Operations", False),
-    ("finance", "Finance", False),
-    ("hr", "HR", False),
-    ("legal", "Legal", False),
-    ("customer_support", "Customer Support", False),
-    ("other", "Other", False),
-]
 
 # Limits of the evidence contract.
 CONTRACT_VERSION = 1
