@@ -5,6 +5,8 @@ The batches are built from orders: ten orders a batch, each giving a company and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from nearby_engine.operators.validate import (
     table_rules,
     validate,
 )
-from nearby_engine.plans.catalog import register, sql_iso
+from nearby_engine.plans.catalog import CATALOG, register, sql_iso
 from nearby_engine.plans.intake import intake
 from nearby_engine.plans.views import (
     table,
@@ -339,6 +341,20 @@ KEYED = f"""{R}, k AS (SELECT *, sha256(name || chr(0) || address || chr(0) || c
     min(observed_s) OVER (PARTITION BY source, CASE WHEN record_id IS NOT NULL THEN 'i:' || record_id ELSE 'h:' || digest END) AS first_s FROM k)"""
 
 
+def _merged(
+    spark: SparkSession, merge: Callable[[DataFrame, DataFrame], DataFrame], name: str, rows: DataFrame, waves: bool
+) -> DataFrame:
+    """All rows merged at once, or the earlier half, the same half delivered again, and the later half on top of it."""
+    empty = empty_tables(spark)[name]
+    if not waves:
+        return merge(empty, rows)
+    middle = rows.agg(F.percentile_approx("observed_at", 0.5)).first()[0]
+    early, late = rows.filter(F.col("observed_at") <= F.lit(middle)), rows.filter(F.col("observed_at") > F.lit(middle))
+    stored = cut(merge(empty, early).select(empty.columns))
+    stored = cut(merge(stored, early).select(empty.columns))
+    return merge(stored, late)
+
+
 @register(
     "merge_sightings",
     f"""WITH {KEYED} SELECT source, family AS source_family, record_id AS source_record_id, digest AS content_hash, name AS company_name, address AS raw_address,
@@ -346,12 +362,10 @@ KEYED = f"""{R}, k AS (SELECT *, sha256(name || chr(0) || address || chr(0) || c
     '{{"n":' || CAST(id AS VARCHAR) || CASE WHEN domain IS NOT NULL THEN ',"domain":"' || domain || '"' ELSE '' END || CASE WHEN phone IS NOT NULL THEN ',"phone":"' || phone || '"' ELSE '' END || '}}' AS metadata
     FROM g WHERE newest = 1""",
 )
-def merge_sightings(spark: SparkSession, folder: str) -> DataFrame:
+def merge_sightings(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
     companies, _ = _rows(spark, folder)
     none = F.lit(None).cast("string")
-    merged = M.merge_sightings(
-        empty_tables(spark)["sightings"], companies.withColumns({"company_id": none, "location_id": none})
-    )
+    merged = _merged(spark, M.merge_sightings, "sightings", companies.withColumns({"company_id": none, "location_id": none}), waves)
     shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return merged.select(
         "source", "source_family", "source_record_id", "content_hash", "company_name", "raw_address", "source_url", "lat", "lng",
@@ -373,11 +387,9 @@ JOBS_KEYED = f"""{R}, k AS (SELECT *, sha256(name || chr(0) || title || chr(0) |
     {sql_iso(SHOWN.format('observed_s'))} AS last_seen, 'software_engineering' AS technical_classification, 'engineering' AS role_family,
     CASE publication WHEN 'stale' THEN 'stale' ELSE 'open' END AS state, true AS is_active, 1.0e0 AS activity_confidence FROM g WHERE newest = 1""",
 )
-def merge_jobs(spark: SparkSession, folder: str) -> DataFrame:
+def merge_jobs(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
     _, jobs = _rows(spark, folder)
-    merged = M.merge_jobs(
-        empty_tables(spark)["jobs"], M.with_job_id(jobs.withColumn("company_id", F.col("company_domain")))
-    )
+    merged = _merged(spark, M.merge_jobs, "jobs", M.with_job_id(jobs.withColumn("company_id", F.col("company_domain"))), waves)
     shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return merged.select(
         "source", "source_job_id", "title", "normalized_title", "content_hash", "canonical_url", "work_arrangement", "publication_state",
@@ -403,9 +415,9 @@ JOB_REF = "sha256('job|' || source || '|' || key)"
     SELECT job_id, CAST(0 AS BIGINT) AS ordinal, location_raw, p.la AS latitude, p.lo AS longitude, p.cs AS coordinate_source, p.conf AS confidence,
       CASE WHEN location_raw <> '' THEN 'stated_job_location' ELSE 'inferred' END AS location_kind, {sql_iso(SHOWN.format('s0'))} AS first_seen, {sql_iso(SHOWN.format('s1'))} AS last_seen FROM p""",
 )
-def merge_job_locations(spark: SparkSession, folder: str) -> DataFrame:
+def merge_job_locations(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
     _, jobs = _rows(spark, folder)
-    merged = M.merge_job_locations(empty_tables(spark)["job_locations"], M.with_job_id(jobs))
+    merged = _merged(spark, M.merge_job_locations, "job_locations", M.with_job_id(jobs), waves)
     shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return merged.select(
         "job_id", "ordinal", "location_raw", "latitude", "longitude", "coordinate_source", "confidence", "location_kind",
@@ -423,8 +435,8 @@ ELIGIBLE = f"""{JOBS_KEYED}, e AS (SELECT {JOB_REF} AS job_id, (batch, id) AS se
     f"""WITH {ELIGIBLE} SELECT job_id, CASE scope WHEN 'GLOBAL' THEN 'global' WHEN 'IN' THEN 'country' ELSE 'region' END AS scope_type, scope AS scope_code,
     0.8e0 AS confidence, true AS is_active, {sql_iso(SHOWN.format('min(observed_s)'))} AS first_seen, {sql_iso(SHOWN.format('max(observed_s)'))} AS last_seen FROM a GROUP BY job_id, scope""",
 )
-def merge_remote_eligibility(spark: SparkSession, folder: str) -> DataFrame:
-    merged = _eligibility(spark, folder)
+def merge_remote_eligibility(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
+    merged = _eligibility(spark, folder, waves)
     shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return merged.select(
         "job_id", "scope_type", "scope_code", "confidence", "is_active",
@@ -432,10 +444,10 @@ def merge_remote_eligibility(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _eligibility(spark: SparkSession, folder: str) -> DataFrame:
+def _eligibility(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
     _, jobs = _rows(spark, folder)
     rows = M.with_job_id(jobs).withColumn("source_record_id", F.col("job_id"))
-    return M.merge_remote_eligibility(empty_tables(spark)["job_remote_eligibility"], rows)
+    return _merged(spark, M.merge_remote_eligibility, "job_remote_eligibility", rows, waves)
 
 
 @register("india_eligible_jobs", f"WITH {ELIGIBLE} SELECT DISTINCT job_id FROM a WHERE scope IN ('GLOBAL', 'IN')")
@@ -485,8 +497,8 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {RECORDS_KEYED} SELECT o.source, o.record_id AS external_id, CASE WHEN o.id % 5 = 0 THEN NULL ELSE o.company_url END AS source_url, o.digest AS payload_hash, n.payload,
     {sql_iso(SHOWN.format('o.observed_s'))} AS first_seen, {sql_iso(SHOWN.format('n.observed_s'))} AS last_seen FROM g o JOIN g n ON n.source = o.source AND n.key = o.key AND n.newest = 1 WHERE o.oldest = 1""",
 )
-def source_records(spark: SparkSession, folder: str) -> DataFrame:
-    merged = M.merge_source_records(empty_tables(spark)["source_records"], _records(spark, folder))
+def source_records(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
+    merged = _merged(spark, M.merge_source_records, "source_records", _records(spark, folder), waves)
     shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return merged.select(
         "source", "external_id", "source_url", "payload_hash", "payload",
@@ -499,9 +511,9 @@ def source_records(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {RECORDS_KEYED} SELECT domain AS company_id, sha256('record|' || source || '|company|' || key) AS source_record_id, 'evidence' AS relation, 1.0e0 AS confidence,
     {sql_iso(SHOWN.format('min(observed_s)'))} AS first_seen, {sql_iso(SHOWN.format('max(observed_s)'))} AS last_seen FROM g WHERE domain IS NOT NULL GROUP BY ALL""",
 )
-def source_links(spark: SparkSession, folder: str) -> DataFrame:
+def source_links(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
     rows = _records(spark, folder).withColumn("company_id", F.col("domain")).filter(F.col("domain").isNotNull())
-    merged = M.merge_links(empty_tables(spark)["company_source_links"], rows, "company_id")
+    merged = _merged(spark, lambda held, new: M.merge_links(held, new, "company_id"), "company_source_links", rows, waves)
     shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return merged.select(
         "company_id", "source_record_id", "relation", "confidence",
@@ -509,6 +521,15 @@ def source_links(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _second_wave(plan: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: plan(spark, folder, waves=True)
+
+
+# The same rows must come out when the merges meet stored rows, and rows they have merged before.
+for _plan in (merge_sightings, merge_jobs, merge_job_locations, merge_remote_eligibility, source_records, source_links):
+    register(f"{_plan.__name__}_second_wave", CATALOG[_plan.__name__].sql)(_second_wave(_plan))
+
+
 GAZETTEER = [("pune", 18.52, 73.85), ("bengaluru", 12.97, 77.59), ("nowhere", 99.0, 10.0)]
 
 
