@@ -19,8 +19,9 @@ from nearby_engine.llm.components import connected_components
 from nearby_engine.llm.storage import stored
 
 #: Pivots that describe a vector, and how many two vectors must share. Lists of a vector's rarest pivots only are needed:
-#: who shares SHARED of NEAREST shares one of the NEAREST - SHARED + 1 rarest of both.
-NEAREST, SHARED = 8, 3
+#: who shares SHARED of NEAREST shares one of the NEAREST - SHARED + 1 rarest of both. The more pivots, the fewer of them
+#: two vectors share: with 8 and 3, 0.80 of the pairs at cosine 0.9 were found with 4096 pivots; with these, 0.998.
+NEAREST, SHARED = 12, 2
 FEWEST_PIVOTS, MOST_PIVOTS = 64, 4096
 #: Pivots have a cosine below this with each other.
 APART = 0.7

@@ -139,6 +139,22 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert pivot_dedup.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_recall_holds_with_many_pivots(spark):
+    """Pairs just above the threshold, in a table with many pivots."""
+    draw = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(draw.normal(size=(6500, 64)))
+    side = draw.normal(size=(1500, 64))
+    side = unit(side - (side * base[:1500]).sum(1)[:, None] * base[:1500])
+    vectors = np.concatenate([base, base[:1500] * 0.901 + side * np.sqrt(1 - 0.901**2)])
+    table = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>").cache()
+    for pivots in (1024, 4096):
+        got = {r.vec_id: r.component_id for r in pivot_dedup.near_duplicate_vectors(table, pivots=pivots).collect()}
+        recall = np.mean([got[6500 + i] == got[i] for i in range(1500)])
+        print(pivots, recall)
+        assert recall >= 0.99
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------------------
 
 FOLDER = "/root/testdata/sf0.1"
