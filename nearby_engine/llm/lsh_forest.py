@@ -3,14 +3,15 @@
 A document is the set of its word shingles. Documents with equal sets become one node. A node's signature is read in
 several orders; each order is one tree of the forest, stored as a sorted run. Neighbours in a run whose signatures share
 at least a minimal prefix are first candidates. Confirmed links join most of each group; where one prefix still holds
-nodes of different groups, the prefix is lengthened until the region is small (adaptive depth), and what is left is
-compared across groups. Every link is confirmed on the full sets.
+nodes of different groups, what is left is compared across groups; the nodes of large regions get further trees with a
+longer prefix instead, of which there are so many that no more links are missed than by the short one (adaptive depth).
+Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,11 @@ from nearby_engine.llm.components import connected_components
 from nearby_engine.llm.storage import stored
 from nearby_engine.llm.workers import kept
 
-#: Signature length, orders, and the least and greatest prefix (components) that a region is cut by.
+#: Signature length, orders, and the short and the long prefix (components) that a region is cut by.
 HASHES, ORDERS, SHALLOW, DEEP = 64, 16, 4, 8
+#: Trees of the long prefix, on DEEP hashes of their own each: at similarity 0.8, (1 - 0.8 ** 8) ** 46 = 0.0002 of the links
+#: share no such prefix, as (1 - 0.8 ** 4) ** 16 share no short one. Longer prefixes of the 64 hashes would miss far more.
+DEEP_ORDERS = 46
 #: Most nodes of a region; one that is larger at DEEP is cut into blocks, all pairs of which are compared.
 REGION = 1024
 #: Most full sets of one side of a comparison.
@@ -59,10 +63,10 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(20240517)
+def _functions(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(seed)
     high = np.iinfo(np.uint64).max
-    return draw.integers(0, high, HASHES, np.uint64) | np.uint64(1), draw.integers(0, high, HASHES, np.uint64)
+    return draw.integers(0, high, count, np.uint64) | np.uint64(1), draw.integers(0, high, count, np.uint64)
 
 
 def digest(hashes: np.ndarray) -> int:
@@ -70,17 +74,23 @@ def digest(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of HASHES 32-bit minima per non-empty set."""
+def signatures(sets: list[np.ndarray], count: int = HASHES, seed: int = 20240517) -> np.ndarray:
+    """One row of ``count`` 32-bit minima per non-empty set."""
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), HASHES), np.uint32)
-    for i, (a, b) in enumerate(zip(*_functions())):
+    out = np.empty((len(sets), count), np.uint32)
+    for i, (a, b) in enumerate(zip(*_functions(count, seed))):
         mixed = ((flat * a + b) >> np.uint64(32)).astype(np.uint32)
         out[:, i] = np.minimum.reduceat(mixed, starts)
     return out
 
 
+def deep_prefixes(sets: list[np.ndarray]) -> list[list[int]]:
+    """DEEP_ORDERS prefixes of DEEP components per non-empty set, as signed 64-bit digests."""
+    minima = signatures(sets, DEEP_ORDERS * DEEP, 20240518).reshape(len(sets), DEEP_ORDERS, DEEP)
+    return [[digest(prefix) for prefix in row] for row in minima]
+
+
 def orders() -> np.ndarray:
     """ORDERS x DEEP places in the signature: each order starts with SHALLOW places of its own."""
     draw, rows = np.random.default_rng(7), []
@@ -213,28 +223,42 @@ def _in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
     return df.withColumn("block", mine).withColumn("cell", F.explode(cells)).withColumns({"low": F.col("cell.low"), "high": F.col("cell.high")})
 
 
-def regional_candidates(places: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+def _deep_places(docs: DataFrame, described: DataFrame, wide: DataFrame, k: int) -> DataFrame:
+    """tree, prefix, node, g: each of the nodes ``wide`` (node, g) once per tree of the long prefix."""
+
+    def make(sets: list[np.ndarray]) -> pa.Array:
+        return pa.array(deep_prefixes(sets) if sets else [], pa.list_(pa.int64()))
+
+    made = _of_texts(docs, described, wide.select("node"), k, make, "array<long>")
+    found = stored(made.join(wide, "node").dropDuplicates(["node"]))
+    return found.select(F.posexplode("data").alias("tree", "prefix"), "node", "g").withColumns(
+        {"tree": F.col("tree") + ORDERS, "prefix": F.unhex(F.hex("prefix"))}
+    )
+
+
+def regional_candidates(
+    places: DataFrame, nodes: DataFrame, groups: DataFrame, docs: DataFrame, described: DataFrame, k: int
+) -> DataFrame:
     """label, node: nodes that share a region in some run with a node of another group whose signature agrees enough.
 
     Both nodes of each such pair have a label in common; pairs themselves are never written. ``groups`` (node, component)
     holds the groups found so far; a node without a row is its own group. Regions whose nodes are all of one group are
-    done. A region of more than REGION nodes is cut by a longer prefix, and at the longest prefix into blocks whose pairs
-    are compared in tasks of their own.
+    done. Nodes that share a region of more than REGION nodes meet in the trees of the long prefix instead; what is larger
+    there is cut into blocks whose pairs are compared in tasks of their own.
     """
     grouped = places.join(groups.withColumnRenamed("component", "g"), "node", "left").select("tree", "key", "node", F.coalesce("g", "node").alias("g"))
-    small, depth, open_rows = [], SHALLOW, grouped
     region = ["tree", "prefix"]
-    while True:
-        here = open_rows.withColumn("prefix", F.substring("key", 1, 4 * depth))
-        mixed = stored(here.groupBy(*region).agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select(*region, "n"))
-        kept = here.join(mixed, region)
-        if depth == DEEP:
-            small.append(kept.select("node", "g", *region, F.ceil(F.col("n") / REGION).alias("blocks")))
-            break
-        small.append(kept.where(f"n <= {REGION}").select("node", "g", *region, F.lit(1).cast("long").alias("blocks")))
-        if mixed.where(f"n > {REGION}").isEmpty():
-            break
-        open_rows, depth = stored(kept.where(f"n > {REGION}").select("tree", "key", "node", "g")), depth + 1
+
+    def of_many_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        mixed = stored(rows.groupBy(*region).agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 <> g2").select(*region, "n"))
+        return mixed, rows.join(mixed, region).select("node", "g", *region, "n")
+
+    mixed, shallow = of_many_groups(grouped.withColumn("prefix", F.substring("key", 1, 4 * SHALLOW)))
+    small = [shallow.where(f"n <= {REGION}")]
+    if not mixed.where(f"n > {REGION}").isEmpty():
+        wide = stored(shallow.where(f"n > {REGION}").select("node", "g").distinct())
+        small.append(of_many_groups(_deep_places(docs, described, wide, k))[1])
+    small = [rows.select("node", "g", *region, F.ceil(F.col("n") / REGION).alias("blocks")) for rows in small]
     members = _in_blocks(functools.reduce(DataFrame.unionByName, small), F.col("blocks")).join(nodes.select("node", "signature"), "node")
     cell = [*region, "low", "high"]
     dealt = members.select(*cell, "block", "node", "g", "signature").repartition(*cell).sortWithinPartitions(*cell)
@@ -264,21 +288,31 @@ def regional_candidates(places: DataFrame, nodes: DataFrame, groups: DataFrame)
     return dealt.mapInArrow(run, "label long, node long").distinct()
 
 
-def _full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, data: the sets of the wanted nodes, made anew from the text of one document each."""
+def _of_texts(
+    docs: DataFrame, described: DataFrame, wanted: DataFrame, k: int, make: Callable[[list[np.ndarray]], pa.Array], kind: str
+) -> DataFrame:
+    """node, data: what ``make`` gives for the sets of the wanted nodes, made anew from the text of one document each.
+
+    Other nodes, and nodes more than once, can be among them where ids repeat.
+    """
     chosen = described.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                sets = [shingle_set(t, k) for t in batch.column(0).slice(at, 128).to_pylist()]
-                yield _rows({"node": pa.int64(), "data": pa.binary()}, ([digest(s) for s in sets], [s.tobytes() for s in sets]))
+                sets = [s for s in (shingle_set(t, k) for t in batch.column(0).slice(at, 128).to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), make(sets)], names=["node", "data"])
 
     ids = stored(chosen.select("doc_id").distinct())
     # Few ids are broadcast (at most FEW_IDS, 16 MB); many are joined by a shuffle.
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return texts.select("text").mapInArrow(make, "node long, data binary")
+    return texts.select("text").mapInArrow(run, f"node long, data {kind}")
+
+
+def _full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, data: the sets of the wanted nodes."""
+    return _of_texts(docs, described, wanted, k, lambda sets: pa.array([s.tobytes() for s in sets], pa.binary()), "binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -394,7 +428,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     pairs, places = scan_runs(_runs(nodes))
     first = stored(confirm(pairs, docs, described, shingle_words, percent))
     groups = stored(connected_components(first))
-    candidates = regional_candidates(places, nodes, groups)
+    candidates = regional_candidates(places, nodes, groups, docs, described, shingle_words)
     more = stored(confirm_across(candidates, nodes, groups, docs, described, shingle_words, percent))
     if not more.isEmpty():
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -91,6 +91,36 @@ def test_small_regions_and_blocks_find_the_same(spark, monkeypatch):
     assert sum(a == b for a, b in zip(got, expected)) >= 0.99 * len(rows)
 
 
+def test_links_among_documents_with_a_common_passage(spark, monkeypatch):
+    """Every region is large, as in a table where very many documents share a passage; no link may be lost for it."""
+    monkeypatch.setattr(lsh_forest, "REGION", 2)
+    passage, rows = cases.words(52, 99), []
+    for g in range(1000):
+        own = cases.words(48, 100_000 + g, 10**6)
+        rows += [" ".join(passage + own), " ".join(passage + own[:38] + cases.words(10, 200_000 + g, 10**6))]
+    random.Random(3).shuffle(rows)
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in lsh_forest.near_duplicates(docs, 2).orderBy("doc_id").collect()]
+    expected = _expected(rows, 2)
+    print("links lost", sum(a != b for a, b in zip(got, expected)))
+    assert got == expected
+
+
+def test_long_prefixes_are_shared_as_often_as_short_ones():
+    draw = np.random.default_rng(4)
+    missed = 0
+    for _ in range(20):
+        sets = []
+        for _ in range(100):
+            x = draw.integers(0, np.iinfo(np.uint64).max, 400, np.uint64)
+            sets += [np.unique(x[:360]), np.unique(x[40:])]  # 320 of 400 are common
+        prefixes = lsh_forest.deep_prefixes(sets)
+        missed += sum(not any(a == b for a, b in zip(*prefixes[i : i + 2])) for i in range(0, 200, 2))
+    print("missed", missed, "of 2000")
+    assert missed <= 4
+
+
 def test_awkward_documents_have_defined_groups(spark):
     got = lsh_forest.near_duplicates(cases.documents(spark), 5)
     by_id = defaultdict(set)
