@@ -304,10 +304,16 @@ def _of_texts(
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), make(sets)], names=["node", "data"])
 
     ids = stored(chosen.select("doc_id").distinct())
+    nameless = ids.where("doc_id is null")
     # Few ids are broadcast (at most FEW_IDS, 16 MB); many are joined by a shuffle.
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return texts.select("text").mapInArrow(run, f"node long, data {kind}")
+    made = texts.select("text").mapInArrow(run, f"node long, data {kind}")
+    if nameless.isEmpty():
+        return made
+    # Texts without an id are found by their sets.
+    rest = docs.where("doc_id is null").select("text").distinct().mapInArrow(run, f"node long, data {kind}")
+    return made.unionByName(rest.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def _full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

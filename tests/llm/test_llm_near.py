@@ -135,6 +135,16 @@ def test_awkward_documents_have_defined_groups(spark):
     assert lsh_forest.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    """The third and fourth row are linked with each other, and only the fourth with the fifth."""
+    one, two = cases.words(60, 1), cases.words(104, 2)
+    rows = [(1, one), (None, [*one, "x"]), (None, two[:80]), (None, two[:92]), (9, two), (None, cases.words(30, 3))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.n_shingles: (r.doc_id, r.component_id, r.kept) for r in lsh_forest.near_duplicates(docs, 5).collect()}
+    assert got[56] == (1, 1, True) and got[57] == (None, 1, True)
+    assert got[76] == got[88] == (None, 9, True) and got[100] == (9, 9, True) and got[26] == (None, None, True)
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------------
 
 
