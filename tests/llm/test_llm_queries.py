@@ -27,7 +27,7 @@ def test_shards_by_sql(spark, engine):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 def test_the_pipeline_keeps_what_its_stages_keep(spark):
