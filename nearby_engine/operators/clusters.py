@@ -59,7 +59,7 @@ def cluster_grid(
         F.min("lng").alias("west"), F.min("lat").alias("south"),
         F.max("lng").alias("east"), F.max("lat").alias("north"),
     )
-    ranked = numbered(cells, [-F.col("count"), F.col("cell_x")], [F.col("cell_y")], "cluster_id")
+    ranked = numbered(cells, [-F.col("count"), F.col("cell_x"), F.col("cell_y")], "cluster_id")
     return ranked.select(
         "cluster_id", "count", "lat", "lng", "west", "south", "east", "north"
     ).orderBy("cluster_id")

@@ -81,11 +81,20 @@ def sighting_digest() -> Column:
     return F.coalesce(_nonblank(F.col("content_hash")), fallback)
 
 
+def with_sighting_key(rows: DataFrame) -> DataFrame:
+    """Company records with the key of the sighting they describe."""
+    return rows.withColumn("record_key", natural_key(F.col("source_record_id"), sighting_digest()))
+
+
+def sighting_id(source: Column, record_key: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit("sighting"), source, record_key), 256)
+
+
 def merge_sightings(existing: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` are company records with company_id and location_id."""
     digest = sighting_digest()
-    incoming = rows.select(
-        "source", natural_key(F.col("source_record_id"), digest).alias("record_key"), "seq",
+    incoming = with_sighting_key(rows).select(
+        "source", "record_key", "seq",
         "source_family", F.col("observed_at").alias("first_seen_at"),
         F.col("source_record_id"), digest.alias("content_hash"), "discovery_job_id",
         F.col("evidence_url").alias("source_url"), F.col("name").alias("company_name"),
@@ -102,7 +111,7 @@ def merge_sightings(existing: DataFrame, rows: DataFrame) -> DataFrame:
     ).drop("id")
     merged = fold(stored.unionByName(incoming), ["source", "record_key"], SIGHTING_FIRST, SIGHTING_LAST)
     return merged.select(
-        F.sha2(F.concat_ws("|", F.lit("sighting"), "source", "record_key"), 256).alias("id"),
+        sighting_id(F.col("source"), F.col("record_key")).alias("id"),
         "source", *SIGHTING_FIRST, *SIGHTING_LAST,
     )
 

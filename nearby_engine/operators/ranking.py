@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearby_engine.session import cut
+
 
 def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are evaluated exactly once per row.
@@ -33,20 +35,23 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int, r
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def numbered(df: DataFrame, coarse: list[Column], fine: list[Column], into: str) -> DataFrame:
-    """Zero-based position in the order (coarse, fine) over the whole frame.
+def numbered(df: DataFrame, order: list[Column], into: str) -> DataFrame:
+    """Zero-based position of every row in ``order`` over the whole frame.
 
-    A window over all rows would run in one task. Here only one row per coarse key goes
-    through such a window, to get the offset of its group; rows are numbered inside their group.
+    A window over all rows would run in one task. Here rows are dealt to tasks by ranges of the order and numbered inside
+    their range; the number of rows in the ranges before is added, one number per range. Positions are kept while the ranges
+    are, so the numbered rows are written to the shared folder first.
     """
-    names = [f"_k{i}" for i in range(len(coarse))]
-    keyed = df.withColumns(dict(zip(names, coarse)))
-    sizes = keyed.groupBy(*names).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = keyed.withColumn("_pos", F.row_number().over(Window.partitionBy(*names).orderBy(*fine)))
-    return (
-        inside.join(offsets, names)
-        .withColumn(into, F.col("_before") + F.col("_pos") - 1)
-        .drop(*names, "_before", "_pos")
-    )
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(ranges.withColumn("_place", F.monotonically_increasing_id()))
+    # The upper bits number the range, the lower 33 the row inside it.
+    range_of = F.shiftrightunsigned("_place", 33).cast("int")
+    sizes = placed.groupBy(range_of.alias("_range")).agg(F.count("*").alias("n")).collect()
+    before, rows = 0, []
+    for number, n in sorted(sizes):
+        rows.append((number, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(rows, "_range int, _before long")
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn("_range", range_of).join(F.broadcast(offsets), "_range")
+    return joined.withColumn(into, F.col("_before") + inside).drop("_range", "_place", "_before")

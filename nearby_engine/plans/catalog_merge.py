@@ -5,7 +5,8 @@ The batches are built from orders: ten orders a batch, each giving a company and
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from nearby_engine.operators.validate import (
     table_rules,
     validate,
 )
-from nearby_engine.plans.catalog import CATALOG, register, sql_iso
+from nearby_engine.plans.catalog import CATALOG, register, sql_distance, sql_iso
 from nearby_engine.plans.intake import intake
 from nearby_engine.plans.views import (
     table,
@@ -325,9 +326,31 @@ def company_aliases(spark: SparkSession, folder: str) -> DataFrame:
     return I.aliases(t["company_aliases"], I.resolve(t["companies"], I.mentions(companies, jobs))).drop("company_id")
 
 
-@register("merge_offices")
+# Every record with the company it belongs to, and the greedy placement: one step of the recursion reads the next record of
+# every company against the offices the company has so far.
+OWNED = f"""{IDENTITY}, anchor AS (SELECT n.norm, sha256(CASE WHEN n.opens THEN 'n:' || n.norm ELSE 'd:' || n.first_dom END) AS company FROM n),
+  bydom AS (SELECT d.dom, sha256(CASE WHEN n.opens THEN 'n:' || n.norm ELSE 'd:' || d.dom END) AS company FROM d LEFT JOIN n ON n.first_dom = d.dom),
+  owned AS (SELECT r.*, coalesce(b.company, a.company) AS company FROM r JOIN m USING (id) LEFT JOIN bydom b ON b.dom = m.dom LEFT JOIN anchor a ON m.dom IS NULL AND a.norm = m.norm)"""
+_NEAR = sql_distance("o.lat", "o.lng", "p.lat", "p.lng")
+OFFICES = f"""{OWNED}, spots AS (SELECT company, row_number() OVER (PARTITION BY company ORDER BY batch, id) AS nth, address, lat, lng FROM owned),
+  walk AS (
+    SELECT company, CAST(0 AS BIGINT) AS nth, CAST([] AS STRUCT(address VARCHAR, lat DOUBLE, lng DOUBLE)[]) AS offices, CAST(0 AS BIGINT) AS office FROM (SELECT DISTINCT company FROM spots)
+    UNION ALL
+    SELECT company, nth, CASE WHEN hit IS NULL THEN list_append(offices, {{'address': address, 'lat': lat, 'lng': lng}}) ELSE offices END, CAST(coalesce(hit, len(offices) + 1) AS BIGINT)
+    FROM (SELECT w.company, p.nth, w.offices, p.address, p.lat, p.lng,
+        coalesce(nullif(list_position(list_transform(w.offices, lambda o: o.address), p.address), 0),
+          nullif(list_position(list_transform(w.offices, lambda o: {_NEAR} <= 500), true), 0)) AS hit
+      FROM walk w JOIN spots p ON p.company = w.company AND p.nth = w.nth + 1)),
+  offices AS (SELECT company, unnest(arg_max(offices, nth)) AS o, generate_subscripts(arg_max(offices, nth), 1) AS office FROM walk GROUP BY company)"""
+
+
+@register(
+    "merge_offices",
+    f"""WITH RECURSIVE {OFFICES} SELECT offices.company AS company_id, o.address AS address, o.lat AS lat, o.lng AS lng, 'probable_office' AS presence_type, count(*) AS records
+    FROM offices JOIN walk ON walk.company = offices.company AND walk.office = offices.office GROUP BY ALL""",
+)
 def merge_offices(spark: SparkSession, folder: str) -> DataFrame:
-    """Greedy in arrival order, so SQL has no short form; tests compare it with a plain loop."""
+    """All records placed, those of companies known by name alone too."""
     companies, jobs = _rows(spark, folder)
     identity = I.resolve(empty_tables(spark)["companies"], I.mentions(companies, jobs))
     owned = I.assign(companies, identity)
@@ -531,6 +554,28 @@ for _plan in (merge_sightings, merge_jobs, merge_job_locations, merge_remote_eli
     register(f"{_plan.__name__}_second_wave", CATALOG[_plan.__name__].sql)(_second_wave(_plan))
 
 
+# Rows of every canonical table once all records are merged, whatever the deliveries they came in.
+TABLE_ROWS = f"""WITH RECURSIVE {OFFICES},
+  sight AS (SELECT DISTINCT source, coalesce('i:' || record_id, 'h:' || name || chr(0) || address || chr(0) || coalesce(domain, '')) AS k FROM r),
+  job AS (SELECT DISTINCT source, coalesce('i:' || job_id, 'h:' || CAST(id AS VARCHAR)) AS k FROM r),
+  record AS (SELECT source, coalesce('i:' || record_id, 'h:' || {PAYLOAD}) AS k, company FROM owned),
+  event AS (SELECT source, coalesce('i:' || job_id, 'h:' || CAST(id AS VARCHAR)) AS k, (batch, id) AS seq, location_raw = '' AND NOT {HELD} AS no_place, NOT (arrangement = 'remote' AND scope <> '') AS no_scope, scope FROM r),
+  gone AS (SELECT source, k, max(seq) FILTER (WHERE no_place) AS place, max(seq) FILTER (WHERE no_scope) AS scope FROM event GROUP BY source, k),
+  alive AS (SELECT e.source, e.k, e.scope, NOT e.no_place AND (g.place IS NULL OR e.seq > g.place) AS placed, NOT e.no_scope AND (g.scope IS NULL OR e.seq > g.scope) AS scoped FROM event e JOIN gone g ON g.source = e.source AND g.k = e.k)
+  SELECT 'companies' AS entity, (SELECT count(*) FROM co) AS rows UNION ALL SELECT 'company_aliases', (SELECT count(*) FROM co) UNION ALL SELECT 'company_domains', (SELECT count(*) FROM d)
+  UNION ALL SELECT 'locations', (SELECT count(*) FROM offices) UNION ALL SELECT 'sightings', (SELECT count(*) FROM sight) UNION ALL SELECT 'jobs', (SELECT count(*) FROM job)
+  UNION ALL SELECT 'job_locations', (SELECT count(*) FROM (SELECT DISTINCT source, k FROM alive WHERE placed)) UNION ALL SELECT 'job_remote_eligibility', (SELECT count(*) FROM (SELECT DISTINCT source, k, scope FROM alive WHERE scoped))
+  UNION ALL SELECT 'data_sources', (SELECT count(DISTINCT source) FROM r) UNION ALL SELECT 'ingestion_runs', (SELECT count(DISTINCT batch) FROM r)
+  UNION ALL SELECT 'source_records', (SELECT count(*) FROM (SELECT DISTINCT source, k FROM record)) + (SELECT count(*) FROM job)
+  UNION ALL SELECT 'company_source_links', (SELECT count(*) FROM (SELECT DISTINCT company, source, k FROM record)) UNION ALL SELECT 'job_source_links', (SELECT count(*) FROM job)"""
+
+
+def table_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows per table."""
+    counts = [rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("entity"), "rows") for name, rows in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 GAZETTEER = [("pune", 18.52, 73.85), ("bengaluru", 12.97, 77.59), ("nowhere", 99.0, 10.0)]
 
 
@@ -576,6 +621,28 @@ def location_of_many_places(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("id", "lat", "lng", F.col("location_resolution").alias("resolution"))
 
 
+MIDDLE = "1995-03-01 00:00:00"
+
+
+@register(
+    "late_and_future_records",
+    f"""WITH {R}, b AS (SELECT *, observed_s > epoch(TIMESTAMP '{MIDDLE}') + 300 AS early FROM r),
+    s AS (SELECT source, count(DISTINCT coalesce('i:' || record_id, 'h:' || name || chr(0) || address || chr(0) || coalesce(domain, ''))) AS sightings FROM b WHERE NOT early GROUP BY source),
+    f AS (SELECT source, count(DISTINCT batch) AS refused FROM b WHERE early GROUP BY source)
+    SELECT source, coalesce(sightings, 0) AS sightings, coalesce(refused, 0) AS refused FROM s FULL JOIN f USING (source)""",
+)
+def late_and_future_records(spark: SparkSession, folder: str) -> DataFrame:
+    """A delivery of company records, read long after most of them were seen and before the others: however late, a record is
+    merged; a batch from beyond the tolerated minutes is refused."""
+    given = batches(spark, folder).withColumn("jobs", F.slice("jobs", 1, 0))
+    result = intake(empty_tables(spark), given, MIDDLE)
+    merged = result.tables["sightings"].groupBy("source").agg(F.count("*").alias("sightings"))
+    future = F.array_contains("errors", "observed_at")
+    refused = result.rejected.filter(future).groupBy("source").agg(F.count("*").alias("refused"))
+    both = merged.join(refused, "source", "full")
+    return both.select("source", *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("sightings", "refused")])
+
+
 @register(
     "intake_tables",
     f"""WITH {IDENTITY}, b AS (SELECT DISTINCT source, batch FROM r),
@@ -591,10 +658,6 @@ def intake_tables(spark: SparkSession, folder: str) -> DataFrame:
     gazetteer = spark.createDataFrame(GAZETTEER, "place string, lat double, lng double")
     result = intake(empty_tables(spark), batches(spark, folder), LATE, gazetteer)
     names = ["companies", "company_aliases", "company_domains", "sightings", "jobs", "data_sources", "ingestion_runs"]
-    counts = [result.tables[n].agg(F.count("*").alias("rows")).select(F.lit(n).alias("entity"), "rows") for n in names]
-    every = counts[0]
-    for one in counts[1:]:
-        every = every.unionByName(one)
-    return every
+    return table_rows({n: result.tables[n] for n in names})
 
 

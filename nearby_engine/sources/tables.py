@@ -64,6 +64,16 @@ LAYOUT = {
     "sightings": ["company_id", "scraped_at"],
 }
 
+# The column whose hash decides the partition of a row where tables are partitioned: a delivery knows it for all it changes.
+KEYS = {
+    "companies": "id", "company_aliases": "normalized_alias", "company_domains": "normalized_domain", "locations": "company_id",
+    "sightings": "id", "jobs": "id", "job_locations": "job_id", "job_remote_eligibility": "job_id", "data_sources": "slug",
+    "ingestion_runs": "id", "source_records": "id", "company_source_links": "source_record_id",
+    "job_source_links": "source_record_id",
+}
+# Names of versions that hold changed partitions only; the tables themselves are under ``tables``.
+KEYED = "delivery-"
+
 MANIFEST = "version string, sequence bigint, delivery string, at timestamp"
 
 
@@ -96,10 +106,14 @@ def is_delivered(spark: SparkSession, root: str, delivery: str) -> bool:
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Tables of the latest version, or empty ones."""
+    """Tables of the latest version, or empty ones. Partitioned tables are read as they are in place."""
     newest = latest(spark, root)
     if newest is None:
         return empty_tables(spark)
+    if newest[0].startswith(KEYED):
+        read = {name: spark.read.schema(schema_of(name)).parquet(f"{root}/tables/{name}") for name in SCHEMAS if exists(spark, f"{root}/tables/{name}")}
+        present = {name: rows.filter(F.col(KEYS[name]).isNotNull()).select(schema_of(name).fieldNames()) for name, rows in read.items()}
+        return empty_tables(spark) | present
     return {
         name: spark.read.schema(schema_of(name)).parquet(f"{root}/{newest[0]}/{name}") for name in SCHEMAS
     }
@@ -109,18 +123,28 @@ class ConcurrentWrite(RuntimeError):
     """Another writer published the same version number first; read the tables again and repeat the merge."""
 
 
-def _publish(spark: SparkSession, root: str, sequence: int, line: str) -> None:
-    """Creates the manifest file of a version; fails if the number is taken."""
+def _path(spark: SparkSession, path: str):
+    """A path and its file system."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/manifest/{sequence:012d}.json")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = jvm.org.apache.hadoop.fs.Path(path)
+    return named, named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    named, files = _path(spark, path)
+    return files.exists(named)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> None:
+    """Creates a small file; fails if the name is taken."""
+    named, files = _path(spark, path)
     try:
-        out = files.create(path, False)
+        out = files.create(named, False)
     except Py4JJavaError as error:
-        if files.exists(path):
-            raise ConcurrentWrite(f"version {sequence} of {root} was published by another writer") from error
+        if files.exists(named):
+            raise ConcurrentWrite(f"{path} was created by another writer") from error
         raise
-    out.write(bytearray(line.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
@@ -146,7 +170,7 @@ def write_tables(
         "version": version, "sequence": based_on + 1, "delivery": delivery,
         "at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ"),
     }
-    _publish(spark, root, based_on + 1, json.dumps(booked) + "\n")
+    create_once(spark, f"{root}/manifest/{based_on + 1:012d}.json", json.dumps(booked) + "\n")
     return version
 
 
@@ -156,10 +180,10 @@ def remove_old_versions(spark: SparkSession, root: str, keep: int = 1) -> list[s
     if keep < 1:
         raise ValueError("the newest version cannot be removed")
     names = [r.version for r in versions(spark, root).orderBy(F.desc("sequence")).select("version").collect()]
-    jvm, removed = spark.sparkContext._jvm, []
+    removed = []
     for version in names[keep:]:
-        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{version}")
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True):
+        path, files = _path(spark, f"{root}/{version}")
+        if files.delete(path, True):
             removed.append(version)
     return removed
 
