@@ -1,17 +1,21 @@
 """Keyed merges of evidence into the canonical tables.
 
-Every merge is stored rows plus new rows, grouped by key: first-seen columns come from the earliest
-row, the others from the latest. Grouping combines before the shuffle, so a key with very many
-deliveries costs one row per task. Delivering the same evidence twice changes nothing.
+Every merge is stored rows plus new rows, read by key: first-seen columns come from the earliest row,
+the others from the latest. Which rows these are is found on the order of arrival alone, combined before
+the shuffle, so a key with very many deliveries costs one narrow row per task; texts and payloads are
+fetched for the latest rows only. Delivering the same evidence twice changes nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearby_engine.functions.classify import job_state, lookup, remote_scopes
 from nearby_engine.functions.text import casefold, nul_digest, strip
+from nearby_engine.operators.ranking import joined_to_few
 from nearby_engine.sources.evidence import stored_key
 
 # Defaults of merged rows and the source type behind each source family.
@@ -24,11 +28,21 @@ STICKY_SOURCES = ["structured", "provider"]
 
 
 def fold(rows: DataFrame, keys: list[str], first: list[str], last: list[str]) -> DataFrame:
-    """One row per key: ``first`` columns from the earliest row by ``seq``, ``last`` from the latest."""
-    columns = [F.min_by(F.struct(*first), "seq").alias("_first")] if first else []
-    columns += [F.max_by(F.struct(*last), "seq").alias("_last")] if last else []
-    kept = (["_first.*"] if first else []) + (["_last.*"] if last else [])
-    return rows.groupBy(*keys).agg(*columns).select(*keys, *kept)
+    """One row per key: ``first`` columns from the earliest row by ``seq``, ``last`` from the latest; all of them narrow."""
+    columns = [F.min_by(F.struct(*first), "seq").alias("_first"), F.max_by(F.struct(*last), "seq").alias("_last")]
+    return rows.groupBy(*keys).agg(*columns).select(*keys, "_first.*", "_last.*")
+
+
+def fold_wide(rows: DataFrame, keys: list[str], first: list[str], last: list[str]) -> DataFrame:
+    """As :func:`fold` for wide ``last`` columns; no two rows of a key have the same ``seq``.
+
+    The aggregate reads keys, order and the few ``first`` columns. The latest rows are then fetched by key and order, which
+    deals the rows of a hot key over many tasks; the others never leave their task's side of the join.
+    """
+    found = rows.groupBy(*keys).agg(F.min_by(F.struct(*first), "seq").alias("_first"), F.max("seq").alias("_latest"))
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "_first", "_latest")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("seq") == F.col("_latest"))
+    return rows.select(*keys, "seq", *last).join(found, same).select(*keys, "_first.*", *last)
 
 
 def known_run(rows: DataFrame, runs: DataFrame | None) -> DataFrame:
@@ -109,7 +123,7 @@ def merge_sightings(existing: DataFrame, rows: DataFrame) -> DataFrame:
             "seq": stored_key(F.col("last_seen_at")),
         }
     ).drop("id")
-    merged = fold(stored.unionByName(incoming), ["source", "record_key"], SIGHTING_FIRST, SIGHTING_LAST)
+    merged = fold_wide(stored.unionByName(incoming), ["source", "record_key"], SIGHTING_FIRST, SIGHTING_LAST)
     return merged.select(
         sighting_id(F.col("source"), F.col("record_key")).alias("id"),
         "source", *SIGHTING_FIRST, *SIGHTING_LAST,
@@ -169,7 +183,7 @@ def merge_jobs(existing: DataFrame, rows: DataFrame) -> DataFrame:
             "seq": stored_key(F.col("last_seen_at")),
         }
     ).drop("id")
-    merged = fold(stored.unionByName(incoming), ["source", "record_key"], JOB_FIRST, JOB_LAST)
+    merged = fold_wide(stored.unionByName(incoming), ["source", "record_key"], JOB_FIRST, JOB_LAST)
     return merged.select(job_id(F.col("source"), F.col("record_key")).alias("id"), "source", *JOB_FIRST, *JOB_LAST)
 
 
@@ -182,9 +196,9 @@ LOCATION_FIELDS = [
 
 
 def _after_reset(events: DataFrame) -> DataFrame:
-    """Drop the resets and whatever came before the last one of each job."""
+    """Drop the resets and whatever came before the last one of each job; the events of a job with very many are parted."""
     resets = events.filter("reset").groupBy("job_id").agg(F.max("seq").alias("_reset"))
-    alive = events.filter(~F.col("reset")).join(resets, "job_id", "left")
+    alive = joined_to_few(events.filter(~F.col("reset")), resets, "job_id", "seq")
     return alive.filter(F.col("_reset").isNull() | (F.col("seq") > F.col("_reset"))).drop("_reset", "reset")
 
 
@@ -332,7 +346,7 @@ def merge_source_records(existing: DataFrame, rows: DataFrame) -> DataFrame:
             "seq": stored_key(F.col("last_seen_at")),
         }
     ).drop("id")
-    merged = fold(stored.unionByName(incoming), ["source", "record_type", "record_key"], RECORD_FIRST, RECORD_LAST)
+    merged = fold_wide(stored.unionByName(incoming), ["source", "record_type", "record_key"], RECORD_FIRST, RECORD_LAST)
     return merged.select(
         F.sha2(F.concat_ws("|", F.lit("record"), "source", "record_type", "record_key"), 256).alias("id"),
         "source", "record_type", *RECORD_FIRST, *RECORD_LAST,

@@ -55,3 +55,22 @@ def numbered(df: DataFrame, order: list[Column], into: str) -> DataFrame:
     inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     joined = placed.withColumn("_range", range_of).join(F.broadcast(offsets), "_range")
     return joined.withColumn(into, F.col("_before") + inside).drop("_range", "_place", "_before")
+
+
+HOT_SHARE = 1000
+
+
+def joined_to_few(rows: DataFrame, few: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` left-joined to ``few``, which has one row per ``key``, with no key in one task that has a large share of rows.
+
+    A key with more than one in ``HOT_SHARE`` of all rows is dealt into parts of that size by the hash of ``spread``, and its
+    row of ``few`` is given to each part. There are fewer than ``HOT_SHARE`` such keys at any size, so their list is broadcast.
+    """
+    counts = cut(rows.groupBy(key).agg(F.count("*").alias("_n")))
+    size = max(1, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(counts.filter((F.col("_n") > size) & F.col(key).isNotNull()).select(key, F.ceil(F.col("_n") / size).cast("int").alias("_parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts").cast("long")), F.lit(0).cast("long")).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    given = few.join(hot, key, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return dealt.join(given, [key, "_part"], "left").drop("_part")
