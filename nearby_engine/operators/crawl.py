@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearby_engine.functions import markup
@@ -17,8 +17,8 @@ from nearby_engine.functions.urls import (
     resolve,
     without_fragment,
 )
-from nearby_engine.operators.ranking import keep_first
-from nearby_engine.session import cut
+from nearby_engine.operators.ranking import joined_to_few, keep_first, numbered
+from nearby_engine.session import bucketed, fresh_folder
 
 
 def page_links(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -51,14 +51,21 @@ def walk(
     ``seeds`` has (seed), ``pages`` has (url, html), ``sitemaps`` optionally (seed, xml). A level is
     one pass: links of the pages visited on the level before, allowed ones only, not seen before.
     Links of a page come before those of the next page. The walk ends when a level is empty, or at
-    the given ceilings. The links are read from the markup once.
+    the given ceilings.
+
+    The links are read from the markup once, into a table bucketed by URL, which no level shuffles. A
+    level is written as one more partition by depth; what was visited before is read, never rewritten.
     """
-    links = cut(followed_links(pages))
-    level = cut(
-        seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(1).alias("visit"))
-        .filter(bare_domain(F.col("seed")).isNotNull()).dropDuplicates(["seed"])
-    )
-    visited = level
+    spark = pages.sparkSession
+    root = fresh_folder(spark, "walk")
+    levels = spark.read.schema("seed string, url string, visit int, depth int")
+
+    def keep(rows: DataFrame, depth: int) -> DataFrame:
+        rows.select("seed", "url", F.col("visit").cast("int")).write.parquet(f"{root}/depth={depth}")
+        return levels.parquet(root)
+
+    first = seeds.select("seed", F.col("seed").alias("url"), F.lit(1).alias("visit"))
+    visited = keep(first.filter(bare_domain(F.col("seed")).isNotNull()).dropDuplicates(["seed"]), 0)
     extra = None
     if sitemaps is not None:
         listed = sitemaps.select("seed", F.posexplode(markup.sitemap_urls(F.col("xml"))).alias("position", "url"))
@@ -66,26 +73,35 @@ def walk(
             "seed", "url", F.lit(0).alias("parent"), "position"
         )
     depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        candidates = level.join(links, "url").select(
-            "seed", F.col("target").alias("url"), F.col("visit").alias("parent"), "position"
-        ).filter(is_allowed_on_site(F.col("url"), bare_domain(F.col("seed"))))
-        if depth == 1 and extra is not None:
-            candidates = extra.unionByName(candidates)
-        fresh = keep_first(candidates, ["seed", "url"], ["parent", "position"]).join(
-            visited.select("seed", "url"), ["seed", "url"], "left_anti"
-        )
-        used = visited.groupBy("seed").agg(F.count("*").alias("used"))
-        order = Window.partitionBy("seed").orderBy("parent", "position", "url")
-        numbered = fresh.join(used, "seed").withColumn("visit", (F.row_number().over(order) + F.col("used")).cast("int"))
-        if max_pages is not None:
-            numbered = numbered.filter(F.col("visit") <= max_pages)
-        level = cut(numbered.select("seed", "url", F.lit(depth).alias("depth"), "visit"))
-        if level.isEmpty():
-            break
-        visited = cut(visited.unionByName(level))
-    return visited
+    with bucketed(followed_links(pages), "url") as links:
+        while max_depth is None or depth < max_depth:
+            level = visited.filter(F.col("depth") == depth)
+            depth += 1
+            candidates = level.join(links, "url").select(
+                "seed", F.col("target").alias("url"), F.col("visit").alias("parent"), "position"
+            ).filter(is_allowed_on_site(F.col("url"), bare_domain(F.col("seed"))))
+            if depth == 1 and extra is not None:
+                candidates = extra.unionByName(candidates)
+            fresh = keep_first(candidates, ["seed", "url"], ["parent", "position"]).join(
+                visited.select("seed", "url"), ["seed", "url"], "left_anti"
+            )
+            numbered_level = _numbered_on(fresh, visited)
+            if max_pages is not None:
+                numbered_level = numbered_level.filter(F.col("visit") <= max_pages)
+            visited = keep(numbered_level, depth)
+            if visited.filter(F.col("depth") == depth).isEmpty():
+                break
+    return visited.select("seed", "url", "depth", "visit")
+
+
+def _numbered_on(fresh: DataFrame, visited: DataFrame) -> DataFrame:
+    """``fresh`` with ``visit``, which goes on from what each seed has visited. All links of the level are numbered by ranges
+    of their order, so that those of one seed may lie in many tasks; a seed then only has to know where its own begin."""
+    placed = numbered(fresh, [F.col(c) for c in ("seed", "parent", "position", "url")], "_nth")
+    begins = placed.groupBy("seed").agg(F.min("_nth").alias("_begin"))
+    used = visited.groupBy("seed").agg(F.max("visit").alias("_used"))
+    of_seed = begins.join(used, "seed").select("seed", (F.col("_used") + 1 - F.col("_begin")).alias("_shift"))
+    return joined_to_few(placed, of_seed, "seed", "url").select("seed", "url", (F.col("_nth") + F.col("_shift")).cast("int").alias("visit"))
 
 
 def discovered_boards(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,18 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, bucketed and sorted by ``key``: joins on the key do not shuffle it, however
+    often it is joined. The table's name is gone afterwards, its files stay until the shared folder is cleared."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    count = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartition(count, key)
+    dealt.write.bucketBy(count, key).sortBy(key).option("path", fresh_folder(spark, "bucketed")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
