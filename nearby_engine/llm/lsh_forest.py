@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from nearby_engine.llm.components import connected_components
 from nearby_engine.llm.storage import stored
@@ -28,7 +28,7 @@ HASHES, ORDERS, SHALLOW, DEEP = 64, 16, 4, 8
 #: Trees of the long prefix, on DEEP hashes of their own each: at similarity 0.8, (1 - 0.8 ** 8) ** 46 = 0.0002 of the links
 #: share no such prefix, as (1 - 0.8 ** 4) ** 16 share no short one. Longer prefixes of the 64 hashes would miss far more.
 DEEP_ORDERS = 46
-#: Most nodes of a region; one that is larger at DEEP is cut into blocks, all pairs of which are compared.
+#: Most nodes of a region; one that is larger at DEEP is dealt into cells.
 REGION = 1024
 #: Most full sets of one side of a comparison.
 SETS = 400
@@ -216,11 +216,29 @@ def _cells(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple
         yield held
 
 
-def _in_blocks(df: DataFrame, blocks: Column) -> DataFrame:
-    """Adds block, low, high: block i meets every block j, and the cell (low, high) holds both."""
-    mine = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda j: F.struct(F.least(mine, j).alias("low"), F.greatest(mine, j).alias("high")))
-    return df.withColumn("block", mine).withColumn("cell", F.explode(cells)).withColumns({"low": F.col("cell.low"), "high": F.col("cell.high")})
+def _in_cells(rows: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Adds low, high, block: any two rows of a key that are of different groups ``g`` meet in a cell (low, high), where only
+    blocks that differ are compared unless low = high. ``rows`` have the number ``n`` of rows of their key, and ``node``.
+
+    A key with at most ``most`` rows is one cell. In a larger one the rows of its largest group, the hosts, need not meet each
+    other: each lies in one block and is never copied. The others visit the blocks of hosts, and each other block by block.
+    """
+    cell = lambda low, high, block: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), block.cast("int").alias("block"))
+    nought = F.lit(0)
+    one = rows.where(F.col("n") <= most).withColumn("cell", cell(nought, nought, nought))
+    large = rows.where(F.col("n") > most)
+    groups = large.groupBy(*key, "g").agg(F.count("*").alias("c"))
+    hosts = groups.groupBy(*key).agg(F.max_by("g", F.struct("c", "g")).alias("host"), F.max("c").alias("hosts"))
+    upto = lambda count: F.sequence(nought, F.greatest(F.ceil(count / most), F.lit(1)).cast("int") - 1)
+    dealt = large.join(hosts, key).withColumns({"visited": upto(F.col("hosts")), "own": upto(F.col("n") - F.col("hosts"))})
+    place = lambda blocks: F.pmod(F.xxhash64("node"), F.size(blocks).cast("long"))
+    staying = F.array(cell(F.lit(-1), place("visited"), F.lit(1)))
+    mine = place("own").cast("int")
+    visiting = F.transform("visited", lambda j: cell(F.lit(-1), j, nought))
+    meeting = F.transform("own", lambda j: cell(F.least(mine, j), F.greatest(mine, j), mine))
+    cells = F.when(F.col("g") == F.col("host"), staying).otherwise(F.concat(visiting, meeting))
+    dealt = dealt.withColumn("cell", F.explode(cells)).drop("host", "hosts", "visited", "own")
+    return one.unionByName(dealt).select("*", "cell.low", "cell.high", "cell.block").drop("cell", "n")
 
 
 def _deep_places(docs: DataFrame, described: DataFrame, wide: DataFrame, k: int) -> DataFrame:
@@ -244,7 +262,7 @@ def regional_candidates(
     Both nodes of each such pair have a label in common; pairs themselves are never written. ``groups`` (node, component)
     holds the groups found so far; a node without a row is its own group. Regions whose nodes are all of one group are
     done. Nodes that share a region of more than REGION nodes meet in the trees of the long prefix instead; what is larger
-    there is cut into blocks whose pairs are compared in tasks of their own.
+    there is dealt into cells of about REGION nodes.
     """
     grouped = places.join(groups.withColumnRenamed("component", "g"), "node", "left").select("tree", "key", "node", F.coalesce("g", "node").alias("g"))
     region = ["tree", "prefix"]
@@ -258,8 +276,7 @@ def regional_candidates(
     if not mixed.where(f"n > {REGION}").isEmpty():
         wide = stored(shallow.where(f"n > {REGION}").select("node", "g").distinct())
         small.append(of_many_groups(_deep_places(docs, described, wide, k))[1])
-    small = [rows.select("node", "g", *region, F.ceil(F.col("n") / REGION).alias("blocks")) for rows in small]
-    members = _in_blocks(functools.reduce(DataFrame.unionByName, small), F.col("blocks")).join(nodes.select("node", "signature"), "node")
+    members = _in_cells(functools.reduce(DataFrame.unionByName, small), region, REGION).join(nodes.select("node", "signature"), "node")
     cell = [*region, "low", "high"]
     dealt = members.select(*cell, "block", "node", "g", "signature").repartition(*cell).sortWithinPartitions(*cell)
 
@@ -331,19 +348,15 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def confirm_across(candidates: DataFrame, nodes: DataFrame, groups: DataFrame, docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: links between nodes of different groups that share a label, confirmed on full sets.
 
-    A label with more than SETS nodes is cut into blocks, and each pair of blocks is compared in a task of its own.
+    A label with more than SETS nodes is dealt into cells of about that many.
     """
-    candidates = stored(candidates)
-    blocks = candidates.groupBy("label").agg(F.ceil(F.count("*") / SETS).alias("blocks"))
+    grouped = candidates.join(groups.withColumnRenamed("component", "g"), "node", "left")
+    candidates = stored(grouped.select("label", "node", F.coalesce("g", "node").alias("g")))
+    sizes = candidates.groupBy("label").agg(F.count("*").alias("n"))
     wanted = stored(candidates.select("node").distinct())
-    dressed = (
-        nodes.select("node", "signature").join(wanted, "node", "left_semi")
-        .join(groups.withColumnRenamed("component", "g"), "node", "left")
-        .select("node", F.coalesce("g", "node").alias("g"), "signature")
-        .join(_full_sets(docs, described, wanted, k), "node")
-    )
+    dressed = nodes.select("node", "signature").join(wanted, "node", "left_semi").join(_full_sets(docs, described, wanted, k), "node")
     cell = ["label", "low", "high"]
-    dealt = _in_blocks(candidates.join(blocks, "label"), F.col("blocks")).join(dressed, "node")
+    dealt = _in_cells(candidates.join(sizes, "label"), ["label"], SETS).join(dressed, "node")
     dealt = dealt.select(*cell, "block", "node", "g", "signature", "data").repartition(*cell).sortWithinPartitions(*cell)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,14 +434,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, per
     return rows.repartition(*where).sortWithinPartitions(*where, "kind").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    component_id is the smallest doc_id among the documents reachable by links, kept says doc_id = component_id. A text
-    without words, or null, has an empty set and is linked with nothing. Rows with equal sets are linked whatever their
-    ids; a null doc_id takes part in links but is nobody's smallest id, and a group without any id has component_id null;
-    kept is then true for null. Extra columns are left out; an empty table gives no rows.
-    """
+def _judged(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node, g (the node's group), component_id, kept of every row."""
     described = stored(describe(docs, shingle_words))
     nodes = stored(described.where("node is not null").groupBy("node").agg(F.min("signature").alias("signature")))
     pairs, places = scan_runs(_runs(nodes))
@@ -440,25 +447,54 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = stored(connected_components(stars.unionByName(more)))
     labelled = described.select("doc_id", "n_shingles", "node").join(groups, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("g")
+        "doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("g")
     )
     least = stored(labelled.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least")))
-    return labelled.join(least, "g", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = labelled.join(least, "g", "left").withColumn("component_id", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    return named.drop("least").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    component_id is the smallest doc_id among the documents reachable by links, kept says doc_id = component_id. A text
+    without words, or null, has an empty set and is linked with nothing. Rows with equal sets are linked whatever their
+    ids; a null doc_id takes part in links but is nobody's smallest id, and a group without any id has component_id null;
+    kept is then true for null. Extra columns are left out; an empty table gives no rows.
+    """
+    return _judged(docs, shingle_words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _with_node(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` with ``_node``, the name of each text's set."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, k) for t in batch.column(place).to_pylist()]
+            names = pa.array([digest(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, "_node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
 
 
 def one_of_each_group(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those whose group has a smaller doc_id.
 
-    Rows that repeat both id and text stay once. A row without an id, or without words, stays.
+    Where an id has several rows, each is judged by its own text: of the rows of a group that have the group's smallest id,
+    the one with the least text stays; rows without words stay once per text. A row without an id stays.
     """
-    judged = stored(near_duplicates(docs, shingle_words, percent).select("doc_id", "kept"))
-    removed = judged.where("not kept").select(F.col("doc_id").alias("_removed")).distinct()
-    repeated = stored(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated")))
-    rest = docs.join(removed, F.col("doc_id") == F.col("_removed"), "left_anti")
-    if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_anti")
-    many = rest.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(many)
+    judged = stored(_judged(docs, shingle_words, percent).select("doc_id", "node", "g", "kept").where("doc_id is not null"))
+    counted = stored(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).where("n > 1 or not kept"))
+    gone = docs.join(counted.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+    if counted.where("n > 1").isEmpty():
+        return gone
+    several = docs.join(counted.where("n > 1").select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    # Of these alone, rows and sets are brought together anew.
+    sets = _with_node(several, shingle_words)
+    staying = judged.where("kept and node is not null").select(F.col("doc_id").alias("_id"), F.col("node").alias("_n"), F.col("g").alias("_g")).distinct()
+    with_words = sets.join(staying, (F.col("doc_id") == F.col("_id")) & (F.col("_node") == F.col("_n")))
+    first = Window.partitionBy("_id", "_g").orderBy("text")
+    one = with_words.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(docs.columns)
+    empty = sets.where("_node is null").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return gone.unionByName(one).unionByName(empty)

@@ -107,6 +107,35 @@ def test_links_among_documents_with_a_common_passage(spark, monkeypatch):
     assert got == expected
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    a, near, other = " ".join(cases.words(80, 1)), " ".join(cases.words(80, 1)[:-1] + ["end"]), " ".join(cases.words(80, 2))
+    rows = [(1, a), (2, a), (2, other), (3, near), (4, other), (4, "few words here"), (5, "only this"), (5, "only this"), (6, ""), (6, ""), (6, None), (None, a), (7, other + " x"), (7, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("g", F.lit(1)).withColumn("n", F.lit(1)).withColumn("kept", F.lit(False))
+    kept = lsh_forest.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (2, other), (4, "few words here"), (5, "only this"), (6, ""), (6, None), (None, a)])
+    assert Counter(lsh_forest.one_of_each_group(docs.where("doc_id in (1, 3)")).select("doc_id").collect()) == Counter([(1,)])
+
+
+def test_cells_hold_every_two_rows_of_different_groups(spark):
+    """Also where a group holds nearly all rows of a key, and nobody is copied for it but the others."""
+    draw = random.Random(8)
+    rows = [("a", i, 1 if draw.random() < 0.95 else draw.randrange(2, 6), 2000) for i in range(2000)]
+    rows += [("b", i, i % 40, 300) for i in range(300)] + [("c", i, i, 50) for i in range(50)]
+    got = lsh_forest._in_cells(spark.createDataFrame(rows, "key string, node long, g long, n long"), ["key"], 100).collect()
+    cells = defaultdict(list)
+    for r in got:
+        cells[r.key, r.low, r.high].append(r)
+    met = set()
+    for (key, low, high), members in cells.items():
+        for i, x in enumerate(members):
+            met |= {(key, *sorted((x.node, y.node))) for y in members[i + 1 :] if x.g != y.g and (low == high or x.block != y.block)}
+    wanted = {(x[0], x[1], y[1]) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[0] == y[0] and x[2] != y[2]}
+    assert met == wanted
+    guests = sum(r[0] == "a" and r[2] != 1 for r in rows)
+    assert sum(r.key == "a" for r in got) <= 2000 + 25 * guests and max(map(len, cells.values())) < 450
+
+
 def test_long_prefixes_are_shared_as_often_as_short_ones():
     draw = np.random.default_rng(4)
     missed = 0
@@ -213,6 +242,8 @@ def test_clauses_are_read_by_state():
     assert positive("They said it was garbage") == ["reported"]
     assert positive("They said so. You are scum") == ["targeted"]
     assert positive("idiotically yours, clownfish") == []
+    assert positive("espece d'idiot") == positive("l'idiot parle") == positive("l’idiot parle") == ["asserted"]
+    assert positive("tu n'es pas l'imbecile") == ["negated"] and positive("It isn't garbage") == ["negated"]
     score = lambda text: float(toxicity._sigmoid(toxicity.features(text, automaton) @ grammar.weights))
     assert score(None) == score("") == score("plain words") < 0.1
     assert score("It was not stupid") < score("It was stupid") < score("You are a stupid worthless idiot")
