@@ -93,7 +93,12 @@ def clause_sums(text: str, found: dict[int, tuple[float, float]]) -> np.ndarray:
     for clause in clauses:
         low = edges[clause - 1] + 1 if clause else 0
         high = edges[clause] if clause < len(edges) else len(text)
-        words = [(m.start(), m.group()) for m in _WORD.finditer(text, low, high)]
+        words = []
+        for m in _WORD.finditer(text, low, high):
+            head, _, tail = m.group().partition("'")
+            after = m.start() + len(head) + 1
+            # A hit behind an elided article is a word of its own.
+            words += [(m.start(), head), (after, tail)] if tail and after in found else [(m.start(), m.group())]
         target = any(w in TARGETS for _, w in words)
         open_negation, reported = 0, False
         for start, word in words:
