@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import html
 import json
 import re
-from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from nearby_engine.functions.entities import let, unescape
 
 # White space as text tools outside the JVM see it (the JVM class alone is ASCII).
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -19,11 +17,6 @@ TRIGRAM_GAP = r"[^\p{L}\p{N}]+"
 TRIGRAM_THRESHOLD = 0.3
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space, ends are trimmed."""
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
@@ -72,14 +65,9 @@ def normalized_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(casefold(name), WORD_GAP, " "))
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(html.unescape, na_action="ignore")
-
-
 def unescape_entities(text: Column) -> Column:
-    """HTML entities to characters; texts without an ampersand are not sent to Python."""
-    return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
+    """HTML entities to characters."""
+    return unescape(text)
 
 
 def visible_text(markup: Column) -> Column:

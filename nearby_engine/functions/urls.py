@@ -6,13 +6,10 @@ parsers give null for links that browsers and crawlers accept.
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from nearby_engine.functions.addresses import is_public_v4, is_public_v6, v4_number
 from nearby_engine.functions.text import let, strip
 
 GENERIC = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -202,80 +199,19 @@ def lever_token(url: Column) -> Column:
     return F.when((host(value) == LEVER_HOST) & first.rlike(TOKEN_FORMAT), first)
 
 
-# IPv4 blocks that are not publicly routable unicast, as text patterns. The last
-# numbers 9 and 10 of 192.0.0.0/24 are public.
-NOT_PUBLIC_V4 = [
-    r"0\.", r"10\.", r"100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.", r"127\.", r"169\.254\.",
-    r"172\.(?:1[6-9]|2\d|3[01])\.", r"192\.0\.0\.(?!(?:9|10)$)", r"192\.0\.2\.", r"192\.168\.",
-    r"198\.1[89]\.", r"198\.51\.100\.", r"203\.0\.113\.", r"22[4-9]\.", r"2[345]\d\.",
-]
-NAT64 = ipaddress.ip_network("64:ff9b::/96")
-
-OCTET = r"(?:0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
-DOTTED = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
-NUMERIC = r"^(?:0x0*[0-9a-f]+|\d+)$"
-
-
-def dotted_ipv4(name: Column) -> Column:
-    """A host in decimal or hexadecimal notation as dotted text; any other host as it is.
-
-    Leading zeros change nothing; a number of any length is compared as a number.
-    """
-    hexadecimal = F.regexp_extract(name, "^0x0*([0-9a-f]*)$", 1)
-    digits = F.regexp_replace(name, "^0+(?=.)", "")
-    too_large = F.lit(4294967296).cast("long")
-    number = F.when(
-        name.startswith("0x"),
-        F.when(F.length(hexadecimal) > 8, too_large).otherwise(
-            F.coalesce(F.conv(F.when(hexadecimal != "", hexadecimal).otherwise("0"), 16, 10).try_cast("long"), too_large)
-        ),
-    ).otherwise(F.when(F.length(digits) > 10, too_large).otherwise(digits.try_cast("long")))
-
-    def dotted(n: Column) -> Column:
-        octets = [F.shiftright(n, bits).bitwiseAND(F.lit(255)).cast("string") for bits in (24, 16, 8, 0)]
-        return F.when(n < 4294967296, F.concat_ws(".", *octets))
-
-    return F.when(name.rlike(NUMERIC), F.coalesce(let(number, dotted), name)).otherwise(name)
-
-
-def _is_unicast(address: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bool:
-    return address.is_global and not (address.is_reserved or address.is_multicast)
-
-
-def _v6_is_public(name: str) -> bool:
-    """Whether IPv6 text is a public address, also through an IPv4 address it carries."""
-    try:
-        address = ipaddress.IPv6Address(name)
-    except ValueError:
-        return True
-    if address in NAT64:
-        return _is_unicast(ipaddress.IPv4Address(int(address) & 0xFFFFFFFF))
-    return _is_unicast(address) and (address.sixtofour is None or _is_unicast(address.sixtofour))
-
-
-@F.pandas_udf(T.BooleanType())
-def _public_v6(hosts: pd.Series) -> pd.Series:
-    known = {name: _v6_is_public(name) for name in hosts.dropna().unique()}
-    return hosts.map(known).astype("object")
+def is_public_host(name: Column) -> Column:
+    """A host that is not empty, not localhost, and no address literal outside the public range."""
+    numbered = let(v4_number(name), lambda n: F.when(n.isNotNull(), is_public_v4(n)).otherwise(~name.rlike(r"(^|\.)localhost$")))
+    return F.when(name == "", F.lit(False)).when(name.contains(":"), is_public_v6(name)).otherwise(numbered)
 
 
 def is_public_url(url: Column) -> Column:
-    """http(s), no credentials, no localhost, and no address literal outside the public range.
+    """http(s), no credentials, and a public host.
 
-    Names are not resolved. IPv4 in any notation is judged by number; only IPv6 text reaches Python.
+    Names are not resolved. Addresses in any notation are judged by number; the host is read once.
     """
-    name = host(url)
-    address = dotted_ipv4(name)
-    v4_ok = F.when(address.rlike(DOTTED), ~address.rlike("^(?:" + "|".join(NOT_PUBLIC_V4) + ")"))
-    v6_ok = _public_v6(F.when(name.contains(":"), name))
-    return F.coalesce(
-        url.rlike(r"(?i)^\s*https?://")
-        & ~url.rlike(r"^\s*[^:/?#]+://[^/?#]*@")
-        & (name != "")
-        & ~name.rlike(r"(^|\.)localhost$")
-        & F.coalesce(v4_ok, v6_ok, F.lit(True)),
-        F.lit(False),
-    )
+    plain = url.rlike(r"(?i)^\s*https?://") & ~url.rlike(r"^\s*[^:/?#]+://[^/?#]*@")
+    return F.coalesce(plain & let(host(url), is_public_host), F.lit(False))
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nearby_engine.functions.geo import in_viewport, mercator_cell_x, mercator_cell_y
 from nearby_engine.operators.ranking import numbered
 from nearby_engine.operators.search import Tables, matching_offices
+from nearby_engine.session import cut
 
 DEFAULT_CLUSTERS = 20
 
@@ -17,19 +18,25 @@ DEFAULT_CLUSTERS = 20
 def cluster_kmeans(
     t: Tables, lat: float, lng: float, radius_m: float, k: int = DEFAULT_CLUSTERS, seed: int = 42
 ) -> DataFrame:
-    """Count and centroid per k-means cluster of the offices in the circle, largest first."""
+    """Count and centroid per k-means cluster of the offices in the circle, largest first.
+
+    Offices at the same point are one row with their number as its weight. The circle is read once; the iterations and the
+    centroids start from what was written.
+    """
     if k < 1:
         raise ValueError("k must be positive")
-    points = matching_offices(t, lat, lng, radius_m).select("lat", "lng")
+    offices = matching_offices(t, lat, lng, radius_m).groupBy("lat", "lng").agg(F.count("*").alias("weight"))
+    points = cut(offices)
     vectors = VectorAssembler(inputCols=["lng", "lat"], outputCol="features").transform(points)
     if vectors.isEmpty():
         placed = points.withColumn("cluster_id", F.lit(0))
     else:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(vectors)
-        placed = model.transform(vectors)
+        means = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id", weightCol="weight")
+        placed = means.fit(vectors).transform(vectors)
+    mean = lambda c: (F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(c)
     return (
         placed.groupBy("cluster_id")
-        .agg(F.count("*").alias("count"), F.avg("lat").alias("lat"), F.avg("lng").alias("lng"))
+        .agg(F.sum("weight").alias("count"), mean("lat"), mean("lng"))
         .orderBy(F.desc("count"), "cluster_id")
     )
 

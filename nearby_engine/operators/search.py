@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearby_engine.functions.classify import days_before
-from nearby_engine.functions.geo import distance_m, in_radius
+from nearby_engine.functions.geo import distance_m, in_codes, in_radius
 from nearby_engine.functions.text import contains_ignoring_case, trigram_similar
+from nearby_engine.operators.text_index import candidate_keys
 
 Tables = Mapping[str, DataFrame]
 
@@ -55,10 +56,28 @@ def company_hiring(jobs: DataFrame, as_of: datetime | str | Column) -> DataFrame
     )
 
 
+#: Optional tables of a mapping: trigram postings of company names and of job titles.
+COMPANY_POSTINGS, JOB_POSTINGS = "company_postings", "job_postings"
+
+
+def _among_candidates(rows: DataFrame, key: str, index: DataFrame | None, query: str) -> DataFrame:
+    """Rows that the postings leave in question; all rows where there are none, or the query has nothing to look up."""
+    keys = None if index is None else candidate_keys(index, query)
+    return rows if keys is None else rows.join(keys.withColumnRenamed("key", key), key, "left_semi")
+
+
 def _company_matches(query: str) -> Column:
     return contains_ignoring_case(F.col("name"), query) | trigram_similar(F.col("normalized_name"), query)
 
 
+def in_circle(rows: DataFrame, lat_column: str, lng_column: str, lat: float, lng: float, radius_m: float) -> DataFrame:
+    """Rows in the circle; stored rows that carry their space code are found by ranges of it first."""
+    inside = in_radius(F.col(lat_column), F.col(lng_column), lat, lng, radius_m)
+    if "cell" not in rows.columns:
+        return rows.filter(inside)
+    return rows.filter(in_codes(F.col("cell"), lat, lng, radius_m) & inside).drop("cell")
+
+
 def matching_offices(
     t: Tables,
     lat: float,
@@ -70,9 +89,7 @@ def matching_offices(
     viewport: Column | None = None,
 ) -> DataFrame:
     """Offices in the circle joined to their companies, job-only places left out."""
-    offices = t["locations"].filter(
-        (F.col("presence_type") != "job_location_only") & in_radius(F.col("lat"), F.col("lng"), lat, lng, radius_m)
-    )
+    offices = in_circle(t["locations"], "lat", "lng", lat, lng, radius_m).filter(F.col("presence_type") != "job_location_only")
     if viewport is not None:
         offices = offices.filter(viewport)
     if min_confidence is not None:
@@ -81,7 +98,7 @@ def matching_offices(
     if industry is not None:
         companies = companies.filter(contains_ignoring_case(F.col("industry"), industry))
     if query is not None:
-        companies = companies.filter(_company_matches(query))
+        companies = _among_candidates(companies, "id", t.get(COMPANY_POSTINGS), query).filter(_company_matches(query))
     left = offices.withColumnRenamed("id", "location_id").drop("name")
     right = companies.select(
         F.col("id").alias("company_id"), "name", "domain", "industry", "employee_count"
@@ -152,21 +169,25 @@ def searchable_jobs(t: Tables, as_of: datetime | str, arrangement: str | None =
 
 
 def _located(t: Tables, lat: float, lng: float, radius_m: float) -> DataFrame:
-    return t["job_locations"].filter(
-        F.col("is_active")
-        & F.col("latitude").isNotNull()
-        & F.col("longitude").isNotNull()
-        & in_radius(F.col("latitude"), F.col("longitude"), lat, lng, radius_m)
-    )
+    placed = F.col("is_active") & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    return in_circle(t["job_locations"].filter(placed), "latitude", "longitude", lat, lng, radius_m)
 
 
 def _with_company(jobs: DataFrame, t: Tables, query: str | None) -> DataFrame:
     companies = t["companies"].select(
         F.col("id").alias("company_id"), F.col("name").alias("company_name"), F.col("domain").alias("company_domain")
     )
-    joined = jobs.join(companies, "company_id")
     if query is None:
-        return joined
+        return jobs.join(companies, "company_id")
+    indexes = t.get(JOB_POSTINGS), t.get(COMPANY_POSTINGS)
+    keys = [None if index is None else candidate_keys(index, query) for index in indexes]
+    if keys[0] is not None and keys[1] is not None:
+        # A job is in question by its own title or by its company's name.
+        by_title = jobs.join(keys[0].withColumnRenamed("key", "id"), "id", "left_semi")
+        by_company = jobs.join(keys[1].withColumnRenamed("key", "company_id"), "company_id", "left_semi")
+        others = by_company.join(keys[0].withColumnRenamed("key", "id"), "id", "left_anti")
+        jobs = by_title.unionByName(others)
+    joined = jobs.join(companies, "company_id")
     return joined.filter(
         contains_ignoring_case(F.col("title"), query)
         | trigram_similar(F.col("normalized_title"), query)
@@ -185,9 +206,11 @@ def search_jobs(
     limit: int | None = DEFAULT_LIMIT,
     offset: int = 0,
 ) -> DataFrame:
-    """A page of jobs by the distance of their nearest location in the circle."""
+    """A page of jobs by the distance of their nearest location in the circle; places of other jobs are not looked at."""
+    jobs = searchable_jobs(t, as_of, arrangement)
     nearest = (
         _located(t, lat, lng, radius_m)
+        .join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi")
         .withColumn("distance_m", distance_m(F.col("latitude"), F.col("longitude"), lat, lng))
         .groupBy("job_id")
         .agg(
@@ -197,7 +220,7 @@ def search_jobs(
         )
         .select(F.col("job_id").alias("id"), "near.*")
     )
-    found = _with_company(searchable_jobs(t, as_of, arrangement).join(nearest, "id"), t, query)
+    found = _with_company(jobs.join(nearest, "id"), t, query)
     rows = found.select(
             "id", "company_id", "company_name", "company_domain", "title", "normalized_title",
             "description_excerpt", "canonical_url", "source", "source_family", "location_raw",

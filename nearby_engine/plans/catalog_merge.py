@@ -273,13 +273,31 @@ def _rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return company_rows(given), job_rows(given)
 
 
+def _identities(spark: SparkSession, folder: str, waves: bool) -> dict[str, DataFrame]:
+    """Companies, domains and aliases after all records at once, or after the earlier half, the same again, and the later half."""
+    companies, jobs = _rows(spark, folder)
+    every, tables = I.mentions(companies, jobs), empty_tables(spark)
+    parts = [every]
+    if waves:
+        middle = F.lit(every.agg(F.percentile_approx("observed_at", 0.5)).first()[0])
+        parts = [every.filter(F.col("observed_at") <= middle)] * 2 + [every.filter(F.col("observed_at") > middle)]
+    for number, part in enumerate(parts):
+        identity = I.resolve(tables["companies"], part)
+        found = {
+            "companies": identity.companies,
+            "company_domains": I.domains(tables["company_domains"], identity, part),
+            "company_aliases": I.aliases(tables["company_aliases"], identity),
+        }
+        tables |= found if number == len(parts) - 1 else {name: cut(df.select(tables[name].columns)) for name, df in found.items()}
+    return tables
+
+
 @register(
     "merge_companies",
     f"""WITH {IDENTITY} SELECT name, norm AS normalized_name, dom AS domain, {sql_iso(SHOWN.format('s0'))} AS first_seen, {sql_iso(SHOWN.format('s1'))} AS last_seen FROM co""",
 )
-def merge_companies(spark: SparkSession, folder: str) -> DataFrame:
-    companies, jobs = _rows(spark, folder)
-    merged = I.resolve(empty_tables(spark)["companies"], I.mentions(companies, jobs)).companies
+def merge_companies(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
+    merged = _identities(spark, folder, waves)["companies"]
     shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return merged.select(
         "name", "normalized_name", "domain", F.date_format("first_seen_at", shown).alias("first_seen"),
@@ -307,11 +325,8 @@ def assign_companies(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {R} SELECT {DOM} AS normalized_domain, 'primary' AS domain_type, true AS is_primary, {sql_iso(SHOWN.format('min(observed_s)'))} AS first_seen,
     {sql_iso(SHOWN.format('max(observed_s)'))} AS last_seen FROM r WHERE domain IS NOT NULL GROUP BY {DOM}""",
 )
-def company_domains(spark: SparkSession, folder: str) -> DataFrame:
-    companies, jobs = _rows(spark, folder)
-    mentioned = I.mentions(companies, jobs)
-    t = empty_tables(spark)
-    found = I.domains(t["company_domains"], I.resolve(t["companies"], mentioned), mentioned)
+def company_domains(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
+    found = _identities(spark, folder, waves)["company_domains"]
     shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return found.select(
         "normalized_domain", "domain_type", "is_primary", F.date_format("first_seen_at", shown).alias("first_seen"),
@@ -320,10 +335,8 @@ def company_domains(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("company_aliases", f"WITH {IDENTITY} SELECT name AS alias, norm AS normalized_alias, 'source_name' AS alias_type FROM co")
-def company_aliases(spark: SparkSession, folder: str) -> DataFrame:
-    companies, jobs = _rows(spark, folder)
-    t = empty_tables(spark)
-    return I.aliases(t["company_aliases"], I.resolve(t["companies"], I.mentions(companies, jobs))).drop("company_id")
+def company_aliases(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
+    return _identities(spark, folder, waves)["company_aliases"].drop("company_id")
 
 
 # Every record with the company it belongs to, and the greedy placement: one step of the recursion reads the next record of
@@ -530,27 +543,92 @@ def source_records(spark: SparkSession, folder: str, waves: bool = False) -> Dat
     )
 
 
+LINKED = f"""{OWNED}, k AS (SELECT *, sha256({PAYLOAD}) AS digest FROM owned), g AS (SELECT *, {PAYLOAD_KEY} AS key FROM k)"""
+
+
 @register(
     "source_links",
-    f"""WITH {RECORDS_KEYED} SELECT domain AS company_id, sha256('record|' || source || '|company|' || key) AS source_record_id, 'evidence' AS relation, 1.0e0 AS confidence,
-    {sql_iso(SHOWN.format('min(observed_s)'))} AS first_seen, {sql_iso(SHOWN.format('max(observed_s)'))} AS last_seen FROM g WHERE domain IS NOT NULL GROUP BY ALL""",
+    f"""WITH {LINKED} SELECT company AS company_id, sha256('record|' || source || '|company|' || key) AS source_record_id, 'evidence' AS relation, 1.0e0 AS confidence,
+    {sql_iso(SHOWN.format('min(observed_s)'))} AS first_seen, {sql_iso(SHOWN.format('max(observed_s)'))} AS last_seen FROM g GROUP BY company, source, key""",
 )
 def source_links(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
-    rows = _records(spark, folder).withColumn("company_id", F.col("domain")).filter(F.col("domain").isNotNull())
-    merged = _merged(spark, lambda held, new: M.merge_links(held, new, "company_id"), "company_source_links", rows, waves)
+    """Links of all records, those of companies known by name alone too."""
+    companies, jobs = _rows(spark, folder)
+    identity = I.resolve(empty_tables(spark)["companies"], I.mentions(companies, jobs))
+    rows = M.with_record(I.assign(companies, identity), "company", "source_record_id", "evidence_url", M.company_payload())
+    return _shown_links(_merged(spark, lambda held, new: M.merge_links(held, new, "company_id"), "company_source_links", rows, waves), "company_id")
+
+
+def _shown_links(merged: DataFrame, entity: str) -> DataFrame:
+    shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    return merged.select(
+        entity, "source_record_id", "relation", "confidence",
+        F.date_format("first_seen_at", shown).alias("first_seen"), F.date_format("last_seen_at", shown).alias("last_seen"),
+    )
+
+
+JOB_PAYLOAD = f"""'{{"canonical_url":"' || {URL_OF_JOB} || '","classification_reasons":[]' || CASE WHEN domain IS NOT NULL THEN ',"company_domain":"' || domain || '"' ELSE '' END || ',"company_name":"' || name
+  || '","content_hash":"","coordinate_source":"' || coordinate_source || '"' || CASE WHEN {HELD} THEN ',"lat":' || CAST(lat AS VARCHAR) || ',"lng":' || CAST(lng AS VARCHAR) ELSE '' END
+  || ',"location_raw":"' || location_raw || '","metadata":"{{}}"' || CASE WHEN posted IS NOT NULL THEN ',"posted_at":"' || strftime(posted, '%Y-%m-%dT%H:%M:%S.000Z') || '"' ELSE '' END
+  || ',"posted_at_confidence":1.0,"publication_state":"' || publication || '","remote_scopes":["' || scope || '"],"rule_version":"v1"' || CASE WHEN job_id IS NOT NULL THEN ',"source_job_id":"' || job_id || '"' ELSE '' END
+  || ',"technical_classification":"","title":"' || title || '","work_arrangement":"' || arrangement || '"}}'"""
+JOB_RECORDS = f"""{R}, j AS (SELECT *, {JOB_PAYLOAD} AS payload, sha256({JOB_PAYLOAD}) AS digest, sha256(name || chr(0) || title || chr(0) || {URL_OF_JOB}) AS content FROM r),
+  g AS (SELECT *, coalesce('i:' || job_id, 'h:' || digest) AS key, coalesce('i:' || job_id, 'h:' || content) AS job_key FROM j),
+  n AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY batch DESC, id DESC) AS newest, row_number() OVER (PARTITION BY source, key ORDER BY batch, id) AS oldest FROM g)"""
+
+
+def _job_records(spark: SparkSession, folder: str) -> DataFrame:
+    _, jobs = _rows(spark, folder)
+    return M.with_job_id(M.with_record(jobs, "job", "source_job_id", "canonical_url", M.job_payload()))
+
+
+@register(
+    "job_source_records",
+    f"""WITH {JOB_RECORDS} SELECT o.source, o.job_id AS external_id, {URL_OF_JOB.replace('id AS', 'o.id AS')} AS source_url, o.digest AS payload_hash, l.payload,
+    {sql_iso(SHOWN.format('o.observed_s'))} AS first_seen, {sql_iso(SHOWN.format('l.observed_s'))} AS last_seen FROM n o JOIN n l ON l.source = o.source AND l.key = o.key AND l.newest = 1 WHERE o.oldest = 1""",
+)
+def job_source_records(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
+    merged = _merged(spark, M.merge_source_records, "source_records", _job_records(spark, folder), waves)
     shown = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return merged.select(
-        "company_id", "source_record_id", "relation", "confidence",
+        "source", "external_id", "source_url", "payload_hash", "payload",
         F.date_format("first_seen_at", shown).alias("first_seen"), F.date_format("last_seen_at", shown).alias("last_seen"),
     )
 
 
+@register(
+    "job_source_links",
+    f"""WITH {JOB_RECORDS} SELECT sha256('job|' || source || '|' || job_key) AS job_id, sha256('record|' || source || '|job|' || key) AS source_record_id, 'evidence' AS relation, 1.0e0 AS confidence,
+    {sql_iso(SHOWN.format('min(observed_s)'))} AS first_seen, {sql_iso(SHOWN.format('max(observed_s)'))} AS last_seen FROM g GROUP BY source, job_key, key""",
+)
+def job_source_links(spark: SparkSession, folder: str, waves: bool = False) -> DataFrame:
+    rows = _job_records(spark, folder)
+    return _shown_links(_merged(spark, lambda held, new: M.merge_links(held, new, "job_id"), "job_source_links", rows, waves), "job_id")
+
+
+KNOWN_RUNS = ["run0", "run2", "run5"]
+
+
+@register(
+    "known_runs",
+    f"""WITH {R} SELECT id, CASE WHEN 'run' || CAST(batch % 7 AS VARCHAR) IN ('run0', 'run2', 'run5') THEN 'run' || CAST(batch % 7 AS VARCHAR) END AS discovery_job_id FROM r""",
+)
+def known_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The run of every record, where the ledger has it."""
+    companies, _ = _rows(spark, folder)
+    ledger = spark.createDataFrame([(r,) for r in KNOWN_RUNS], "id string")
+    return M.known_run(companies, ledger).select(F.get_json_object("metadata", "$.n").cast("long").alias("id"), "discovery_job_id")
+
+
 def _second_wave(plan: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: plan(spark, folder, waves=True)
 
 
 # The same rows must come out when the merges meet stored rows, and rows they have merged before.
-for _plan in (merge_sightings, merge_jobs, merge_job_locations, merge_remote_eligibility, source_records, source_links):
+for _plan in (
+    merge_sightings, merge_jobs, merge_job_locations, merge_remote_eligibility, source_records, source_links, job_source_records,
+    job_source_links, merge_companies, company_domains, company_aliases,
+):
     register(f"{_plan.__name__}_second_wave", CATALOG[_plan.__name__].sql)(_second_wave(_plan))
 
 

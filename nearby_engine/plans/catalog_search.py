@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearby_engine.functions import geo, text
-from nearby_engine.operators import clusters, offices, search
-from nearby_engine.plans.catalog import register, sql_distance, sql_similarity
+from nearby_engine.operators import clusters, offices, search, text_index
+from nearby_engine.plans.catalog import CATALOG, register, sql_distance, sql_similarity
 from nearby_engine.plans.views import AS_OF, CENTER, RADIUS_M, derive, search_tables, with_views
+from nearby_engine.session import fresh_folder
 
 LAT, LNG = CENTER
 SINCE = f"TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY"
@@ -72,6 +73,28 @@ def office_search_filtered(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _indexed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The search tables with postings of company names and job titles, written as an index is."""
+    t = search_tables(spark, folder)
+    for name, rows, similar_by, held_by in (
+        (search.COMPANY_POSTINGS, t["companies"], "normalized_name", "name"), (search.JOB_POSTINGS, t["jobs"], "normalized_title", "title"),
+    ):
+        path = fresh_folder(spark, name)
+        text_index.write_postings(text_index.postings(rows, "id", similar_by, held_by), path)
+        t[name] = text_index.read_postings(spark, path, dict(rows.dtypes)["id"])
+    return t
+
+
+@register("office_search_by_postings", CATALOG["office_search_filtered"].sql)
+def office_search_by_postings(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown(
+        search.search_offices(
+            _indexed(spark, folder), LAT, LNG, RADIUS_M, AS_OF,
+            min_confidence=0.2, industry="u%i", query="nova robo", limit=20, offset=1,
+        )
+    )
+
+
 @register(
     "office_count",
     with_views(
@@ -149,6 +172,16 @@ def job_search_filtered(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("job_search_by_postings", CATALOG["job_search_filtered"].sql)
+def job_search_by_postings(spark: SparkSession, folder: str) -> DataFrame:
+    return _job_page(
+        search.search_jobs(
+            _indexed(spark, folder), LAT, LNG, RADIUS_M, AS_OF,
+            query="engineer", arrangement="in_office", limit=30, offset=3,
+        )
+    )
+
+
 @register(
     "job_count",
     with_views(

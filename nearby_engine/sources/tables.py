@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from nearby_engine.functions.geo import space_code
+
 SCHEMAS = {
     "companies": "id string, name string, normalized_name string, domain string, industry string, "
     "employee_count string, description string, verified boolean, first_seen_at timestamp, last_seen_at timestamp",
@@ -58,12 +60,15 @@ SCHEMAS = {
 # Write order inside a table: rows close in space or time share files and row groups, so the
 # ranges of radius and recency filters skip most of them.
 LAYOUT = {
-    "locations": ["lat", "lng"],
-    "job_locations": ["latitude", "longitude"],
+    "locations": ["cell"],
+    "job_locations": ["cell"],
     "jobs": ["posted_at"],
     "sightings": ["company_id", "scraped_at"],
 }
 
+# Where the points of a table are: their space code is stored with the rows, as the column ``cell``, and orders them.
+POINTS = {"locations": ("lat", "lng"), "job_locations": ("latitude", "longitude")}
+CELL = "cell"
 # The column whose hash decides the partition of a row where tables are partitioned: a delivery knows it for all it changes.
 KEYS = {
     "companies": "id", "company_aliases": "normalized_alias", "company_domains": "normalized_domain", "locations": "company_id",
@@ -81,6 +86,17 @@ def schema_of(name: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[name])
 
 
+def stored_schema(name: str) -> T.StructType:
+    """The columns of a table's files."""
+    return schema_of(name).add(CELL, T.LongType()) if name in POINTS else schema_of(name)
+
+
+def stored_rows(name: str, rows: DataFrame) -> DataFrame:
+    """Rows of a table with the columns and types of its files."""
+    typed = rows.select([F.col(f.name).cast(f.dataType) for f in schema_of(name)])
+    return typed.withColumn(CELL, space_code(*map(F.col, POINTS[name]))) if name in POINTS else typed
+
+
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema_of(name)) for name in SCHEMAS}
 
@@ -105,18 +121,22 @@ def is_delivered(spark: SparkSession, root: str, delivery: str) -> bool:
     return not versions(spark, root).filter(F.col("delivery") == delivery).isEmpty()
 
 
-def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Tables of the latest version, or empty ones. Partitioned tables are read as they are in place."""
+def read_tables(spark: SparkSession, root: str, cells: bool = False) -> dict[str, DataFrame]:
+    """Tables of the latest version, or empty ones; with ``cells`` those with points have their space code too, by which a
+    search in a circle skips row groups. Partitioned tables are read as they are in place."""
     newest = latest(spark, root)
+    wanted = {name: (stored_schema(name) if cells else schema_of(name)).fieldNames() for name in SCHEMAS}
     if newest is None:
-        return empty_tables(spark)
-    if newest[0].startswith(KEYED):
-        read = {name: spark.read.schema(schema_of(name)).parquet(f"{root}/tables/{name}") for name in SCHEMAS if exists(spark, f"{root}/tables/{name}")}
-        present = {name: rows.filter(F.col(KEYS[name]).isNotNull()).select(schema_of(name).fieldNames()) for name, rows in read.items()}
-        return empty_tables(spark) | present
-    return {
-        name: spark.read.schema(schema_of(name)).parquet(f"{root}/{newest[0]}/{name}") for name in SCHEMAS
-    }
+        return {name: stored_rows(name, df).select(wanted[name]) for name, df in empty_tables(spark).items()}
+    folder = "tables" if newest[0].startswith(KEYED) else newest[0]
+    read = {}
+    for name in SCHEMAS:
+        path = f"{root}/{folder}/{name}"
+        held = exists(spark, path) or not newest[0].startswith(KEYED)
+        rows = spark.read.schema(stored_schema(name)).parquet(path) if held else spark.createDataFrame([], stored_schema(name))
+        # A partition that was emptied holds one row without a key.
+        read[name] = (rows.filter(F.col(KEYS[name]).isNotNull()) if newest[0].startswith(KEYED) else rows).select(wanted[name])
+    return read
 
 
 class ConcurrentWrite(RuntimeError):
@@ -161,7 +181,7 @@ def write_tables(
         based_on = 0 if newest is None else newest[1]
     version = f"v-{uuid.uuid4().hex}"
     for name in SCHEMAS:
-        rows = tables[name].select([F.col(f.name).cast(f.dataType) for f in schema_of(name)])
+        rows = stored_rows(name, tables[name])
         order = LAYOUT.get(name)
         if order:
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
