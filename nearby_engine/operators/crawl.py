@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearby_engine.functions import markup
-from nearby_engine.functions.text import title_head
+from nearby_engine.functions.text import let, title_head
 from nearby_engine.functions.urls import (
     bare_domain,
     clean_domain,
@@ -17,7 +17,7 @@ from nearby_engine.functions.urls import (
     resolve,
     without_fragment,
 )
-from nearby_engine.operators.ranking import joined_to_few, keep_first, numbered
+from nearby_engine.operators.ranking import joined_to_few, keep_first, numbered, once
 from nearby_engine.session import bucketed, fresh_folder
 
 
@@ -118,12 +118,14 @@ def discovered_boards(
     else:
         named = named.withColumn("known_name", F.lit(None).cast("string"))
     head = title_head(markup.page_title(F.col("html")))
-    titled = named.filter(~markup.is_sitemap(F.col("url"), F.col("html"))).select(
-        "seed", "visit", "url", "company_domain",
-        F.coalesce("known_name", F.when(head != "", head)).alias("company_name"),
-        F.posexplode(markup.links(F.col("html"))).alias("position", "href"),
+    read = once(
+        named.filter(~markup.is_sitemap(F.col("url"), F.col("html"))),
+        {"company_name": F.coalesce("known_name", let(head, lambda h: F.when(h != "", h)))},
     )
-    linked = titled.withColumn("target", without_fragment(resolve(F.col("href"), F.col("url"))))
+    titled = read.select(
+        "seed", "visit", "url", "company_domain", "company_name", F.posexplode(markup.links(F.col("html"))).alias("position", "href")
+    )
+    linked = once(titled, {"target": without_fragment(resolve(F.col("href"), F.col("url")))})
     tagged = linked.withColumn(
         "board",
         F.explode(
@@ -159,7 +161,8 @@ T_FOUND = "struct<visit:int,position:int>"
 
 def discovered_sites(companies: DataFrame, run: str = "discovery_job_id") -> DataFrame:
     """The domains seen per run, with the arrival and the name they were first seen under."""
-    keyed = companies.withColumn("domain", clean_domain(F.col("domain"))).filter(F.col("domain").isNotNull())
+    keyed = once(companies.withColumnRenamed("domain", "_given"), {"domain": clean_domain(F.col("_given"))})
+    keyed = keyed.filter(F.col("domain").isNotNull())
     return keyed.groupBy(run, "domain").agg(
         F.min("seq").alias("seq"), F.min_by(F.coalesce("name", "domain"), "seq").alias("name")
     )

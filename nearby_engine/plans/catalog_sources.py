@@ -18,6 +18,7 @@ from nearby_engine.operators.crawl import (
 )
 from nearby_engine.operators.ranking import once
 from nearby_engine.plans.catalog import (
+    CATALOG,
     register,
     sql_distance,
     sql_domain,
@@ -47,7 +48,7 @@ from nearby_engine.plans.views import (
     derive,
     table,
 )
-from nearby_engine.sources import boards, directory, osm, site, structured
+from nearby_engine.sources import boards, directory, osm, registry, site, structured
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 LAT, LNG = CENTER
@@ -603,3 +604,38 @@ def sitemap_pages(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.col("html"))
     )
     return table(spark, folder, "pages").select("page_id", markup.is_sitemap(url, body).alias("is_sitemap"))
+
+
+# --- a whole run -----------------------------------------------------------------------------
+
+
+def _count(name: str) -> str:
+    return f"(SELECT count(*) FROM ({CATALOG[name].sql}))"
+
+
+@register(
+    "gathered_evidence",
+    f"""SELECT 'openstreetmap' AS source, 'open_dataset' AS family, {_count('osm_companies')} AS companies, CAST(0 AS BIGINT) AS jobs
+    UNION ALL SELECT 'configured_directory', 'public_directory', {_count('directory_companies')}, 0
+    UNION ALL SELECT 'company_site', 'official_site', (SELECT count(DISTINCT floor(c_custkey / {FANOUT})) FROM customer), 0
+    UNION ALL SELECT 'greenhouse', 'job_ats', {_count('greenhouse_companies')}, {_count('greenhouse_jobs')}
+    UNION ALL SELECT 'lever', 'job_ats', {_count('greenhouse_companies')} + (SELECT count(DISTINCT token) FROM ({CATALOG['discovered_boards'].sql})), {_count('lever_jobs')}""",
+)
+def gathered_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence of all five adapters in one run: candidates from the map and the directories, sites that are walked, boards that
+    are configured or found on the sites."""
+    as_of = F.lit(AS_OF).cast("timestamp")
+    no_jobs = registry.no_rows(spark, "job")
+    places = osm.osm_companies(osm.candidates(osm.elements_of(osm_payloads(spark, folder)), LAT, LNG, RADIUS_M / 1000))
+    cards = directory.page_cards(directory_pages(spark, folder), CARD_SELECTORS)
+    listed = directory.directory_companies(cards, detail_pages(spark, folder), DETAIL_SELECTORS)
+    candidates = places.select(F.lit("run").alias("discovery_job_id"), "domain", "name", F.col("source_record_id").alias("seq"))
+    configured = [_board_frame(spark, folder, prefix).withColumn("provider", F.lit(name)) for name, prefix in (("greenhouse", "g"), ("lever", "s"))]
+    found = registry.gather(
+        candidates, walk_pages(spark, folder), configured[0].unionByName(configured[1]),
+        {"greenhouse": greenhouse_payloads(spark, folder), "lever": lever_payloads(spark, folder)}, as_of, walk_seeds(spark, folder),
+    )
+    batches = registry.gathered_batches(spark, {"openstreetmap": (places, no_jobs), "configured_directory": (listed, no_jobs)}, found, as_of, "run")
+    return batches.groupBy("source", F.col("source_family").alias("family")).agg(
+        F.sum(F.size("companies")).alias("companies"), F.sum(F.size("jobs")).alias("jobs")
+    )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from nearby_engine.functions.text import strip
 from nearby_engine.functions.urls import clean_domain
 from nearby_engine.operators.crawl import board_targets, discovered_boards, discovered_sites, walk
 from nearby_engine.schemas import COMPANY_EVIDENCE, JOB_EVIDENCE
-from nearby_engine.sources import boards, osm, site, structured
+from nearby_engine.session import cut
+from nearby_engine.sources import boards, directory, osm, site, structured
 from nearby_engine.sources.evidence import to_batches
 
 BOARD_FIELDS = "provider string, token string, company_name string, company_domain string"
@@ -60,21 +62,47 @@ def read_lever(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
     return packed(spark, "lever", rows, as_of)
 
 
-def read_pages(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
-    """Structured evidence of landed pages (url, html) in Parquet."""
-    entities = structured.page_entities(spark.read.schema("url string, html string").parquet(path))
-    rows = structured.structured_companies(entities), structured.structured_jobs(entities, as_of)
-    return packed(spark, "company_site", rows, as_of)
+def read_site(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
+    """Evidence of the sites in ``seeds.json`` (seed): their landed pages, ``pages`` in Parquet (url, html), are walked from
+    the homepage; a homepage without a structured company gives one from its title."""
+    pages = spark.read.schema("url string, html string").parquet(f"{path}/pages")
+    visits = walk(spark.read.schema("seed string").json(f"{path}/seeds.json"), pages)
+    return packed(spark, "company_site", site_evidence(visits, pages, as_of), as_of)
+
+
+DIRECTORY = "directory_id string, start_page int, card map<string,string>, detail map<string,string>"
+
+
+def read_directory(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
+    """Evidence of the directories in ``directories.json``, one JSON line each with the selectors of its cards and of its detail
+    pages. ``pages`` (directory_id, page, url, html) and ``details`` (url, html) are landed Parquet."""
+    pages = spark.read.schema("directory_id string, page int, url string, html string").parquet(f"{path}/pages")
+    details = spark.read.schema("url string, html string").parquet(f"{path}/details")
+    companies = no_rows(spark, "company")
+    # The list of directories is a configuration, one line each.
+    for listed in spark.read.schema(DIRECTORY).json(f"{path}/directories.json").collect():
+        mine = pages.filter(F.col("directory_id") == listed.directory_id)
+        cards = directory.page_cards(mine, listed.card or {}, listed.start_page or 1)
+        companies = companies.unionByName(directory.directory_companies(cards, details, listed.detail), allowMissingColumns=True)
+    return packed(spark, "configured_directory", (companies, no_rows(spark, "job")), as_of)
 
 
 ADAPTERS: dict[str, Callable[..., DataFrame]] = {
     "openstreetmap": read_osm,
+    "configured_directory": read_directory,
     "greenhouse": read_greenhouse,
     "lever": read_lever,
-    "company_site": read_pages,
+    "company_site": read_site,
 }
 
 
+def site_evidence(visits: DataFrame, pages: DataFrame, as_of: Column) -> Rows:
+    """Companies and jobs of the pages that a walk visited."""
+    read = visits.join(pages, "url")
+    entities = structured.page_entities(read.select("url", "html"))
+    return site.site_companies(read), structured.structured_jobs(entities, as_of)
+
+
 def packed(spark: SparkSession, name: str, rows: Rows, as_of: Column, run_id: str = "") -> DataFrame:
     companies, jobs = rows
     return to_batches(companies, jobs, name, FAMILIES[name], F.lit(run_id), as_of)
@@ -113,14 +141,13 @@ def gather(
     ``candidates`` has (discovery_job_id, domain, name, seq), ``pages`` landed (url, html),
     ``payloads`` landed board pages per provider.
     """
-    sites = discovered_sites(candidates)
+    # Read three times: for the walk, for the names of the boards, and for their companies.
+    sites = cut(discovered_sites(candidates))
     found = sites.select(F.concat(F.lit("https://"), "domain").alias("seed"))
     starts = found if seeds is None else seeds.select("seed").unionByName(found)
     visits = walk(starts.distinct(), pages)
     names = sites.groupBy("domain").agg(F.min_by("name", "seq").alias("name"))
-    read = visits.join(pages, "url")
-    entities = structured.page_entities(read.select("url", "html"))
-    site_rows = site.site_companies(read), structured.structured_jobs(entities, as_of)
+    site_rows = site_evidence(visits, pages, as_of)
     targets = board_targets(configured, discovered_boards(visits, pages, names))
     board_rows: dict[str, Rows] = {}
     makers = {
@@ -132,3 +159,9 @@ def gather(
         if provider in payloads:
             board_rows[provider] = companies_of(mine), jobs_of(payloads[provider], mine, as_of)
     return Gathered(visits, site_rows, targets, board_rows)
+
+
+def gathered_batches(spark: SparkSession, first: dict[str, Rows], found: Gathered, as_of: Column, run_id: str = "") -> DataFrame:
+    """Batches of a whole run: the candidate sources of stage one (rows by adapter), the sites and the boards."""
+    every = {**first, "company_site": found.site_rows, **found.board_rows}
+    return reduce(DataFrame.unionByName, [packed(spark, name, rows, as_of, run_id) for name, rows in every.items()])
