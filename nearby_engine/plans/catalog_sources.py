@@ -546,7 +546,7 @@ def boards_of_sites(spark: SparkSession, folder: str) -> DataFrame:
     "board_targets",
     """WITH d AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'lever' ELSE 'greenhouse' END AS provider, 't' || CAST(o_custkey AS VARCHAR) AS token,
       'Seen ' || CAST(o_orderkey AS VARCHAR) AS company_name, CAST(floor(o_orderkey / 100) AS BIGINT) AS visit, o_orderkey AS position FROM orders),
-    c AS (SELECT 'lever' AS provider, 't' || CAST(c_custkey AS VARCHAR) AS token, c_name AS company_name FROM customer WHERE c_mktsegment = 'BUILDING'),
+    c AS (SELECT 'lever' AS provider, 't' || CAST(c_custkey AS VARCHAR) AS token, c_name AS company_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'greenhouse', 't' || CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE c_custkey % 3 <> 0),
     u AS (SELECT *, 0 AS tier, 0 AS visit, 0 AS position FROM c UNION ALL SELECT provider, token, company_name, 1, visit, position FROM d)
     SELECT provider, token, arg_min(company_name, (tier, visit, position)) AS company_name FROM u GROUP BY provider, token""",
 )
@@ -558,8 +558,8 @@ def merged_board_targets(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("token"),
         F.concat(F.lit("Seen "), F.col("o_orderkey").cast("string")).alias("company_name"), none, found.alias("found"),
     )
-    configured = table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'").select(
-        F.lit("lever").alias("provider"), F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token"),
+    configured = table(spark, folder, "customer").select(
+        F.when(F.col("c_custkey") % 3 == 0, "lever").otherwise("greenhouse").alias("provider"), F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token"),
         F.col("c_name").alias("company_name"), none,
     )
     return board_targets(configured, seen).drop("company_domain")
