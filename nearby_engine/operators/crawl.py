@@ -97,7 +97,7 @@ def walk(
 def _numbered_on(fresh: DataFrame, visited: DataFrame) -> DataFrame:
     """``fresh`` with ``visit``, which goes on from what each seed has visited. All links of the level are numbered by ranges
     of their order, so that those of one seed may lie in many tasks; a seed then only has to know where its own begin."""
-    placed = numbered(fresh, [F.col(c) for c in ("seed", "parent", "position", "url")], "_nth")
+    placed = numbered(fresh, [F.col("seed")], [F.col(c) for c in ("parent", "position", "url")], "_nth")
     begins = placed.groupBy("seed").agg(F.min("_nth").alias("_begin"))
     used = visited.groupBy("seed").agg(F.max("visit").alias("_used"))
     of_seed = begins.join(used, "seed").select("seed", (F.col("_used") + 1 - F.col("_begin")).alias("_shift"))

@@ -35,13 +35,14 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int, r
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def numbered(df: DataFrame, order: list[Column], into: str) -> DataFrame:
-    """Zero-based position of every row in ``order`` over the whole frame.
+def numbered(df: DataFrame, coarse: list[Column], fine: list[Column], into: str) -> DataFrame:
+    """Zero-based position of every row in the order (coarse, fine) over the whole frame.
 
     A window over all rows would run in one task. Here rows are dealt to tasks by ranges of the order and numbered inside
     their range; the number of rows in the ranges before is added, one number per range. Positions are kept while the ranges
     are, so the numbered rows are written to the shared folder first.
     """
+    order = [*coarse, *fine]
     ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut(ranges.withColumn("_place", F.monotonically_increasing_id()))
     # The upper bits number the range, the lower 33 the row inside it.
