@@ -31,8 +31,8 @@ SHELL_HINT = r"(?is)<noscript\b[^>]*>.*?(?:enable|require|javascript|js).*?</nos
 SHELL_TEXT_LIMIT = 200
 
 
-def page_title(page: Column) -> Column:
-    return unescape_entities(F.regexp_extract(page, TITLE, 1))
+def page_title(page: Column, closed: bool = False) -> Column:
+    return unescape_entities(F.regexp_extract(page, TITLE, 1), closed)
 
 
 def without_comments(page: Column) -> Column:

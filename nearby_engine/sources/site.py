@@ -12,12 +12,15 @@ from nearby_engine.operators.ranking import keep_first
 from nearby_engine.sources.structured import page_entities, structured_companies
 
 
-def homepage_companies(homepages: DataFrame, structured: DataFrame) -> DataFrame:
-    """Company from title, address and phone link of homepages without a structured company."""
+def homepage_companies(homepages: DataFrame, structured: DataFrame, closed: bool = False) -> DataFrame:
+    """Company from title, address and phone link of homepages without a structured company.
+
+    With ``closed`` only entities that end in a semicolon are decoded in titles.
+    """
     missing = F.lit(None).cast("double")
     bare = homepages.join(structured.select(F.col("page").alias("url")).distinct(), "url", "left_anti")
     read = bare.select(
-        F.col("url").alias("page"), title_head(M.page_title(F.col("html"))).alias("name"),
+        F.col("url").alias("page"), title_head(M.page_title(F.col("html"), closed)).alias("name"),
         bare_domain(F.col("url")).alias("domain"), M.address_text(F.col("html")).alias("address"),
         M.phone_link(F.col("html")).alias("phone"),
     ).filter(F.col("name") != "")

@@ -1,5 +1,7 @@
 """Queries on tables that repeat rows under new keys, as larger copies of the tables do, against their SQL."""
 
+import pytest
+
 import compare
 from nearby_engine.plans import load_catalog
 from nearby_engine.plans.catalog import CATALOG
@@ -21,3 +23,11 @@ def differences(spark, folder, name, **tables):
 def test_links_of_pages_that_share_a_url(spark, tmp_path):
     pages = "SELECT page_id + 1000 * i AS page_id, url, html FROM pages, range(2) t(i)"
     assert differences(spark, tmp_path, "site_links", pages=pages) == []
+
+
+CUT = "SELECT 1 AS page_id, 'https://a.example/' AS url, '<title>Fish &amp; Chips &copy; &am; &amp</title><nav></nav><p>a &lt;b&gt; &quot &amp' AS html"
+
+
+@pytest.mark.parametrize("name", ["homepage_companies"])
+def test_references_cut_before_their_semicolon(spark, tmp_path, name):
+    assert differences(spark, tmp_path, name, pages=CUT) == []
