@@ -33,7 +33,7 @@ def test_references_cut_before_their_semicolon(spark, tmp_path, name):
     assert differences(spark, tmp_path, name, pages=CUT) == []
 
 
-@pytest.mark.parametrize("name", ["source_totals", "validation_report", "intake_tables"])
+@pytest.mark.parametrize("name", ["source_totals", "validation_report", "rejected_batches", "intake_tables"])
 def test_batches_seen_after_the_tables_of_today(spark, tmp_path, name):
     orders = "SELECT * REPLACE (o_orderkey + 4000000 * i AS o_orderkey) FROM (SELECT * FROM orders LIMIT 300), range(2) t(i)"
     assert differences(spark, tmp_path, name, orders=orders) == []
