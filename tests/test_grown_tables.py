@@ -1,10 +1,13 @@
 """Queries on tables that repeat rows under new keys, as larger copies of the tables do, against their SQL."""
 
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 import compare
 from nearby_engine.plans import load_catalog
 from nearby_engine.plans.catalog import CATALOG
+from nearby_engine.streaming.intake import append_unseen
 
 load_catalog()
 FOLDER = "/root/testdata/sf0.001"
@@ -37,3 +40,13 @@ def test_references_cut_before_their_semicolon(spark, tmp_path, name):
 def test_batches_seen_after_the_tables_of_today(spark, tmp_path, name):
     orders = "SELECT * REPLACE (o_orderkey + 4000000 * i AS o_orderkey) FROM (SELECT * FROM orders LIMIT 300), range(2) t(i)"
     assert differences(spark, tmp_path, name, orders=orders) == []
+
+
+def test_stored_records_are_not_shuffled_for_every_batch(spark, tmp_path, monkeypatch):
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **b))[1])
+    rows = lambda low, high: spark.range(low, high).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("content_hash"))
+    append_unseen(rows(0, 5000), 0, str(tmp_path))
+    append_unseen(rows(4990, 5010), 1, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path)).select("content_hash").distinct().count() == spark.read.parquet(str(tmp_path)).count() == 5010
+    assert "LeftSemi, BuildRight" in plans[-1]
