@@ -50,3 +50,12 @@ def test_stored_records_are_not_shuffled_for_every_batch(spark, tmp_path, monkey
     append_unseen(rows(4990, 5010), 1, str(tmp_path))
     assert spark.read.parquet(str(tmp_path)).select("content_hash").distinct().count() == spark.read.parquet(str(tmp_path)).count() == 5010
     assert "LeftSemi, BuildRight" in plans[-1]
+
+
+def test_a_name_goes_to_the_first_of_two_companies_of_one_batch_in_waves_too(spark, tmp_path):
+    """Two domains of one name are seen in one batch, the name alone much later."""
+    spread = """SELECT j, 10 * j + CASE (10 * j) % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 0 END AS a, 10 * j + CASE (10 * j) % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 2 END AS b,
+      10 * (j + 100) + (3 - (10 * (j + 100)) % 3) % 3 AS c FROM range(30) t(j)"""
+    keys = f"SELECT a AS k, j + 1 AS cust FROM ({spread}) UNION ALL SELECT b, j + 3081 FROM ({spread}) UNION ALL SELECT c, j + 1 FROM ({spread})"
+    orders = f"SELECT o.* REPLACE (CAST(x.k AS BIGINT) AS o_orderkey, CAST(x.cust AS BIGINT) AS o_custkey) FROM (SELECT * FROM orders LIMIT 1) o, ({keys}) x"
+    assert differences(spark, tmp_path, "merge_companies_second_wave", orders=orders) == []
