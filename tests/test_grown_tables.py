@@ -59,3 +59,12 @@ def test_a_name_goes_to_the_first_of_two_companies_of_one_batch_in_waves_too(spa
     keys = f"SELECT a AS k, j + 1 AS cust FROM ({spread}) UNION ALL SELECT b, j + 3081 FROM ({spread}) UNION ALL SELECT c, j + 1 FROM ({spread})"
     orders = f"SELECT o.* REPLACE (CAST(x.k AS BIGINT) AS o_orderkey, CAST(x.cust AS BIGINT) AS o_custkey) FROM (SELECT * FROM orders LIMIT 1) o, ({keys}) x"
     assert differences(spark, tmp_path, "merge_companies_second_wave", orders=orders) == []
+
+
+def test_batches_are_parsed_once(spark):
+    """Opening the records of a batch must not parse its text again."""
+    from nearby_engine.plans.catalog_merge import batch_lines, records
+    from nearby_engine.sources.evidence import job_rows, parse_batches
+
+    rows = job_rows(parse_batches(batch_lines(records(spark, FOLDER))))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
