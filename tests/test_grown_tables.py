@@ -68,3 +68,16 @@ def test_batches_are_parsed_once(spark):
 
     rows = job_rows(parse_batches(batch_lines(records(spark, FOLDER))))
     assert rows._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+
+
+def test_mentions_are_read_from_batches_at_once(spark):
+    from nearby_engine.operators import identity
+    from nearby_engine.plans.catalog_merge import batch_lines, records
+    from nearby_engine.sources.evidence import company_rows, job_rows, parse_batches
+
+    batches = parse_batches(batch_lines(records(spark, FOLDER)))
+    found = identity.mentions_of(batches)
+    both = identity.mentions(company_rows(batches), job_rows(batches))
+    assert found.columns == both.columns
+    assert found.count() == both.count() and found.exceptAll(both).isEmpty()
+    assert found._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
