@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearby_engine.functions import markup
 from nearby_engine.functions.text import let, title_head
 from nearby_engine.functions.urls import (
+    allowing_site,
     bare_domain,
     clean_domain,
     greenhouse_token,
@@ -24,19 +25,23 @@ from nearby_engine.session import bucketed, fresh_folder
 def page_links(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(url, position, href, target) of every link of every page, resolved and without fragment; ``keep`` is carried along."""
     kept = keep or []
-    found = pages.select("url", *kept, F.posexplode(markup.links(F.col("html"))).alias("position", "href"))
+    read = once(pages.select("url", *kept, "html"), {"links": markup.links(F.col("html"))})
+    found = read.select("url", *kept, F.posexplode("links").alias("position", "href"))
     return found.select(
         "url", *kept, "position", "href", without_fragment(resolve(F.col("href"), F.col("url"))).alias("target")
     )
 
 
 def followed_links(pages: DataFrame) -> DataFrame:
-    """(url, position, target) of every link a walk may follow; a sitemap gives its listed URLs."""
+    """(url, position, target, site) of every link a walk may follow, and the only site it may follow it on; a sitemap gives its
+    listed URLs. Whether a link is allowed depends on the link, so that no level of a walk judges it again."""
     as_map = markup.is_sitemap(F.col("url"), F.col("html"))
-    links = F.when(as_map, markup.sitemap_urls(F.col("html"))).otherwise(markup.links(F.col("html")))
-    found = pages.select("url", as_map.alias("as_map"), F.posexplode(links).alias("position", "href"))
+    links = F.when(F.col("as_map"), markup.sitemap_urls(F.col("html"))).otherwise(markup.links(F.col("html")))
+    read = once(once(pages.select("url", "html"), {"as_map": as_map}), {"links": links})
+    found = read.select("url", "as_map", F.posexplode("links").alias("position", "href"))
     target = F.when(F.col("as_map"), F.col("href")).otherwise(without_fragment(resolve(F.col("href"), F.col("url"))))
-    return found.select("url", "position", target.alias("target"))
+    resolved = once(found, {"target": target}).select("url", "position", "target")
+    return once(resolved, {"site": allowing_site(F.col("target"))}).filter(F.col("site").isNotNull())
 
 
 def walk(
@@ -75,11 +80,12 @@ def walk(
     depth = 0
     with bucketed(followed_links(pages), "url") as links:
         while max_depth is None or depth < max_depth:
-            level = visited.filter(F.col("depth") == depth)
+            level = once(visited.filter(F.col("depth") == depth), {"of": clean_domain(bare_domain(F.col("seed")))})
             depth += 1
-            candidates = level.join(links, "url").select(
+            # The site is a range, not a second key of the join: the links stay where their URL put them.
+            candidates = level.join(links, "url").filter(F.col("site").between(F.col("of"), F.col("of"))).select(
                 "seed", F.col("target").alias("url"), F.col("visit").alias("parent"), "position"
-            ).filter(is_allowed_on_site(F.col("url"), bare_domain(F.col("seed"))))
+            )
             if depth == 1 and extra is not None:
                 candidates = extra.unionByName(candidates)
             fresh = keep_first(candidates, ["seed", "url"], ["parent", "position"]).join(

@@ -81,3 +81,21 @@ def test_mentions_are_read_from_batches_at_once(spark):
     assert found.columns == both.columns
     assert found.count() == both.count() and found.exceptAll(both).isEmpty()
     assert found._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+
+
+def test_links_are_judged_once_as_on_every_site(spark):
+    from nearby_engine.functions.urls import allowing_site, is_allowed_on_site
+
+    urls = ["https://www.a.example/", "https://a.example/jobs/p1", "https://A.example/login/jobs", "ftp://a.example/jobs", "/jobs", "", None,
+            "https://a.example/pricing", " https://a.example/about?x=1 ", "https://b.example/careers", "https:///jobs", "https://a.example/team?login=1"]
+    sites = ["a.example", "WWW.b.example", "", None]
+    rows = spark.createDataFrame([(u, s) for u in urls for s in sites], "url string, site string")
+    site = F.regexp_replace(F.lower("site"), r"^www\.", "")
+    judged = rows.select("url", "site", is_allowed_on_site(F.col("url"), F.col("site")).alias("a"), F.coalesce(allowing_site(F.col("url")) == site, F.lit(False)).alias("b"))
+    assert judged.filter("a").count() == 4 and judged.filter("a <> b").isEmpty()
+
+
+def test_walked_pages_are_made_in_many_tasks(spark):
+    from nearby_engine.plans.catalog_sources import walk_pages
+
+    assert walk_pages(spark, FOLDER).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
