@@ -19,7 +19,7 @@ from nearby_engine.functions.urls import (
     without_fragment,
 )
 from nearby_engine.operators.ranking import joined_to_few, keep_first, numbered, once
-from nearby_engine.session import bucketed, fresh_folder
+from nearby_engine.session import bucketed, dealt, fresh_folder
 
 
 def page_links(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -114,7 +114,8 @@ def discovered_boards(
     visits: DataFrame, pages: DataFrame, names: DataFrame | None = None,
 ) -> DataFrame:
     """Job boards linked from visited pages: (provider, token, company_name, company_domain)."""
-    reading = visits.join(pages, "url")
+    # Levels of a walk are few files; their pages are dealt before they are read.
+    reading = dealt(visits, "url").join(pages, "url")
     named = reading.withColumn("company_domain", bare_domain(F.col("seed")))
     if names is not None:
         named = named.join(
@@ -126,10 +127,10 @@ def discovered_boards(
     head = title_head(markup.page_title(F.col("html")))
     read = once(
         named.filter(~markup.is_sitemap(F.col("url"), F.col("html"))),
-        {"company_name": F.coalesce("known_name", let(head, lambda h: F.when(h != "", h)))},
+        {"company_name": F.coalesce("known_name", let(head, lambda h: F.when(h != "", h))), "links": markup.links(F.col("html"))},
     )
     titled = read.select(
-        "seed", "visit", "url", "company_domain", "company_name", F.posexplode(markup.links(F.col("html"))).alias("position", "href")
+        "seed", "visit", "url", "company_domain", "company_name", F.posexplode("links").alias("position", "href")
     )
     linked = once(titled, {"target": without_fragment(resolve(F.col("href"), F.col("url")))})
     tagged = linked.withColumn(
