@@ -22,6 +22,7 @@ from nearby_engine.operators.ranking import keep_first
 DEFAULT_CARD = ".directory-card"
 CARD_FIELDS = ["name", "source_record_id", "address", "phone", "website", "detail_url"]
 DETAIL_FIELDS = ["address", "phone", "website", "lat", "lng", "description"]
+CARDS_A_FRAME = 4096
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 STEP = re.compile(r"([.#]?)([\w-]+)|\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]")
 
@@ -119,16 +120,21 @@ def _value(scope: _Node, selector: str | None) -> str | None:
 
 def _card_rows(card: str, fields: dict[str, str]):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["directory_id", "page", "url", "position", *CARD_FIELDS]
         for batch in batches:
+            rows: list[tuple] = []
             for directory, page, url, body in zip(batch.directory_id, batch.page, batch.url, batch.html):
                 cards = _select(_Tree(body or "").root, card)
-                rows = [
+                rows += [
                     (directory, page, url, i, *[_value(c, fields.get(f)) for f in CARD_FIELDS])
                     for i, c in enumerate(cards)
                 ]
-                # Position -1 says the page was read and had no cards.
-                yield pd.DataFrame(rows or [(directory, page, url, -1, *[None] * len(CARD_FIELDS))],
-                                   columns=["directory_id", "page", "url", "position", *CARD_FIELDS])
+                # A frame costs more than a page: cards of many pages go into one.
+                if len(rows) >= CARDS_A_FRAME:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return read
 
@@ -162,8 +168,7 @@ def page_cards(
         ("directory_id", T.StringType()), ("page", T.IntegerType()), ("url", T.StringType()),
         ("position", T.IntegerType()), fields=CARD_FIELDS,
     )
-    cards = wanted.mapInPandas(_card_rows(selectors.get("card", DEFAULT_CARD), selectors), schema)
-    return cards.filter("position >= 0")
+    return wanted.mapInPandas(_card_rows(selectors.get("card", DEFAULT_CARD), selectors), schema)
 
 
 def directory_companies(

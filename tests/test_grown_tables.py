@@ -99,3 +99,10 @@ def test_walked_pages_are_made_in_many_tasks(spark):
     from nearby_engine.plans.catalog_sources import walk_pages
 
     assert walk_pages(spark, FOLDER).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_directory_pages_are_made_in_many_tasks(spark):
+    from nearby_engine.plans.catalog_sources import detail_pages, directory_pages
+
+    for pages in (directory_pages(spark, FOLDER), detail_pages(spark, FOLDER)):
+        assert pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
