@@ -11,6 +11,7 @@ from nearby_engine.operators.clusters import cluster_kmeans
 from nearby_engine.operators.crawl import page_links
 from nearby_engine.plans.catalog import register, sql_iso
 from nearby_engine.plans.views import table
+from nearby_engine.session import dealt
 from nearby_engine.sources import structured
 from nearby_engine.sources.evidence import sequence_key
 from nearby_engine.sources.tables import schema_of
@@ -47,7 +48,8 @@ def deeply_nested_companies(spark: SparkSession, folder: str) -> DataFrame:
     block = F.concat(F.lit('<script type="application/ld+json">['), organization(0), F.lit(","), twelve, F.lit(","), graphs, F.lit("]</script>"))
     hidden = F.lit('<!-- <script type="application/ld+json">{"@type":"Organization","name":"Hidden"}</script> -->')
     url = F.concat(F.lit("https://deep"), F.col("c_custkey").cast("string"), F.lit(".example/"))
-    pages = table(spark, folder, "customer").select(url.alias("url"), F.concat(hidden, block).alias("html"))
+    customers = dealt(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_custkey")
+    pages = customers.select(url.alias("url"), F.concat(hidden, block).alias("html"))
     return structured.structured_companies(structured.page_entities(pages)).select("page", "name")
 
 

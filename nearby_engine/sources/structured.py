@@ -43,12 +43,14 @@ def page_entities(pages: DataFrame) -> DataFrame:
     """(url, position, entity, types) of every typed entity, in page order."""
     # Pages without a JSON-LD script are dropped before the expressions that parse it.
     marked = pages.filter(F.lower("html").contains("application/ld+json"))
-    blocks = marked.select("url", F.posexplode(M.ld_blocks(F.col("html"))).alias("at", "entity"))
+    read = once(marked.select("url", "html"), {"blocks": M.ld_blocks(F.col("html"))})
+    blocks = read.select("url", F.posexplode("blocks").alias("at", "entity"))
     level = cut(blocks.select("url", F.array("at").alias("path"), "entity"))
     levels = [level]
     # Lists and graphs are opened level by level until nothing is left inside.
     while True:
-        opened = level.select("url", "path", F.posexplode(M.children(F.col("entity"))).alias("at", "entity"))
+        inside = once(level, {"inside": M.children(F.col("entity"))})
+        opened = inside.select("url", "path", F.posexplode("inside").alias("at", "entity"))
         level = cut(opened.select("url", F.concat("path", F.array("at")).alias("path"), "entity"))
         if level.isEmpty():
             break

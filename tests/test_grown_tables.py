@@ -106,3 +106,12 @@ def test_directory_pages_are_made_in_many_tasks(spark):
 
     for pages in (directory_pages(spark, FOLDER), detail_pages(spark, FOLDER)):
         assert pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_nested_pages_are_made_in_many_tasks(spark, monkeypatch):
+    from nearby_engine.plans import catalog_depth
+
+    seen, read = [], catalog_depth.structured.page_entities
+    monkeypatch.setattr(catalog_depth.structured, "page_entities", lambda pages: (seen.append(pages.rdd.getNumPartitions()), read(pages))[1])
+    catalog_depth.deeply_nested_companies(spark, FOLDER)
+    assert seen[0] >= spark.sparkContext.defaultParallelism
