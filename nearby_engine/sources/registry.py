@@ -18,7 +18,7 @@ from nearby_engine.functions.text import strip
 from nearby_engine.functions.urls import clean_domain
 from nearby_engine.operators.crawl import board_targets, discovered_boards, discovered_sites, walk
 from nearby_engine.schemas import COMPANY_EVIDENCE, JOB_EVIDENCE
-from nearby_engine.session import cut
+from nearby_engine.session import cut, dealt
 from nearby_engine.sources import boards, directory, osm, site, structured
 from nearby_engine.sources.evidence import to_batches
 
@@ -98,7 +98,7 @@ ADAPTERS: dict[str, Callable[..., DataFrame]] = {
 
 def site_evidence(visits: DataFrame, pages: DataFrame, as_of: Column) -> Rows:
     """Companies and jobs of the pages that a walk visited."""
-    read = visits.join(pages, "url")
+    read = dealt(visits, "url").join(pages, "url")
     entities = structured.page_entities(read.select("url", "html"))
     return site.site_companies(read), structured.structured_jobs(entities, as_of)
 
