@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearby_engine.functions.text import TRIGRAM_THRESHOLD, trigrams, trigrams_of
+from nearby_engine.operators.ranking import once
+from nearby_engine.session import dealt
 
 BUCKETS = 64
 WORDS, PLAIN = "w", "p"
@@ -31,13 +33,17 @@ def _bucket(gram: Column) -> Column:
 
 
 def postings(rows: DataFrame, key: str, similar_by: str, contained_in: str) -> DataFrame:
-    """gram, key, size (of the text's grams), kind, bucket: the postings of both columns. Null texts have none."""
+    """gram, key, size (of the text's grams), kind, bucket: the postings of both columns. Null texts have none.
+
+    The rows are narrow beside their postings, so they are dealt over tasks first; the grams of a text are made once.
+    """
+    texts = dealt(rows.select(F.col(key).alias("key"), F.col(similar_by).alias("_similar"), F.col(contained_in).alias("_held")), "key")
 
     def of(kind: str, grams: Column) -> DataFrame:
-        held = rows.select(F.col(key).alias("key"), grams.alias("grams")).filter(F.col("grams").isNotNull())
+        held = once(texts, {"grams": grams}).filter(F.col("grams").isNotNull())
         return held.select(F.explode("grams").alias("gram"), "key", F.size("grams").alias("size"), F.lit(kind).alias("kind"))
 
-    both = of(WORDS, trigrams(F.col(similar_by))).unionByName(of(PLAIN, _plain_grams(F.col(contained_in))))
+    both = of(WORDS, trigrams(F.col("_similar"))).unionByName(of(PLAIN, _plain_grams(F.col("_held"))))
     return both.withColumn("bucket", _bucket(F.col("gram")))
 
 

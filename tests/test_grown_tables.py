@@ -120,3 +120,12 @@ def test_nested_pages_are_made_in_many_tasks(spark, monkeypatch):
 def test_documents_are_judged_in_many_tasks(spark):
     found = CATALOG["role_in_documents"].plan(spark, FOLDER)
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_postings_are_made_in_many_tasks(spark):
+    from nearby_engine.operators import text_index
+
+    rows = spark.range(100, numPartitions=1).select("id", F.concat(F.lit("name "), F.col("id").cast("string")).alias("name"))
+    found = text_index.postings(rows, "id", "name", "name")
+    assert found.select("key").distinct().count() == 100
+    assert found.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
