@@ -38,6 +38,20 @@ def test_bpe_equals_the_library_and_round_trips(spark, vocabulary):
     assert byte_bpe.round_trip(cases.empty(spark), vocabulary).count() == 0
 
 
+def test_short_and_long_words_are_merged_alike(spark, vocabulary):
+    draw = random.Random(7)
+    sizes = [1, 2, 9, 40, byte_bpe.SHORT - 1, byte_bpe.SHORT, byte_bpe.SHORT + 1]
+    words = [" " + "".join(draw.choice(letters) for _ in range(n)) for n in sizes for letters in ("ab", "etaoinshr", "=") for _ in range(3)] + ["ñandúñ", " 日本語", "\x00\x01"]
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=vocabulary.ranks, special_tokens={})
+    table = vocabulary.table(spark)
+    given = spark.createDataFrame([(w,) for w in words], "word string").crossJoin(table)
+    raw = F.decode(F.col("word").cast("binary"), "ISO-8859-1")
+    t = {name: F.col(name) for name in byte_bpe.TABLES}
+    got = given.select("word", byte_bpe._merged_one_by_one(raw, t), byte_bpe._merged_together(raw, t["maps"])).collect()
+    for word, one_by_one, together in got:
+        assert one_by_one == together == library.encode_ordinary(word), word
+
+
 def test_wavelet_matrix_access_rank_select():
     draw = np.random.default_rng(5)
     values = draw.integers(0, 50_257, 5000).astype(np.uint16)
