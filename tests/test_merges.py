@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from builders import batch, frame, job
+from builders import batch, company, frame, job
 from nearby_engine.operators import merge as M
 from nearby_engine.operators import ranking
 from nearby_engine.operators.ranking import joined_to_few
@@ -86,3 +86,21 @@ def test_resets_of_a_job_with_a_third_of_all_events(spark, monkeypatch):
     for r in M.merge_remote_eligibility(t["job_remote_eligibility"], rows).collect():
         found.setdefault(ids[r.job_id], set()).add(r.scope_code)
     assert found == {k: v for k, v in scopes.items() if v}
+
+
+def test_merges_move_only_what_they_read(spark, monkeypatch):
+    """Records are written with the columns of their table, and key and order of the latest are joined as numbers."""
+    from nearby_engine.plans import catalog_merge as plans
+
+    written, inner = [], plans.landed
+    monkeypatch.setattr(plans, "landed", lambda df: (written.append(df.columns), inner(df))[1])
+    merged = plans.job_source_records(spark, "/root/testdata/sf0.001", waves=True)
+    assert len(written) == 3 and not any({"title", "description_excerpt", "observed_text"} & set(columns) for columns in written)
+    assert "[_mark#" in plan_of(merged)
+
+
+def test_a_merge_with_an_empty_table_reads_the_new_rows_only(spark):
+    given = frame(spark, [batch([company("A"), company("B")])])
+    rows = M.with_record(company_rows(given).withColumn("company_id", F.col("name")), "company", "source_record_id", "evidence_url", M.company_payload())
+    merged = M.merge_links(empty_tables(spark)["company_source_links"], rows, "company_id")
+    assert "Union" not in plan_of(merged) and merged.count() == 2
