@@ -18,7 +18,7 @@ from nearby_engine.functions.text import strip
 from nearby_engine.functions.urls import clean_domain
 from nearby_engine.operators.crawl import board_targets, discovered_boards, discovered_sites, walk
 from nearby_engine.schemas import COMPANY_EVIDENCE, JOB_EVIDENCE
-from nearby_engine.session import cut, dealt
+from nearby_engine.session import cut, dealt, landed
 from nearby_engine.sources import boards, directory, osm, site, structured
 from nearby_engine.sources.evidence import to_batches
 
@@ -148,7 +148,8 @@ def gather(
     visits = walk(starts.distinct(), pages)
     names = sites.groupBy("domain").agg(F.min_by("name", "seq").alias("name"))
     site_rows = site_evidence(visits, pages, as_of)
-    targets = board_targets(configured, discovered_boards(visits, pages, names))
+    # Read by every provider, for its companies and for its jobs.
+    targets = landed(board_targets(configured, discovered_boards(visits, pages, names)))
     board_rows: dict[str, Rows] = {}
     makers = {
         "greenhouse": (boards.greenhouse_companies, boards.greenhouse_jobs),

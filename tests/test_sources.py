@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from nearby_engine.operators.crawl import walk
 from nearby_engine.sources import boards, directory, osm, registry, site, structured
+from nearby_engine.sources.evidence import to_batches
 
 AS_OF = "2026-09-27 00:00:00"
 
@@ -129,3 +130,15 @@ def test_homepage_fallback_only_without_structured_company(spark):
     )
     found = sorted((r.name, r.address, r.phone) for r in site.site_companies(pages).collect())
     assert found == [("Named", "", None), ("Shop", "1 Road Pune", "+91 7")]
+
+
+def test_records_are_made_once_and_packed(spark):
+    """Page sizes and batches are read from the records as written, not made from the pages twice."""
+    companies = spark.range(120).select(
+        F.lit("p").alias("page"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("name"), *[F.lit(None).cast(k).alias(n) for n, k in (
+            ("source_record_id", "string"), ("evidence_url", "string"), ("domain", "string"), ("address", "string"), ("lat", "double"), ("lng", "double"),
+            ("phone", "string"), ("metadata", "string"))],
+    ).withColumn("content_hash", F.sha2(F.concat(F.lit("made"), "name"), 256))
+    packed = to_batches(companies, registry.no_rows(spark, "job"), "s", "f", F.lit("r"), F.current_timestamp())
+    assert "made" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert packed.agg(F.sum(F.size("companies"))).first()[0] == 120
